@@ -8,11 +8,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import splits
+from ..session import cut
+from . import neardup, splits
+from .components import components
 
 SPLIT_SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
+KINDS = ("timeline", "kompendium")
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Both tables' texts (kind, row, text): timeline's title and text, kompendium's text."""
+    t = table(spark, folder, "timeline").select(
+        F.lit(0).alias("kind"), F.col("row_id").alias("row"), F.concat_ws(" ", "title", "text").alias("text")
+    )
+    k = table(spark, folder, "kompendium").select(F.lit(1).alias("kind"), F.col("row_id").alias("row"), "text")
+    return t.union(k)
+
+
+def _tab(column: str = "kind"):
+    return F.element_at(F.array(*map(F.lit, KINDS)), F.col(column) + 1).alias("tab")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows of one table that tell the same text."""
+    members, links = neardup.similar_classes(_texts(spark, folder))
+    return neardup.row_pairs(members, links).select(_tab(), "row_a", "row_b")
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per text: its group (least row of all texts linked directly or through others) and its number of links."""
+    members, links = neardup.similar_classes(_texts(spark, folder))
+    members = cut(members)
+    name = lambda c: F.concat_ws(":", F.col("kind"), F.lpad(F.col(c).cast("string"), 19, "0"))
+    parts = components(links.select(name("a").alias("u"), name("b").alias("v")))
+    least = F.element_at(F.split("component", ":"), 2).cast("bigint")
+    degree = links.select("kind", F.explode(F.array("a", "b")).alias("rep")).groupBy("kind", "rep").agg(F.count(F.lit(1)).alias("links"))
+    return (
+        members.join(degree, ["kind", "rep"], "left").withColumn("node", name("rep")).join(parts, "node", "left")
+        .select(_tab(), F.col("row").alias("row_id"), F.coalesce(least, "rep").alias("group_row"), (F.coalesce("links", F.lit(0)) + (F.col("size") > 1).cast("int")).alias("links"))
+    )
+
+
 def _item_names() -> list:
     return [splits.bundle_name(F.col("group_id")), splits.bundle_of_id(F.col("id"))]
 
@@ -26,13 +64,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     """A new split of all items that keeps each set together."""
     items = table(spark, folder, "synthetic_items").select("row_id", "id", "group_id")
-    from ..session import cut
-
     sets = cut(splits.related_sets(items, "row_id", _item_names()))
     return splits.assign_splits(sets, SPLIT_SHARES).select(F.col("row").alias("row_id"), "set_row", "split")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
 }
