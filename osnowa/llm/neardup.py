@@ -28,9 +28,9 @@ from . import sketch
 #: Buckets of the word-frequency sketch: 2^BITS counters of four bytes.
 BITS = 21
 #: Texts in a group of one word, about; more are cut into blocks.
-BLOCK = 4096
+BLOCK = 1 << 15
 _SALTS = [np.uint64(0x51ED270B9C4D3A77), np.uint64(0xA24BAED4963EE407)]
-_SIG = "kind int, row bigint, n int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, part array<smallint>"
+_SIG = "kind int, row bigint, n int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, part array<int>"
 
 
 def bag_sets(texts: list, kinds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +61,19 @@ def least_common(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return (n * num + den - 1) // den
 
 
+def small(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``most`` rows."""
+    for b in batches:
+        for i in range(0, b.num_rows, most):
+            yield b.slice(i, most)
+
+
+def in_order(text: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions sorted by text (under 2^14 of them), rank (up to 2^18, then alike) and hash (32 bits): one sort of one word."""
+    rank = np.minimum(rank, (1 << 18) - 1).astype(np.uint64)
+    return np.argsort((text.astype(np.uint64) << np.uint64(50)) | (rank << np.uint64(32)) | (h >> np.uint64(32)))
+
+
 def _maps(h: np.ndarray, t: np.ndarray, count: int, bits: int) -> np.ndarray:
     """A bit map of ``bits`` bits of each text's elements."""
     out = np.zeros((count, bits // 64), dtype=np.uint64)
@@ -84,7 +97,7 @@ def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int)
     bits = int(np.log2(len(freq.value)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             count = b.num_rows
             rows = b["row"].to_numpy()
             h, t = bag_sets(b["text"].to_pylist(), b["kind"].to_numpy(), least)
@@ -95,11 +108,12 @@ def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int)
             nth = np.arange(len(h)) - off[t]
             maps = [_maps(h, t, count, 256)]
             for salt in _SALTS:  # second and third order: rarity classes, each shuffled anew
-                o = np.lexsort((mix64(h ^ salt), np.log2(c + 1).astype(np.int8), t))
+                o = in_order(t, np.log2(c + 1).astype(np.uint64), mix64(h ^ salt))
                 keep = o[nth < prefix[t]]
                 maps.append(_maps(h[keep], t[keep], count, 64))
-            o = np.lexsort((h, c, t))
-            keep = o[(nth < prefix[t]) & (c[o] > 1)]  # a word of one text joins nothing
+            o = in_order(t, c, h)
+            chosen = (nth < prefix[t]) & (c[o] > 1)  # a word of one text joins nothing
+            keep, before = o[chosen], nth[chosen]
             kh, kt, kc = h[keep], t[keep], c[keep]
             blocks = (kc + block - 1) // block
             mine = (mix64(rows[kt].astype(np.uint64) ^ kh) % blocks.astype(np.uint64)).astype(np.int64)
@@ -108,14 +122,15 @@ def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int)
             lo, hi = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
             with np.errstate(over="ignore"):
                 keys = mix64(kh[rep] + (lo * 65536 + hi).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            # part 0: compare with all of the group, else (1 or 2) only with the other part
-            part = np.where(lo == hi, 0, np.where(mine[rep] == lo, 1, 2)).astype(np.int16)
+            # part 0: compare with all of the group, else (1 or 2) only with the other part; above it, how many of the
+            # text's words stand before this one in the order
+            part = np.where(lo == hi, 0, np.where(mine[rep] == lo, 1, 2)) + 4 * before[rep]
             yield pa.RecordBatch.from_arrays(
                 [
                     b["kind"], b["row"], pa.array(n.astype(np.int32)),
                     pa.array(_sums(h, off).view(np.int64)), pa.array(_sums(mix64(h + np.uint64(1)), off).view(np.int64)),
                     pa.array([m.tobytes() for m in np.hstack(maps)], pa.binary()),
-                    _lists(keys.view(np.int64), kt[rep], count, pa.int64()), _lists(part, kt[rep], count, pa.int16()),
+                    _lists(keys.view(np.int64), kt[rep], count, pa.int64()), _lists(part.astype(np.int32), kt[rep], count, pa.int32()),
                 ],
                 ["kind", "row", "n", "fp1", "fp2", "map", "keys", "part"],
             )
@@ -134,44 +149,70 @@ def _chunks(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def fixed_binary(column, width: int) -> np.ndarray:
+    """A binary column whose values all hold ``width`` 64-bit words, as a matrix, without a Python object per value."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+    return data[column.offset * width * 8 :][: len(column) * width * 8].view(np.uint64).reshape(len(column), width)
+
+
 def near_pairs(num: int, den: int):
     """Within the rows of one key, sorted by key and n: the pairs that pass all filters."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sketch.rows_by_key(batches, "key"):
             key, row, n = g["key"].to_numpy(), g["row"].to_numpy(), g["n"].to_numpy().astype(np.int64)
-            part, kind = g["part"].to_numpy(), g["kind"].to_numpy()
-            maps = np.frombuffer(b"".join(g["map"].to_pylist()), dtype=np.uint64).reshape(len(key), 6)
+            part, kind = g["part"].to_numpy() & 3, g["kind"].to_numpy()
+            rest = n - (g["part"].to_numpy() >> 2)
+            maps = fixed_binary(g["map"], 6)
             at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             end = np.repeat(np.append(at[1:], len(key)), np.diff(np.append(at, len(key))))
             me = np.arange(len(key))
-            lim, top = end.copy(), n * den // num
-            for i in np.flatnonzero(end - me > 64):  # sizes rise within a key: only up to n * den / num can follow
+            # sizes rise within a key. Where this is the first word in common, the smaller text's words from here on are all it
+            # can still share: a text of more than rest * den / num words cannot follow
+            lim, top = end.copy(), rest * den // num
+            for i in np.flatnonzero(end - me > 64):
                 lim[i] = i + np.searchsorted(n[i : end[i]], top[i], side="right")
             count = lim - me - 1
-            first = np.ascontiguousarray(maps[:, 0])
+            # a pair passes if its maps differ in at most n_i + spare_j bits
+            spare = (n - 2 * least_common(n, num, den)).astype(np.int32)
+            columns = [np.ascontiguousarray(maps[:, k]) for k in range(4)]
+            long = count > 96
             got = []
-            for lo, hi in _chunks(count, 1 << 20):
-                if count[lo:hi].mean() > 256:  # long runs: slices instead of gathered pairs
-                    runs = []
-                    for i in range(lo, hi):
-                        s = slice(i + 1, lim[i])
-                        ok = np.bitwise_count(first[s] ^ first[i]) <= n[s] + n[i] - 2 * least_common(n[s], num, den)
-                        runs.append(np.flatnonzero(ok) + i + 1)
-                    i, j = np.repeat(np.arange(lo, hi), [len(r) for r in runs]), np.concatenate(runs)
-                else:
-                    c = count[lo:hi]
-                    i = np.repeat(np.arange(lo, hi), c)
-                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-                    ok = np.bitwise_count(first[i] ^ first[j]) <= n[i] + n[j] - 2 * least_common(n[j], num, den)
-                    i, j = i[ok], j[ok]
-                ok = (n[j] * num <= n[i] * den) & ((part[i] == 0) | (part[i] != part[j])) & (kind[i] == kind[j])
+
+            def passed(i: np.ndarray, j: np.ndarray) -> None:
+                ok = (n[j] * num <= rest[i] * den) & ((part[i] == 0) | (part[i] != part[j])) & (kind[i] == kind[j])
                 i, j = i[ok], j[ok]
                 apart = np.bitwise_count(maps[i, :4] ^ maps[j, :4]).sum(axis=1, dtype=np.int64)
-                ok = apart <= n[i] + n[j] - 2 * least_common(n[j], num, den)
-                ok &= (maps[i, 4] & maps[j, 4] != 0) & (maps[i, 5] & maps[j, 5] != 0)
+                ok = (apart <= spare[j] + n[i]) & (maps[i, 4] & maps[j, 4] != 0) & (maps[i, 5] & maps[j, 5] != 0)
                 i, j = i[ok], j[ok]
                 got.append(np.stack([kind[i].astype(np.int64), np.minimum(row[i], row[j]), np.maximum(row[i], row[j])]))
+
+            for lo, hi in _chunks(np.where(long, 0, count), 1 << 20):
+                c = np.where(long[lo:hi], 0, count[lo:hi])
+                i = np.repeat(np.arange(lo, hi), c)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+                apart = np.bitwise_count(columns[0][i] ^ columns[0][j]) + np.bitwise_count(columns[1][i] ^ columns[1][j])
+                ok = apart <= spare[j] + n[i]
+                passed(i[ok], j[ok])
+            # long runs: tiles of rows against the slice that can follow any of them, the bound taken for the largest
+            at = np.flatnonzero(long)
+            while len(at):
+                i0 = at[0]
+                tile = at[: np.searchsorted(at, min(i0 + 64, end[i0]))]
+                at = at[len(tile) :]
+                i1, last = tile[-1] + 1, lim[tile].max()
+                for j0 in range(i0 + 1, last, 4096):
+                    s = slice(j0, min(j0 + 4096, last))
+                    apart = np.bitwise_count(columns[0][i0:i1, None] ^ columns[0][None, s])
+                    apart += np.bitwise_count(columns[1][i0:i1, None] ^ columns[1][None, s])
+                    if n[i1 - 1] > 72:
+                        apart += np.bitwise_count(columns[2][i0:i1, None] ^ columns[2][None, s])
+                        apart += np.minimum(np.bitwise_count(columns[3][i0:i1, None] ^ columns[3][None, s]), 63)
+                    i, j = np.nonzero(apart <= np.clip(spare[s] + n[i1 - 1], 0, 255).astype(np.uint8)[None, :])
+                    i, j = i + i0, j + j0
+                    ok = (j > i) & (j < lim[i]) & long[i]
+                    passed(i[ok], j[ok])
             got = np.unique(np.concatenate(got, axis=1), axis=1) if got else np.zeros((3, 0), np.int64)
             if got.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int32)), pa.array(got[1]), pa.array(got[2])], ["kind", "a", "b"])
@@ -184,31 +225,49 @@ def common_words(a: list, b: list, least: int) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(len(a), dtype=np.int64)
     ha, ta = bag_sets(a, none, least)
     hb, tb = bag_sets(b, none, least)
-    h, t = np.concatenate([ha, hb]), np.concatenate([ta, tb])
-    o = np.lexsort((h, t))
-    h, t = h[o], t[o]
-    twice = (h[1:] == h[:-1]) & (t[1:] == t[:-1])
-    larger = np.maximum(np.bincount(ta, minlength=len(a)), np.bincount(tb, minlength=len(a)))
-    return np.bincount(t[1:][twice], minlength=len(a)), larger
+    return _common(ha, np.bincount(ta, minlength=len(a)), hb, np.bincount(tb, minlength=len(a)))
+
+
+def _common(ha: np.ndarray, na: np.ndarray, hb: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of flat arrays of set elements with their lengths. One sort of (pair, 48 bits of the hash) in a word."""
+    pair = np.repeat(np.concatenate([np.arange(len(na)), np.arange(len(nb))]), np.concatenate([na, nb])).astype(np.uint64)
+    x = (pair << np.uint64(48)) | (np.concatenate([ha, hb]) >> np.uint64(16))
+    x.sort()
+    twice = x[1:][x[1:] == x[:-1]] >> np.uint64(48)
+    return np.bincount(twice.astype(np.int64), minlength=len(na)), np.maximum(na, nb)
+
+
+def bags(df: DataFrame, least: int) -> DataFrame:
+    """(kind, row, bag) of texts; the bag as a set of hashes."""
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, t = bag_sets(b["text"].to_pylist(), b["kind"].to_numpy(), least)
+            yield pa.RecordBatch.from_arrays([b["kind"], b["row"], _lists(h.view(np.int64), t, b.num_rows, pa.int64())], ["kind", "row", "bag"])
+
+    return df.select("kind", "row", "text").mapInArrow(bag, "kind int, row bigint, bag array<bigint>")
+
+
+def flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column."""
+    return lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: int, num: int, den: int) -> DataFrame:
-    """The pairs (kind, a, b) whose texts do reach the overlap. Only texts that occur in a pair are moved."""
+    """The pairs (kind, a, b) whose texts do reach the overlap. Only bags of texts that occur in a pair are moved."""
     spark = pairs.sparkSession
-    ids = pairs.select("kind", F.explode(F.array("a", "b")).alias("row"))
-    tag = F.struct("kind", "row")
-    wanted = sketch.in_members(spark, sketch.members(ids.select(F.struct("kind", "row").alias("id")), "id"))
-    few = texts.select("kind", "row", "text").where(wanted(tag))
-    one = pairs.join(few.select("kind", F.col("row").alias("a"), F.col("text").alias("ta")), ["kind", "a"])
-    two = one.join(few.select("kind", F.col("row").alias("b"), F.col("text").alias("tb")), ["kind", "b"])
+    ids = pairs.select("kind", F.explode(F.array("a", "b")).alias("row")).select(F.struct("kind", "row").alias("id"))
+    wanted = sketch.in_members(spark, sketch.members(ids, "id"))
+    few = bags(texts.where(wanted(F.struct("kind", "row"))), least)
+    one = pairs.join(few.select("kind", F.col("row").alias("a"), F.col("bag").alias("ba")), ["kind", "a"])
+    two = one.join(few.select("kind", F.col("row").alias("b"), F.col("bag").alias("bb")), ["kind", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            common, larger = common_words(b["ta"].to_pylist(), b["tb"].to_pylist(), least)
-            keep = pa.array((common * den >= larger * num) & (larger > 0))
-            yield b.select(["kind", "a", "b"]).filter(keep)
+            common, larger = _common(*flat(b["ba"]), *flat(b["bb"]))
+            yield b.select(["kind", "a", "b"]).filter(pa.array((common * den >= larger * num) & (larger > 0)))
 
-    return two.select("kind", "a", "b", "ta", "tb").mapInArrow(check, "kind int, a bigint, b bigint")
+    return two.select("kind", "a", "b", "ba", "bb").mapInArrow(check, "kind int, a bigint, b bigint")
 
 
 def similar_classes(
