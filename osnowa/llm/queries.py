@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..session import cut
-from . import neardup, splits
+from . import leaks, neardup, overlap, residue, splits
 from .components import components
 
 SPLIT_SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -68,11 +68,70 @@ def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(sets, SPLIT_SHARES).select(F.col("row").alias("row_id"), "set_row", "split")
 
 
+def _sides(spark: SparkSession, folder: str) -> DataFrame:
+    split = F.col("split")
+    return table(spark, folder, "synthetic_items").select(
+        F.col("row_id").alias("row"), F.when(split == "train", 0).when(split.isin("val", "test"), 1).alias("side"),
+        F.concat_ws(" ", "question", "model_answer").alias("main"), F.col("source_text").alias("extra"),
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of items on both sides of the split that are the same or nearly the same."""
+    members, links = overlap.cross_split_classes(_sides(spark, folder))
+    return overlap.row_links(members, links).select(
+        F.least("train_row", "eval_row").alias("row_a"), F.greatest("train_row", "eval_row").alias("row_b")
+    )
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping evaluation rows and pairs per split and source."""
+    members, links = overlap.cross_split_classes(_sides(spark, folder))
+    labels = table(spark, folder, "synthetic_items").select(F.col("row_id").alias("row"), "split", F.col("source_doc").alias("source"))
+    return overlap.overlap_report(members, links, labels)
+
+
+def _corpus(spark: SparkSession, folder: str) -> DataFrame:
+    t = table(spark, folder, "timeline").select(F.lit(0).alias("kind"), F.col("row_id").alias("row"), "text")
+    return t.union(table(spark, folder, "kompendium").select(F.lit(1).alias("kind"), F.col("row_id").alias("row"), "text"))
+
+
+def _exam(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "exam").select(F.col("row_id").alias("row"), F.col("question").alias("text"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that hold a passage of an exam question."""
+    found = leaks.leaks(_corpus(spark, folder), _exam(spark, folder))
+    return found.select(_tab(), F.col("row").alias("row_id"), F.col("test_row").alias("exam_row"))
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaked exam items with the number of records that give them away."""
+    return leaks.leak_report(leaks.leaks(_corpus(spark, folder), _exam(spark, folder))).withColumnRenamed("test_row", "exam_row")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with template residue, filler, an error message or a script notice."""
+    return residue.residue(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without any of it."""
+    return residue.without_residue(table(spark, folder, "documents")).select("doc_id", "text", "lang", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p9_found": p9_found,
+    "p9_kept": p9_kept,
 }
 
 SQL: dict[str, str] = {}
