@@ -3,7 +3,7 @@
 The word overlap of two texts is the size of their common bag over the size of the larger bag. If it is at least ``t``,
 then under ANY order of all words the two prefixes of length n - ceil(t n) + 1 share a word. Candidates must share a prefix
 word under a first order, which sorts words from rare to frequent and gives the join keys, and their prefixes under a second
-and a third order, held as 64-bit maps, must meet too. A 256-bit map of the whole bag bounds the overlap from above. All
+and a third order, held as 64-bit maps, must meet too. A bit map of the whole bag bounds the overlap from above. All
 four filters are necessary conditions, so nothing similar is lost; what passes is verified on the texts.
 
 Word frequencies come from a count sketch over all texts (2^BITS buckets, broadcast, fixed size). Any function of the word
@@ -29,6 +29,9 @@ from . import sketch
 BITS = 21
 #: Texts in a group of one word, about; more are cut into blocks.
 BLOCK = 1 << 15
+#: Bits of a bag's map, by the number of its words: up to LEVEL_WORDS[i] words LEVELS[i] bits, beyond all of them the last.
+LEVELS = [128, 256, 512, 2048]
+LEVEL_WORDS = [48, 80, 256]
 _SALTS = [np.uint64(0x51ED270B9C4D3A77), np.uint64(0xA24BAED4963EE407)]
 _SIG = "kind int, row bigint, n int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, part array<int>"
 
@@ -106,11 +109,16 @@ def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int)
             prefix = n - least_common(n, num, den) + 1
             c = freq.value[sketch.bucket_of(h, bits)].astype(np.int64)
             nth = np.arange(len(h)) - off[t]
-            maps = [_maps(h, t, count, 256)]
+            bag = _maps(h, t, count, LEVELS[-1])
+            level = np.searchsorted(LEVEL_WORDS, n)
+            sides = []
             for salt in _SALTS:  # second and third order: rarity classes, each shuffled anew
                 o = in_order(t, np.log2(c + 1).astype(np.uint64), mix64(h ^ salt))
                 keep = o[nth < prefix[t]]
-                maps.append(_maps(h[keep], t[keep], count, 64))
+                sides.append(_maps(h[keep], t[keep], count, 64))
+            folded = [fold_map(bag, w) for w in LEVELS]
+            sides = np.hstack(sides)
+            maps = [sides[r].tobytes() + folded[k][r].tobytes() for r, k in enumerate(level)]
             o = in_order(t, c, h)
             chosen = (nth < prefix[t]) & (c[o] > 1)  # a word of one text joins nothing
             keep, before = o[chosen], nth[chosen]
@@ -129,7 +137,7 @@ def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int)
                 [
                     b["kind"], b["row"], pa.array(n.astype(np.int32)),
                     pa.array(_sums(h, off).view(np.int64)), pa.array(_sums(mix64(h + np.uint64(1)), off).view(np.int64)),
-                    pa.array([m.tobytes() for m in np.hstack(maps)], pa.binary()),
+                    pa.array(maps, pa.binary()),
                     _lists(keys.view(np.int64), kt[rep], count, pa.int64()), _lists(part.astype(np.int32), kt[rep], count, pa.int32()),
                 ],
                 ["kind", "row", "n", "fp1", "fp2", "map", "keys", "part"],
@@ -156,6 +164,33 @@ def fixed_binary(column, width: int) -> np.ndarray:
     return data[column.offset * width * 8 :][: len(column) * width * 8].view(np.uint64).reshape(len(column), width)
 
 
+def fold_map(maps: np.ndarray, bits: int) -> np.ndarray:
+    """Bit maps made narrower by laying their parts over each other; what two maps differ in can only become less."""
+    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, bits // 64), axis=1)
+
+
+def decode_maps(column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(prefix maps of the second and third order, width level of each row, bag maps of all rows at each level's width).
+
+    A row's map at a level wider than its own is left 0; it is compared only at its own level or a narrower one.
+    """
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+    level = np.searchsorted([16 + w // 8 for w in LEVELS], np.diff(offsets))
+    side = np.empty((len(column), 2), dtype=np.uint64)
+    folded = [np.zeros((len(column), w // 64), dtype=np.uint64) for w in LEVELS]
+    for k, w in enumerate(LEVELS):
+        at = np.flatnonzero(level == k)
+        if not len(at):
+            continue
+        raw = data[offsets[at][:, None] + np.arange(16 + w // 8)].view(np.uint64)
+        side[at] = raw[:, :2]
+        for narrower in range(k + 1):
+            folded[narrower][at] = fold_map(raw[:, 2:], LEVELS[narrower])
+    return side, level, folded
+
+
 def near_pairs(num: int, den: int):
     """Within the rows of one key, sorted by key and n: the pairs that pass all filters."""
 
@@ -164,7 +199,7 @@ def near_pairs(num: int, den: int):
             key, row, n = g["key"].to_numpy(), g["row"].to_numpy(), g["n"].to_numpy().astype(np.int64)
             part, kind = g["part"].to_numpy() & 3, g["kind"].to_numpy()
             rest = n - (g["part"].to_numpy() >> 2)
-            maps = fixed_binary(g["map"], 6)
+            side, level, folded = decode_maps(g["map"])
             at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             end = np.repeat(np.append(at[1:], len(key)), np.diff(np.append(at, len(key))))
             me = np.arange(len(key))
@@ -176,15 +211,19 @@ def near_pairs(num: int, den: int):
             count = lim - me - 1
             # a pair passes if its maps differ in at most n_i + spare_j bits
             spare = (n - 2 * least_common(n, num, den)).astype(np.int32)
-            columns = [np.ascontiguousarray(maps[:, k]) for k in range(4)]
+            columns = [[np.ascontiguousarray(m[:, k]) for k in range(m.shape[1])] for m in folded]
             long = count > 96
             got = []
 
             def passed(i: np.ndarray, j: np.ndarray) -> None:
                 ok = (n[j] * num <= rest[i] * den) & ((part[i] == 0) | (part[i] != part[j])) & (kind[i] == kind[j])
                 i, j = i[ok], j[ok]
-                apart = np.bitwise_count(maps[i, :4] ^ maps[j, :4]).sum(axis=1, dtype=np.int64)
-                ok = (apart <= spare[j] + n[i]) & (maps[i, 4] & maps[j, 4] != 0) & (maps[i, 5] & maps[j, 5] != 0)
+                ok = (side[i] & side[j] != 0).all(axis=1)
+                for k, m in enumerate(folded):
+                    at = np.flatnonzero(level[i] == k)
+                    if len(at):
+                        apart = np.bitwise_count(m[i[at]] ^ m[j[at]]).sum(axis=1, dtype=np.int64)
+                        ok[at] &= apart <= spare[j[at]] + n[i[at]]
                 i, j = i[ok], j[ok]
                 got.append(np.stack([kind[i].astype(np.int64), np.minimum(row[i], row[j]), np.maximum(row[i], row[j])]))
 
@@ -192,7 +231,8 @@ def near_pairs(num: int, den: int):
                 c = np.where(long[lo:hi], 0, count[lo:hi])
                 i = np.repeat(np.arange(lo, hi), c)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-                apart = np.bitwise_count(columns[0][i] ^ columns[0][j]) + np.bitwise_count(columns[1][i] ^ columns[1][j])
+                narrow = columns[0]
+                apart = np.bitwise_count(narrow[0][i] ^ narrow[0][j]) + np.bitwise_count(narrow[1][i] ^ narrow[1][j])
                 ok = apart <= spare[j] + n[i]
                 passed(i[ok], j[ok])
             # long runs: tiles of rows against the slice that can follow any of them, the bound taken for the largest
@@ -200,16 +240,18 @@ def near_pairs(num: int, den: int):
             while len(at):
                 i0 = at[0]
                 tile = at[: np.searchsorted(at, min(i0 + 64, end[i0]))]
+                tile = tile[: np.searchsorted(level[tile], level[i0], side="right")]
                 at = at[len(tile) :]
                 i1, last = tile[-1] + 1, lim[tile].max()
+                words_, bound = columns[level[i0]], spare + np.int32(n[i1 - 1])
                 for j0 in range(i0 + 1, last, 4096):
                     s = slice(j0, min(j0 + 4096, last))
-                    apart = np.bitwise_count(columns[0][i0:i1, None] ^ columns[0][None, s])
-                    apart += np.bitwise_count(columns[1][i0:i1, None] ^ columns[1][None, s])
-                    if n[i1 - 1] > 72:
-                        apart += np.bitwise_count(columns[2][i0:i1, None] ^ columns[2][None, s])
-                        apart += np.minimum(np.bitwise_count(columns[3][i0:i1, None] ^ columns[3][None, s]), 63)
-                    i, j = np.nonzero(apart <= np.clip(spare[s] + n[i1 - 1], 0, 255).astype(np.uint8)[None, :])
+                    apart = np.bitwise_count(words_[0][i0:i1, None] ^ words_[0][None, s])
+                    if level[i0]:
+                        apart = apart.astype(np.uint16)
+                    for w in words_[1:]:
+                        apart += np.bitwise_count(w[i0:i1, None] ^ w[None, s])
+                    i, j = np.nonzero(apart <= np.clip(bound[s], 0, np.iinfo(apart.dtype).max).astype(apart.dtype)[None, :])
                     i, j = i + i0, j + j0
                     ok = (j > i) & (j < lim[i]) & long[i]
                     passed(i[ok], j[ok])
@@ -294,7 +336,7 @@ def similar_classes(
         .withColumnRenamed("keys", "key")
     )
     found = (
-        posts.repartition("key").sortWithinPartitions("key", "n")
+        posts.repartition("key").sortWithinPartitions("key", "n", "part")
         .mapInArrow(near_pairs(num, den), "kind int, a bigint, b bigint").distinct()
     )
     links = cut(verified(cut(found), texts, least, num, den))

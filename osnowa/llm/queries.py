@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..session import cut
-from . import leaks, neardup, overlap, residue, splits
+from . import leaks, mixing, neardup, overlap, packing, people, quota, residue, splits
 from .components import components
 
 SPLIT_SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -121,15 +121,76 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
     return residue.without_residue(table(spark, folder, "documents")).select("doc_id", "text", "lang", "source")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every further record of a person, and every mention under a spelling no record has."""
+    persons = table(spark, folder, "persons").select(F.col("row_id").alias("row"), "name", "years", "text")
+    timeline = table(spark, folder, "timeline").select(F.col("row_id").alias("row"), "year", F.posexplode("persons").alias("p", "name"))
+    return people.variants(persons, timeline.select("row", (F.col("p") + 1).alias("pos"), "name", "year"))
+
+
+def _quota(spark: SparkSession, folder: str):
+    items = table(spark, folder, "e5_items").select("id", "subtype", "difficulty", "section")
+    return quota.quota_sample(items, "id", ["subtype", "difficulty", "section"], table(spark, folder, "e5_targets"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories with fewer items than their target or floor asks for."""
+    return _quota(spark, folder)[1].where("short > 0").select("dim", "category")
+
+
+def p6_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample itself."""
+    return _quota(spark, folder)[0]
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Available, wanted and drawn items of every target category."""
+    return _quota(spark, folder)[1]
+
+
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.token_counts(table(spark, folder, "documents"), "doc_id", keep=("source",))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in a container of each capacity."""
+    packed = packing.pack(_sizes(spark, folder), table(spark, folder, "pack_sizes"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, free room and cost spread per capacity."""
+    sizes = table(spark, folder, "pack_sizes")
+    return packing.packing_report(packing.pack(_sizes(spark, folder), sizes), sizes)
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn so that sources have their shares, with the number of uses."""
+    return mixing.mix(_sizes(spark, folder), table(spark, folder, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached shares of the sources."""
+    return mixing.mix(_sizes(spark, folder), table(spark, folder, "mix_targets"))[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p6_sample": p6_sample,
+    "p6_report": p6_report,
+    "p7_packed": p7_packed,
+    "p7_report": p7_report,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_kept": p9_kept,
 }
