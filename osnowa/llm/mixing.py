@@ -27,6 +27,7 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     t = tokens.astype(np.float64)
     open_ = [int(i) for i in np.flatnonzero((p > _EPS) & (p < 1 - _EPS))]
     rng.shuffle(open_)
+    open_.sort(key=lambda i: t[i])  # large ones first, from the end: what is left to landing is small
     draws = rng.random(len(open_) + 8)
     held: list[int] = []
     n = 0

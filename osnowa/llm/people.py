@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..session import cut
 from .components import components
@@ -98,11 +97,12 @@ def first_name(token: str) -> str | None:
 
 #: Endings of family names -> (stem ending, gender); longest first, applied to folded names.
 ENDINGS = [
-    ("skiego", "sk", "m"), ("ckiego", "ck", "m"), ("dzkiego", "dzk", "m"), ("skiemu", "sk", "m"), ("ckiemu", "ck", "m"), ("skiej", "sk", "f"),
-    ("ckiej", "ck", "f"), ("skim", "sk", "m"), ("ckim", "ck", "m"), ("ski", "sk", "m"), ("cki", "ck", "m"), ("ska", "sk", "f"), ("cka", "ck", "f"),
-    ("nskego", "nsk", "m"), ("owicza", "owicz", ""), ("owiczowi", "owicz", ""), ("owiczem", "owicz", ""), ("aka", "ak", ""), ("akowi", "ak", ""),
-    ("akiem", "ak", ""), ("uka", "uk", ""), ("ukowi", "uk", ""), ("ukiem", "uk", ""), ("icza", "icz", ""),
+    ("kiego", "k", "m"), ("kiemu", "k", "m"), ("kiej", "k", "f"), ("kim", "k", "m"), ("ki", "k", "m"), ("ka", "k", "f"),
+    ("owicza", "owicz", "gen"), ("owiczowi", "owicz", "gen"), ("owiczem", "owicz", "gen"), ("aka", "ak", "gen"), ("akowi", "ak", "gen"),
+    ("akiem", "ak", "gen"), ("uka", "uk", "gen"), ("ukowi", "uk", "gen"), ("ukiem", "uk", "gen"), ("icza", "icz", "gen"),
 ]
+#: First names of women that are also a genitive of a man's.
+GENITIVE_OF = {"franciszka": "franciszek", "ludwika": "ludwik", "aleksandra": "aleksander"}
 
 
 def family(token: str) -> tuple[str, str]:
@@ -122,18 +122,16 @@ def read(name: str) -> tuple[str | None, str, bool, str, bool, str]:
     s = name.translate(POLISH).lower()
     s = re.sub(r"(?<=[a-z])[0158]|[0158](?=[a-z])", lambda m: m.group(0).translate(SCANNED), s)
     tokens = re.findall(r"[^\W\d_]+\.?|,", s)
-    parts, seen = [], False
+    parts = []
     for t in tokens:  # epithets and places run to the end
         bare = t.rstrip(".")
         if bare in EPITHETS or (bare in PLACES and "." not in t and len([p for p in parts if len(p) > 2]) >= 2):
             break
         parts.append(t)
-        seen = True
     while parts and parts[0].rstrip(".") in TITLES and sum(len(p.rstrip(".")) > 1 for p in parts) > 1 and not (
         len(parts[0]) == 2 and parts[0].endswith(".") and len([p for p in parts if p != ","]) == 2
     ):
         parts.pop(0)
-    del seen
     if "," in parts:  # family name first
         k = parts.index(",")
         parts = [*[p for p in parts[k + 1 :] if p != ","], *parts[:k]]
@@ -147,8 +145,6 @@ def read(name: str) -> tuple[str | None, str, bool, str, bool, str]:
     if not options:
         return None, "", False, "", False, ""
     sur = max(options, key=lambda w: (len(w), w))
-    if len(words) > 1 and "," in name and parts:
-        sur = max([w for w in words if w in options] or [sur], key=lambda w: (len(w), w))
     for w in words:
         if w is sur:
             continue
@@ -160,6 +156,9 @@ def read(name: str) -> tuple[str | None, str, bool, str, bool, str]:
             (given if known else rest).append((known, True) if known else (bare, True))
     given = (given or rest)[:2]
     stem, sex = family(sur.rstrip("."))
+    if sex == "gen" or (sex == "m" and sur.endswith(("ego", "emu", "kim"))):  # the whole name is declined
+        given = [(GENITIVE_OF.get(g, g), f) for g, f in given]
+        sex = "m"
     (g1, f1), (g2, f2) = [*given, ("", False), ("", False)][:2]
     return stem, g1, f1, g2, f2, sex
 
@@ -350,4 +349,4 @@ def variants(persons: DataFrame, mentions: DataFrame) -> DataFrame:
     return records.union(told)
 
 
-__all__ = ["Window", "variants", "persons_linked", "mentions_linked", "read", "life", "first_name", "family"]
+__all__ = ["variants", "persons_linked", "mentions_linked", "read", "life", "first_name", "family"]
