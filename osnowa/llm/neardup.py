@@ -33,7 +33,7 @@ BLOCK = 1 << 15
 LEVELS = [128, 256, 512, 2048]
 LEVEL_WORDS = [48, 80, 256]
 _SALTS = [np.uint64(0x51ED270B9C4D3A77), np.uint64(0xA24BAED4963EE407)]
-_SIG = "kind int, row bigint, n int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, part array<int>"
+_SIG = "kind int, row bigint, n int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, meta array<bigint>"
 
 
 def bag_sets(texts: list, kinds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,17 +130,19 @@ def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int)
             lo, hi = np.minimum(mine[rep], other), np.maximum(mine[rep], other)
             with np.errstate(over="ignore"):
                 keys = mix64(kh[rep] + (lo * 65536 + hi).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            # part 0: compare with all of the group, else (1 or 2) only with the other part; above it, how many of the
-            # text's words stand before this one in the order
-            part = np.where(lo == hi, 0, np.where(mine[rep] == lo, 1, 2)) + 4 * before[rep]
+            # in one word: kind, bag size, how many of the text's words stand before this one in the order, and the part:
+            # 0 is compared with all of the group, 1 and 2 only with the other
+            part = np.where(lo == hi, 0, np.where(mine[rep] == lo, 1, 2))
+            at = kt[rep]
+            meta = (b["kind"].to_numpy().astype(np.int64)[at] << 52) | (n[at] << 27) | (before[rep] << 2) | part
             yield pa.RecordBatch.from_arrays(
                 [
                     b["kind"], b["row"], pa.array(n.astype(np.int32)),
                     pa.array(_sums(h, off).view(np.int64)), pa.array(_sums(mix64(h + np.uint64(1)), off).view(np.int64)),
                     pa.array(maps, pa.binary()),
-                    _lists(keys.view(np.int64), kt[rep], count, pa.int64()), _lists(part.astype(np.int32), kt[rep], count, pa.int32()),
+                    _lists(keys.view(np.int64), kt[rep], count, pa.int64()), _lists(meta, kt[rep], count, pa.int64()),
                 ],
-                ["kind", "row", "n", "fp1", "fp2", "map", "keys", "part"],
+                ["kind", "row", "n", "fp1", "fp2", "map", "keys", "meta"],
             )
 
     return df.select("kind", "row", "text").mapInArrow(sign, _SIG)
@@ -192,13 +194,18 @@ def decode_maps(column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 
 
 def near_pairs(num: int, den: int):
-    """Within the rows of one key, sorted by key and n: the pairs that pass all filters."""
+    """Within the rows of one key, sorted by key: the pairs that pass all filters."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sketch.rows_by_key(batches, "key"):
-            key, row, n = g["key"].to_numpy(), g["row"].to_numpy(), g["n"].to_numpy().astype(np.int64)
-            part, kind = g["part"].to_numpy() & 3, g["kind"].to_numpy()
-            rest = n - (g["part"].to_numpy() >> 2)
+            meta = g["meta"].to_numpy()
+            group = np.cumsum(np.concatenate(([0], np.diff(g["key"].to_numpy()) != 0)))
+            # by group, size and place: the sort on the way here was by key alone, which Spark does by radix
+            order = np.lexsort((meta & ((1 << 52) - 1), group))
+            g = g.take(pa.array(order))
+            key, row, meta = g["key"].to_numpy(), g["row"].to_numpy(), meta[order]
+            kind, n, rest, part = meta >> 52, (meta >> 27) & ((1 << 25) - 1), (meta >> 2) & ((1 << 25) - 1), meta & 3
+            rest = n - rest
             side, level, folded = decode_maps(g["map"])
             at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             end = np.repeat(np.append(at[1:], len(key)), np.diff(np.append(at, len(key))))
@@ -225,7 +232,7 @@ def near_pairs(num: int, den: int):
                         apart = np.bitwise_count(m[i[at]] ^ m[j[at]]).sum(axis=1, dtype=np.int64)
                         ok[at] &= apart <= spare[j[at]] + n[i[at]]
                 i, j = i[ok], j[ok]
-                got.append(np.stack([kind[i].astype(np.int64), np.minimum(row[i], row[j]), np.maximum(row[i], row[j])]))
+                got.append(np.stack([kind[i], np.minimum(row[i], row[j]), np.maximum(row[i], row[j])]))
 
             for lo, hi in _chunks(np.where(long, 0, count), 1 << 20):
                 c = np.where(long[lo:hi], 0, count[lo:hi])
@@ -332,11 +339,10 @@ def similar_classes(
     reps = classes.select(F.col("kind"), F.col("rep").alias("row"))
     posts = (
         sig.join(reps, ["kind", "row"], "left_semi")
-        .select("kind", "row", "n", "map", F.arrays_zip("keys", "part").alias("z")).select("kind", "row", "n", "map", F.inline("z"))
-        .withColumnRenamed("keys", "key")
+        .select("row", "map", F.arrays_zip("keys", "meta").alias("z")).select("row", "map", F.inline("z")).withColumnRenamed("keys", "key")
     )
     found = (
-        posts.repartition("key").sortWithinPartitions("key", "n", "part")
+        posts.repartition("key").sortWithinPartitions("key")
         .mapInArrow(near_pairs(num, den), "kind int, a bigint, b bigint").distinct()
     )
     links = cut(verified(cut(found), texts, least, num, den))
