@@ -12,7 +12,7 @@ Both ways give the same candidates and use the same alignment.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bags import mix64, spans, words
+from ..session import cut
 
 #: What stands before a numbered statement or an answer option at the start of a line.
 LIST_MARK = r"^\s*(?:\d{1,3}|[A-Za-z])\s*[.)]\s*"
@@ -66,6 +67,23 @@ def _segments(text: str) -> list[str]:
     return out
 
 
+def _parts(question: str | None) -> list[tuple[bool, np.ndarray]]:
+    """(is an answer option, words) of each segment of a question."""
+    lines = [(bool(re.match(OPTION, x)), x) for x in (question or "").split("\n")]
+    flat = [(opt, s) for opt, line in lines for s in _segments(line)]
+    return list(zip([o for o, _ in flat], sequence([s for _, s in flat])))
+
+
+def _forms(kept: list[tuple[bool, np.ndarray]]) -> list[np.ndarray]:
+    """The item's words with its options, and without them where that differs."""
+    out: dict[bytes, np.ndarray] = {}
+    for seq in ([s for _, s in kept], [s for option, s in kept if not option]):
+        got = np.concatenate(seq) if seq else np.zeros(0, dtype=np.uint64)
+        if len(got):
+            out.setdefault(got.tobytes(), got)
+    return list(out.values())
+
+
 def own_content(rows: list[int], questions: list[str | None], shared_by: int = 2, stem_words: int = 4, stem_by: int = 5) -> Items:
     """Each item's own words: segments worded alike in several items are command wording and left out, so are the opening
     words of a segment that at least ``stem_by`` items begin a segment with (``stem_words`` or more of them).
@@ -73,11 +91,7 @@ def own_content(rows: list[int], questions: list[str | None], shared_by: int = 2
     List numbers and option letters are no words of the content. Answer options are kept in one sequence of the item and left
     out of the other. An item without own words has no sequence; a null question has none.
     """
-    parts = []  # per item: (is option, words of the segment)
-    for q in questions:
-        lines = [(bool(re.match(OPTION, x)), x) for x in (q or "").split("\n")]
-        flat = [(opt, s) for opt, line in lines for s in _segments(line)]
-        parts.append(list(zip([o for o, _ in flat], sequence([s for _, s in flat]))))
+    parts = [_parts(q) for q in questions]
     seen: dict[bytes, set] = defaultdict(set)
     stems: dict[bytes, set] = defaultdict(set)
     for i, item in enumerate(parts):
@@ -98,15 +112,9 @@ def own_content(rows: list[int], questions: list[str | None], shared_by: int = 2
                     if len(stems[seg[:k].tobytes()]) >= stem_by:
                         cut = k
             kept.append((option, seg[cut:]))
-        full = [s for _, s in kept]
-        bare = [s for option, s in kept if not option]
-        done = set()
-        for seq in (full, bare):
-            got = np.concatenate(seq) if seq else np.zeros(0, dtype=np.uint64)
-            if len(got) and got.tobytes() not in done:
-                done.add(got.tobytes())
-                out.owner.append(rows[i])
-                out.words.append(got)
+        for got in _forms(kept):
+            out.owner.append(rows[i])
+            out.words.append(got)
     return out
 
 
@@ -255,22 +263,57 @@ def _search(shared, least: int, num: int, den: int):
     return search
 
 
-def _joined(corpus: DataFrame, tests: DataFrame, least: int, num: int, den: int) -> DataFrame:
-    """The same search for a test set too large to broadcast: n-grams of both sides are joined, candidates are aligned."""
-    need = least_grams(least, num, den)
+def _content(tests: DataFrame, shared_by: int = 2, stem_words: int = 4, stem_by: int = 5) -> DataFrame:
+    """:func:`own_content` over a distributed test set: (test_row, form, item, grams)."""
 
-    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items = own_content(b["row"].to_pylist(), b["text"].to_pylist())
+            got = [(r, i, o, w) for r, q in zip(b["row"].to_pylist(), b["text"].to_pylist()) for i, (o, w) in enumerate(_parts(q))]
+            fold = lambda w: int(_digest(w))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(items.owner, pa.int64()), pa.array(np.arange(len(items.owner)) % 2, pa.int32()),
-                    pa.array([w.view(np.int64) for w in items.words], pa.list_(pa.int64())),
-                    pa.array([np.unique(grams(w)).view(np.int64) for w in items.words], pa.list_(pa.int64())),
+                    pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.bool_()),
+                    pa.array([g[3].view(np.int64) for g in got], pa.list_(pa.int64())), pa.array([fold(g[3]) for g in got], pa.int64()),
+                    pa.array([[] if g[2] else [fold(g[3][:k]) for k in range(stem_words, len(g[3]) + 1)] for g in got], pa.list_(pa.int64())),
                 ],
-                ["test_row", "form", "item", "grams"],
+                ["test_row", "pos", "option", "words", "whole", "stems"],
             )
 
+    segs = cut(tests.select("row", "text").where("row IS NOT NULL").mapInArrow(
+        segment, "test_row bigint, pos int, option boolean, words array<bigint>, whole bigint, stems array<bigint>"))
+    command = segs.where("NOT option").groupBy("whole").agg(F.countDistinct("test_row").alias("n")).where(F.col("n") >= shared_by)
+    command = command.select("whole", F.lit(False).alias("option"))
+    stems = segs.select("test_row", "pos", F.size("words").alias("size"), F.posexplode("stems").alias("k", "stem"))
+    hot = stems.groupBy("stem").agg(F.countDistinct("test_row").alias("n")).where(F.col("n") >= stem_by).select("stem")
+    cuts = stems.join(hot, "stem", "left_semi").where(F.col("k") + stem_words < F.col("size")).groupBy("test_row", "pos").agg((F.max("k") + stem_words).alias("cut"))
+    kept = segs.join(command, ["whole", "option"], "left_anti").join(cuts, ["test_row", "pos"], "left")
+
+    def assemble(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("pos")
+        kept = [(bool(o), np.array(w, dtype=np.int64).view(np.uint64)[0 if c != c or c is None else int(c) :]) for o, w, c in zip(pdf["option"], pdf["words"], pdf["cut"])]
+        forms = _forms(kept)
+        return pd.DataFrame({
+            "test_row": [pdf["test_row"].iloc[0]] * len(forms), "form": range(len(forms)), "item": [f.view(np.int64).tolist() for f in forms],
+            "grams": [np.unique(grams(f)).view(np.int64).tolist() for f in forms],
+        })
+
+    return cut(kept.select("test_row", "pos", "option", "words", "cut").groupBy("test_row").applyInPandas(assemble, "test_row bigint, form int, item array<bigint>, grams array<bigint>"))
+
+
+def _digest(w: np.ndarray) -> np.int64:
+    x = np.uint64(len(w))
+    with np.errstate(over="ignore"):
+        for v in w:
+            x = mix64(np.array([x * np.uint64(0x100000001B3) + v]))[0]
+    return np.array([x]).view(np.int64)[0]
+
+
+def _joined(corpus: DataFrame, tests: DataFrame, least: int, num: int, den: int) -> DataFrame:
+    """The same search for a test set too large to broadcast: n-grams of both sides are joined, candidates are aligned."""
+    need = least_grams(least, num, den)
+
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seqs = sequence(b["text"].to_pylist())
@@ -282,9 +325,7 @@ def _joined(corpus: DataFrame, tests: DataFrame, least: int, num: int, den: int)
                 ["kind", "row", "doc", "grams"],
             )
 
-    items = tests.select("row", "text").where("row IS NOT NULL").mapInArrow(
-        content, "test_row bigint, form int, item array<bigint>, grams array<bigint>"
-    )
+    items = _content(tests)
     docs = corpus.select("kind", "row", "text").mapInArrow(sequences, "kind int, row bigint, doc array<bigint>, grams array<bigint>")
     seeds = items.select("test_row", "form", F.explode("grams").alias("gram"))
     rare = seeds.groupBy("gram").agg((F.min("test_row") == F.max("test_row")).cast("int").alias("rare"))
@@ -309,4 +350,4 @@ def leak_report(found: DataFrame) -> DataFrame:
     return found.groupBy("test_row").agg(F.countDistinct("kind", "row").alias("documents"))
 
 
-__all__ = ["Counter", "leaks", "leak_report", "own_content", "align", "seeds_of", "least_grams"]
+__all__ = ["leaks", "leak_report", "own_content", "align", "seeds_of", "least_grams"]
