@@ -1,6 +1,8 @@
-"""Catalogue of the engine's queries and their SQL counterparts."""
+"""All catalogue queries and their SQL counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import dedup_queries, report_queries, retrieval_queries, text_queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "dedup_queries", "report_queries", "retrieval_queries", "text_queries"]
