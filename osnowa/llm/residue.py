@@ -130,7 +130,8 @@ def _kinds(bare: Column, said: Column, plain: Column) -> Column:
     out["promise"] = _has(said, r"(?iu)" + _START + r"[ \t]*(?:" + "|".join(PROMISES) + r")(?![\p{L}\p{N}])")
     out["error"] = _has(said, _statement(ERRORS))
     near = r"[^\n.!?]{0,60}"
-    out["script_notice"] = _has(
+    asked = r"(?iu)\b(?:switch|turn) (?:java ?script|scripting|scripts|cookies) on\b"
+    out["script_notice"] = _has(said, asked) | _has(
         said, r"(?iu)java ?script|\bjs\b|cookie|przeglądark|browser|obsługi skryptów|wyłączone skrypty|scripting|włącz skrypty"
     ) & _has(said, r"(?iu)" + SCRIPT + near + NEEDED + "|" + NEEDED + near + SCRIPT)
     out["human_check"] = _has(said, r"(?iu)" + HUMAN)
