@@ -30,7 +30,7 @@ def word_ngrams(text: Column, n: int = 4) -> Column:
 
     def runs(w: Column) -> Column:
         long = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), "\u0001"))
-        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(long))
+        return F.when(w.isNull(), None).when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(long))
 
     return let(words(text), runs)
 

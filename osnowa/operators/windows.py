@@ -34,8 +34,9 @@ def in_order(df: DataFrame, order: list[str], value: Column | None = None, posit
     for r in sums:  # one row per partition
         starts.append((r["_p"], n, s))
         n, s = n + r["n"], s + r["s"]
-    kind = ranged.schema["_v"].dataType.simpleString()
-    at = spark.createDataFrame(starts or [(0, 0, 0)], f"_p int, _n bigint, _s {'double' if kind in ('double', 'float') else 'bigint'}")
+    fractional = ranged.schema["_v"].dataType.simpleString() in ("double", "float")
+    rows = [(p, n, float(s) if fractional else int(s)) for p, n, s in starts or [(0, 0, 0)]]
+    at = spark.createDataFrame(rows, f"_p int, _n bigint, _s {'double' if fractional else 'bigint'}")
     w = Window.partitionBy("_p").orderBy(*order)
     inside = F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (

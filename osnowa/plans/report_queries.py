@@ -221,7 +221,7 @@ def year_to_epoch(t: Tables) -> DataFrame:
  (1492, 1815, 'early modern'), (1815, 1914, 'nineteenth'), (1914, 1946, 'wars'), (1946, 3000, 'recent')), m AS (SELECT doc_id, median(y) AS y FROM y GROUP BY 1) SELECT doc_id, label FROM m JOIN r ON y >= low AND y < high""")
 def epoch_of_documents(t: Tables) -> DataFrame:
     ranges = t.spark.createDataFrame(EPOCHS, "low int, high int, label string")
-    years = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]{3,4}) r\."), 1)).cast("int").alias("y"))
+    years = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]{3,4}) r\."), 1)).alias("y")).select("doc_id", F.col("y").cast("int").alias("y"))
     return reports.in_ranges(years.groupBy("doc_id").agg(F.median("y").alias("y")), F.col("y"), ranges).where("label IS NOT NULL").select("doc_id", "label")
 
 

@@ -70,8 +70,8 @@ def knn_distinct_captions(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_BM25}, one AS (SELECT query, row, rank FROM k WHERE rank <= 20),
  e AS (SELECT x.query, y.row_id AS row, row_number() OVER (PARTITION BY x.query ORDER BY y.row_id) AS rank FROM (SELECT DISTINCT query FROM one) x JOIN kompendium y ON y.row_id <= 20),
- u AS (SELECT query, row, rank, 0 AS l FROM one UNION ALL SELECT query, row, rank, 1 FROM e WHERE rank <= 20), s AS (SELECT query, row, round(sum(1.0 / (60 + rank)), 12) AS score, min((l, rank)) AS f FROM u GROUP BY 1, 2)
- SELECT query, row, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, f, row) AS rank FROM s) WHERE rank <= 10""")
+ u AS (SELECT query, row, rank, 0 AS l FROM one UNION ALL SELECT query, row, rank, 1 FROM e WHERE rank <= 20), z AS (SELECT query, row, round(sum(1.0 / (60 + rank)), 12) AS score, min((l, rank)) AS f FROM u GROUP BY 1, 2)
+ SELECT query, row, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, f, row) AS rank FROM z) WHERE rank <= 10""")
 def reciprocal_rank_fusion(t: Tables) -> DataFrame:
     lexical = _bm25(t, 20)
     first = t.kompendium.where("row_id <= 20").select(F.col("row_id").alias("row"), F.col("row_id").alias("rank"))
