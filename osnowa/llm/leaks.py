@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text.
 
 Test items become word sequences of their own content. Their n-grams seed the search: a passage with at most one word in seven
-altered keeps a known number of n-grams, and at least one of them must be rare, that is belong to a single item. A document
-that holds enough seeds of an item is aligned with it by Smith-Waterman, and the alignment is cut to the stretch of item words
-that is long and dense enough.
+altered keeps a known number of n-grams, and at least one of them must be rare, that is hold a word that few documents have. A
+document that holds enough seeds of an item is aligned with it by Smith-Waterman. A stretch of the alignment counts if it is long
+and dense enough and at least half of its rare words stand in the document: where only common wording agrees and the names
+and dates differ, nothing is given away. Word frequencies are counted over the whole corpus.
 
 The seeds of a test set are broadcast if they are few (``broadcast_seeds``); a larger test set is joined by n-gram instead.
 Both ways give the same candidates and use the same alignment.
@@ -30,6 +31,8 @@ OPTION = r"^\s*[A-Za-z]\s*[.)]\s*"
 GRAM = 3
 #: Seeds that are broadcast at most; about 16 bytes each.
 BROADCAST_SEEDS = 2_000_000
+#: A word is rare if at most this share of the documents has it, or at most so many documents.
+RARE_SHARE, RARE_DOCUMENTS = 0.002, 5
 
 
 def sequence(texts: list[str | None]) -> list[np.ndarray]:
@@ -56,6 +59,7 @@ class Items:
 
     owner: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
+    rare: list[np.ndarray] = field(default_factory=list)  # which words few documents have
 
 
 def _segments(text: str) -> list[str]:
@@ -86,7 +90,8 @@ def _forms(kept: list[tuple[bool, np.ndarray]]) -> list[np.ndarray]:
 
 def own_content(rows: list[int], questions: list[str | None], shared_by: int = 2, stem_words: int = 4, stem_by: int = 5) -> Items:
     """Each item's own words: segments worded alike in several items are command wording and left out, so are the opening
-    words of a segment that at least ``stem_by`` items begin a segment with (``stem_words`` or more of them).
+    words of a segment that at least ``stem_by`` items begin a segment with (``stem_words`` or more of them), and the rest of
+    such a segment too if other items have each of its words.
 
     List numbers and option letters are no words of the content. Answer options are kept in one sequence of the item and left
     out of the other. An item without own words has no sequence; a null question has none.
@@ -100,6 +105,11 @@ def own_content(rows: list[int], questions: list[str | None], shared_by: int = 2
                 seen[seg.tobytes()].add(i)
                 for k in range(stem_words, len(seg) + 1):
                     stems[seg[:k].tobytes()].add(i)
+    held: dict[int, set] = defaultdict(set)
+    for i, item in enumerate(parts):
+        for _, seg in item:
+            for w in seg.tolist():
+                held[w].add(i)
     out = Items()
     for i, item in enumerate(parts):
         kept = []
@@ -111,15 +121,50 @@ def own_content(rows: list[int], questions: list[str | None], shared_by: int = 2
                 for k in range(stem_words, len(seg)):
                     if len(stems[seg[:k].tobytes()]) >= stem_by:
                         cut = k
-            kept.append((option, seg[cut:]))
+            if not cut or any(len(held[w]) == 1 for w in seg[cut:].tolist()):
+                kept.append((option, seg[cut:]))
         for got in _forms(kept):
             out.owner.append(rows[i])
             out.words.append(got)
     return out
 
 
-def align(doc: np.ndarray, item: np.ndarray, least: int, num: int, den: int) -> bool:
-    """Whether a Smith-Waterman alignment holds ``least`` item words in a row of which at most num / den are altered.
+def document_counts(corpus: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each word of the sorted ``vocabulary`` stands, and how many documents there are."""
+    shared = corpus.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, docs = np.zeros(len(shared.value) + 1, dtype=np.int64), 0
+        for b in batches:
+            h, t = words(b["text"].to_pylist(), 1, digits=True)
+            docs += b.num_rows
+            at = np.searchsorted(shared.value, h)
+            at[at == len(shared.value)] = 0
+            ok = shared.value[at] == h if len(shared.value) else np.zeros(len(h), bool)
+            held[:-1] += np.bincount(np.unique(t[ok] * len(shared.value) + at[ok]) % max(len(shared.value), 1), minlength=len(held) - 1)
+        held[-1] = docs
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], ["word", "n"])
+
+    rows = corpus.select("text").mapInArrow(count, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    for r in rows:
+        out[r["word"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
+def mark_rare(items: Items, corpus: DataFrame) -> Items:
+    """Fills in which of the items' words at most RARE_SHARE of the documents have, RARE_DOCUMENTS at least."""
+    vocabulary = np.unique(np.concatenate(items.words)) if items.words else np.zeros(0, dtype=np.uint64)
+    df, total = document_counts(corpus, vocabulary)
+    few = df <= max(RARE_DOCUMENTS, total * RARE_SHARE)
+    items.rare = [few[np.searchsorted(vocabulary, seq)] for seq in items.words]
+    return items
+
+
+def align(doc: np.ndarray, item: np.ndarray, rare: np.ndarray, least: int, num: int, den: int) -> bool:
+    """Whether a Smith-Waterman alignment holds ``least`` item words in a row of which at most num / den are altered, and at
+    least half of the rare ones among them are not; without rare ones ``least`` words must be unaltered.
 
     Matching words score 1, a word replaced, dropped or inserted -1. Along the best local path each item word is matched or
     altered; a stretch of them counts if matches outweigh alterations by that share. Several paths are tried: after the best
@@ -147,25 +192,35 @@ def align(doc: np.ndarray, item: np.ndarray, least: int, num: int, den: int) ->
         i, j = divmod(int(ends.argmax()), m + 1)
         if ends[i, j] < least - 2 * (least * num // den + 1) - 2:
             return False
-        state = []  # of each item word on the path, from the last: matched or not
+        state, at = [], []  # of each item word on the path, from the last: matched or not, and its place
         while i > 0 and j > 0 and table[i, j] > 0:
             used[j] = True
             hit = doc[i - 1] == item[j - 1]
             if hit and table[i, j] == table[i - 1, j - 1] + 1:
                 state.append(True)
+                at.append(j - 1)
                 i, j = i - 1, j - 1
             elif not hit and table[i, j] == table[i - 1, j - 1] - 1:
                 state.append(False)
+                at.append(j - 1)
                 i, j = i - 1, j - 1
             elif table[i, j] == table[i, j - 1] - 1:
                 state.append(False)
+                at.append(j - 1)
                 j -= 1
             else:
                 i -= 1
-        gain = np.concatenate(([0], np.cumsum(np.where(state, num, num - den)))) if state else np.zeros(1)
-        # a stretch [a, b) of at least ``least`` words with altered * den <= length * num, i.e. gain[b] - gain[a] >= 0
-        low = np.minimum.accumulate(gain)
-        if len(gain) > least and (gain[least:] >= low[: len(gain) - least]).any():
+        if len(state) < least:
+            continue
+        ok, scarce = np.array(state), rare[np.array(at)]
+        total = lambda x: np.concatenate(([0], np.cumsum(x)))
+        # all stretches [a, b): altered * den <= length * num, and the rare words
+        within = lambda x: x[None, :] - x[:, None]
+        length = within(np.arange(len(state) + 1))
+        kept, rare_words = within(total(ok & scarce)), within(total(scarce))
+        own = (kept >= 1) & (kept * 2 >= rare_words) | (rare_words == 0) & (within(total(ok)) >= least)
+        good = (length >= least) & (within(total(np.where(ok, num, num - den))) >= 0) & own
+        if good.any():
             return True
     return False
 
@@ -179,20 +234,22 @@ class Seeds:
     rare: np.ndarray
 
 
+def rare_grams(rare: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """Which runs of n words hold a rare one."""
+    return np.array([rare[i : i + n].any() for i in range(max(len(rare) - n + 1, 0))], dtype=bool)
+
+
 def seeds_of(items: Items) -> Seeds:
-    g, s = [], []
-    for k, seq in enumerate(items.words):
-        x = np.unique(grams(seq))
+    g, s, r = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for k, (seq, rare) in enumerate(zip(items.words, items.rare)):
+        x, first = np.unique(grams(seq), return_index=True)
         g.append(x)
         s.append(np.full(len(x), k))
-    gram = np.concatenate(g) if g else np.zeros(0, dtype=np.uint64)
-    seq = np.concatenate(s) if s else np.zeros(0, dtype=np.int64)
+        r.append(rare_grams(rare)[first])
+    gram, seq, rare = np.concatenate(g), np.concatenate(s), np.concatenate(r)
     o = np.argsort(gram, kind="stable")
-    gram, seq = gram[o], seq[o]
-    keys, start, count = np.unique(gram, return_index=True, return_counts=True)
-    owner = np.array(items.owner, dtype=np.int64)[seq] if len(seq) else np.zeros(0, np.int64)
-    rare = np.array([len(set(owner[a : a + c])) == 1 for a, c in zip(start, count)], dtype=bool)
-    return Seeds(keys, start, start + count, seq, rare)
+    keys, start, count = np.unique(gram[o], return_index=True, return_counts=True)
+    return Seeds(keys, start, start + count, seq[o], rare[o])
 
 
 def least_grams(least: int, num: int, den: int, n: int = GRAM) -> int:
@@ -214,7 +271,7 @@ def leaks(
     chars = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     if chars <= broadcast_seeds:
         got = tests.select("row", "text").where("row IS NOT NULL").orderBy("row").collect()
-        items = own_content([r["row"] for r in got], [r["text"] for r in got])
+        items = mark_rare(own_content([r["row"] for r in got], [r["text"] for r in got]), corpus)
         shared = spark.sparkContext.broadcast((items, seeds_of(items)))
         return corpus.select("kind", "row", "text").mapInArrow(
             _search(shared, least, num, den), "kind int, row bigint, test_row bigint"
@@ -239,21 +296,20 @@ def _search(shared, least: int, num: int, den: int):
             hit = at[ok]
             count = seeds.stop[hit] - seeds.start[hit]
             rep = np.repeat(np.arange(len(ok)), count)
-            nth = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
-            seq = seeds.seq[seeds.start[hit][rep] + nth]
-            pair = t[ok][rep] * len(items.words) + seq
+            seed = seeds.start[hit][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
+            pair = t[ok][rep] * len(items.words) + seeds.seq[seed]
             # a gram counts once per text and item
-            both = np.unique(np.stack([pair, hit[rep]]), axis=1)
+            both = np.unique(np.stack([pair, seed]), axis=1)
             pairs, at_pair = np.unique(both[0], return_inverse=True)
             total = np.bincount(at_pair)
             rare = np.bincount(at_pair, weights=seeds.rare[both[1]])
             off = spans(t, b.num_rows)
             rows, kinds = b["row"].to_numpy(), b["kind"].to_numpy()
             out = set()
-            for p in pairs[(total >= need) & (rare >= 1)]:
+            for p in pairs[(total >= need) & ((rare >= 1) | (total > least - GRAM))]:
                 doc, k = divmod(int(p), len(items.words))
                 found = (int(kinds[doc]), int(rows[doc]), items.owner[k])
-                if found not in out and align(h[off[doc] : off[doc + 1]], items.words[k], least, num, den):
+                if found not in out and align(h[off[doc] : off[doc + 1]], items.words[k], items.rare[k], least, num, den):
                     out.add(found)
             if out:
                 yield pa.RecordBatch.from_pydict(
@@ -263,7 +319,7 @@ def _search(shared, least: int, num: int, den: int):
     return search
 
 
-def _content(tests: DataFrame, shared_by: int = 2, stem_words: int = 4, stem_by: int = 5) -> DataFrame:
+def _content(tests: DataFrame, docs: DataFrame, shared_by: int = 2, stem_words: int = 4, stem_by: int = 5) -> DataFrame:
     """:func:`own_content` over a distributed test set: (test_row, form, item, grams)."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +343,17 @@ def _content(tests: DataFrame, shared_by: int = 2, stem_words: int = 4, stem_by:
     hot = stems.groupBy("stem").agg(F.countDistinct("test_row").alias("n")).where(F.col("n") >= stem_by).select("stem")
     cuts = stems.join(hot, "stem", "left_semi").where(F.col("k") + stem_words < F.col("size")).groupBy("test_row", "pos").agg((F.max("k") + stem_words).alias("cut"))
     kept = segs.join(command, ["whole", "option"], "left_anti").join(cuts, ["test_row", "pos"], "left")
+    words_ = segs.select("test_row", F.explode("words").alias("w")).groupBy("w").agg((F.min("test_row") == F.max("test_row")).cast("int").alias("single"))
+    rest = kept.where("cut IS NOT NULL").select("test_row", "pos", F.explode(F.expr("slice(words, cut + 1, size(words))")).alias("w")).join(words_, "w")
+    empty = rest.groupBy("test_row", "pos").agg(F.max("single").alias("any")).where(F.col("any") == 0).select("test_row", "pos")
+    kept = kept.join(empty, ["test_row", "pos"], "left_anti")
+    own = F.slice("words", F.coalesce("cut", F.lit(0)) + 1, F.greatest(F.size("words"), F.lit(1)))
+    held = kept.select("test_row", F.explode(own).alias("w")).distinct()
+    total = docs.agg((F.count(F.lit(1)) * RARE_SHARE).alias("most"))
+    seen = docs.select(F.explode(F.array_distinct("doc")).alias("w")).join(held.select("w").distinct(), "w").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    common = seen.crossJoin(total).where(F.col("df") > F.greatest("most", F.lit(float(RARE_DOCUMENTS)))).select("w")
+    rare = held.join(common, "w", "left_anti").groupBy("test_row").agg(F.collect_set("w").alias("rare"))  # at most an item's words
+    kept = kept.join(rare, "test_row", "left")
 
     def assemble(pdf):
         import pandas as pd
@@ -294,12 +361,18 @@ def _content(tests: DataFrame, shared_by: int = 2, stem_words: int = 4, stem_by:
         pdf = pdf.sort_values("pos")
         kept = [(bool(o), np.array(w, dtype=np.int64).view(np.uint64)[0 if c != c or c is None else int(c) :]) for o, w, c in zip(pdf["option"], pdf["words"], pdf["cut"])]
         forms = _forms(kept)
+        held = pdf["rare"].iloc[0]
+        held = np.array([] if held is None else held, dtype=np.int64).view(np.uint64)
+        flags = [np.isin(f, held) for f in forms]
+        keys = [np.unique(grams(f), return_index=True) for f in forms]
         return pd.DataFrame({
             "test_row": [pdf["test_row"].iloc[0]] * len(forms), "form": range(len(forms)), "item": [f.view(np.int64).tolist() for f in forms],
-            "grams": [np.unique(grams(f)).view(np.int64).tolist() for f in forms],
+            "scarce": [x.tolist() for x in flags], "grams": [k.view(np.int64).tolist() for k, _ in keys],
+            "rares": [rare_grams(x)[i].astype(int).tolist() for x, (_, i) in zip(flags, keys)],
         })
 
-    return cut(kept.select("test_row", "pos", "option", "words", "cut").groupBy("test_row").applyInPandas(assemble, "test_row bigint, form int, item array<bigint>, grams array<bigint>"))
+    shape = "test_row bigint, form int, item array<bigint>, scarce array<boolean>, grams array<bigint>, rares array<int>"
+    return cut(kept.select("test_row", "pos", "option", "words", "cut", "rare").groupBy("test_row").applyInPandas(assemble, shape))
 
 
 def _digest(w: np.ndarray) -> np.int64:
@@ -325,24 +398,23 @@ def _joined(corpus: DataFrame, tests: DataFrame, least: int, num: int, den: int)
                 ["kind", "row", "doc", "grams"],
             )
 
-    items = _content(tests)
     docs = corpus.select("kind", "row", "text").mapInArrow(sequences, "kind int, row bigint, doc array<bigint>, grams array<bigint>")
-    seeds = items.select("test_row", "form", F.explode("grams").alias("gram"))
-    rare = seeds.groupBy("gram").agg((F.min("test_row") == F.max("test_row")).cast("int").alias("rare"))
-    hits = docs.select("kind", "row", F.explode("grams").alias("gram")).join(seeds.join(rare, "gram"), "gram")
+    items = _content(tests, docs)
+    seeds = items.select("test_row", "form", F.inline(F.arrays_zip("grams", "rares"))).withColumnsRenamed({"grams": "gram", "rares": "rare"})
+    hits = docs.select("kind", "row", F.explode("grams").alias("gram")).join(seeds, "gram")
     pairs = hits.groupBy("kind", "row", "test_row", "form").agg(F.count(F.lit(1)).alias("n"), F.max("rare").alias("rare"))
-    pairs = pairs.where((F.col("n") >= need) & (F.col("rare") > 0)).select("kind", "row", "test_row", "form")
-    full = pairs.join(docs.drop("grams"), ["kind", "row"]).join(items.drop("grams"), ["test_row", "form"])
+    pairs = pairs.where((F.col("n") >= need) & ((F.col("rare") > 0) | (F.col("n") > least - GRAM))).select("kind", "row", "test_row", "form")
+    full = pairs.join(docs.drop("grams"), ["kind", "row"]).join(items.drop("grams", "rares"), ["test_row", "form"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [
-                align(np.array(d, dtype=np.int64), np.array(q, dtype=np.int64), least, num, den)
-                for d, q in zip(b["doc"].to_pylist(), b["item"].to_pylist())
+                align(np.array(d, dtype=np.int64), np.array(q, dtype=np.int64), np.array(x, dtype=bool), least, num, den)
+                for d, q, x in zip(b["doc"].to_pylist(), b["item"].to_pylist(), b["scarce"].to_pylist())
             ]
             yield b.select(["kind", "row", "test_row"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.select("kind", "row", "test_row", "doc", "item").mapInArrow(check, "kind int, row bigint, test_row bigint").distinct()
+    return full.select("kind", "row", "test_row", "doc", "item", "scarce").mapInArrow(check, "kind int, row bigint, test_row bigint").distinct()
 
 
 def leak_report(found: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ janek jasiek; janina: janka; jerzy: jurek; joanna: joasia asia; jozef: jozek ziu
 konstanty: kostek; krystyna: krysia kryska; krzysztof: krzysiek krzys; leon: leonek; leopold: poldek leo; ludwik: ludek lutek; ludwika: ludka ludwisia; lukasz: lukaszek;
 maciej: maciek macius; magdalena: magda magdusia; malgorzata: gosia malgosia; marcin: marcinek; marek: mareczek; maria: marysia mania marynia; mateusz: mateuszek; michal: michas
 misiek; mikolaj: mikolajek miki; natalia: natalka; pawel: pawelek; piotr: piotrek piotrus; rafal: rafalek; regina: renia reginka; roman: romek romus; stanislaw: stach stas staszek;
-stefan: stefek; szymon: szymek szymus; tadeusz: tadek; teodor: teos teodorek; teresa: tereska renia_t; tomasz: tomek tomus; urszula: ula ulka; waclaw: wacek; walenty: walek; wanda: wandzia
+stefan: stefek; szymon: szymek szymus; tadeusz: tadek; teodor: teos teodorek; teresa: tereska; tomasz: tomek tomus; urszula: ula ulka; waclaw: wacek; walenty: walek; wanda: wandzia
 wandeczka; wiktor: wiktorek; wincenty: wicek; wladyslaw: wladek; wlodzimierz: wlodek; wojciech: wojtek wojtus; zbigniew: zbyszek; zofia: zosia zoska; zygmunt: zyga zygmus
 """
 TITLES = set(
@@ -45,6 +45,8 @@ EPITHETS = {"zwany", "zwana", "zw", "alias", "vel", "przydomek"}
 PLACES = {"z", "ze", "von", "de", "od"}
 POLISH = str.maketrans("ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "acelnoszzACELNOSZZ")
 SCANNED = str.maketrans({"0": "o", "1": "l", "5": "s", "8": "b"})
+#: Letter pairs and the letter they are scanned from.
+SCANNED_PAIRS = {"rn": "m", "vv": "w", "ii": "u"}
 FORM = "sur string, g1 string, f1 boolean, g2 string, f2 boolean, sex string"
 
 
@@ -92,6 +94,8 @@ def first_name(token: str) -> str | None:
         full = [n for n in near if n in within(trie, token)]
         if len(full) == 1:
             return full[0]
+        if scanned(token) != token:
+            return first_name(scanned(token))
     return None
 
 
@@ -105,12 +109,20 @@ ENDINGS = [
 GENITIVE_OF = {"franciszka": "franciszek", "ludwika": "ludwik", "aleksandra": "aleksander"}
 
 
+def scanned(token: str) -> str:
+    """Pairs of letters that scanning puts for one are put back, in clean names too, so both sides agree."""
+    for pair, one in SCANNED_PAIRS.items():
+        token = token.replace(pair, one)
+    return token
+
+
 def family(token: str) -> tuple[str, str]:
-    """Stem and gender of a folded family name."""
+    """Stem and gender of a folded family name; a final vowel, which gender and case change, is no part of the stem."""
+    token = scanned(token)
     for end, stem, sex in sorted(ENDINGS, key=lambda e: -len(e[0])):
         if token.endswith(end) and len(token) > len(end) + 2:
             return token[: -len(end)] + stem, sex
-    return token, ""
+    return (token[:-1], "") if len(token) > 5 and token[-1] in "aiy" else (token, "")
 
 
 @functools.lru_cache(maxsize=200_000)
