@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -116,4 +116,4 @@ def union_top(rankings: list[tuple[str, DataFrame, int]]) -> DataFrame:
     return out
 
 
-__all__ = ["Window", "postings", "bm25", "cosine_top_k", "fuse", "recall_at", "rarest_terms", "own_terms", "union_top"]
+__all__ = ["postings", "bm25", "cosine_top_k", "fuse", "recall_at", "rarest_terms", "own_terms", "union_top"]
