@@ -83,12 +83,16 @@ def reciprocal_rank_fusion(t: Tables) -> DataFrame:
  h AS (SELECT g.query, min(k.rank) AS rank FROM g LEFT JOIN k ON k.query = g.query AND k.row = g.row AND k.rank <= 50 GROUP BY 1)
  SELECT c.k::INT AS k, count(*) AS queries, round(avg(CASE WHEN rank <= c.k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM h CROSS JOIN (VALUES (1), (5), (10), (20), (50)) c(k) GROUP BY 1""")
 def recall_at_k(t: Tables) -> DataFrame:
-    # gold: notes that quote the thirty characters after the colon; every run of thirty is looked up by equality
+    # gold: notes that quote the thirty characters after the colon; every run of that length is looked up by equality
     at = F.instr("question", ":")
     asked = t.exam.where(at > 0).select(F.col("row_id").alias("query"), F.lower(F.substring("question", at + 2, F.lit(30))).alias("key"))
+    # the key is shorter where the question ends: one run length per length of key, thirty at most
+    lengths = [r["n"] for r in asked.select(F.length("key").alias("n")).where("n > 0").distinct().collect()]
     low = F.lower("text")
-    n = F.greatest(F.length("text") - 29, F.lit(1))
-    runs = t.kompendium.where("text IS NOT NULL").select(F.col("row_id").alias("row"), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.lit(30)))).alias("key"))
+    cuts = F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("n")
+    notes = t.kompendium.where("text IS NOT NULL").select(F.col("row_id").alias("row"), low.alias("x"), cuts)
+    starts = F.sequence(F.lit(1), F.greatest(F.length("x") - F.col("n") + 1, F.lit(1)))
+    runs = notes.select("row", F.explode(F.transform(starts, lambda i: F.substring(F.col("x"), i, F.col("n")))).alias("key"))
     gold = asked.join(runs, "key").select("query", "row").distinct()
     return retrieval.recall_at(_bm25(t, 50), gold, [1, 5, 10, 20, 50])
 
