@@ -155,7 +155,7 @@ def upper_median(t: Tables) -> DataFrame:
     return ranked.groupBy(F.col("l_returnflag").alias("flag")).agg(F.min("v").alias("least"), F.max(F.when(F.expr("r = n DIV 2 + 1"), F.col("v"))).alias("upper_median"), F.max("v").alias("most"))
 
 
-@query(r"""WITH w AS (SELECT CASE WHEN lower(lang) = 'pl' THEN 1.0 WHEN lower(lang) = 'en' THEN 0.25 ELSE 0.0 END AS k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents)
+@query(r"""WITH w AS (SELECT CASE WHEN lower(lang) = 'pl' THEN 1.0 WHEN lower(lang) = 'en' THEN 0.25 ELSE 0.0 END::DOUBLE AS k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents)
  SELECT token, count(*) AS n, round(sum(k), 2) AS weighted FROM w GROUP BY token ORDER BY weighted DESC, token LIMIT 200""")
 def weighted_tokens(t: Tables) -> DataFrame:
     k = F.when(F.lower("lang") == "pl", 1.0).when(F.lower("lang") == "en", 0.25).otherwise(0.0)
