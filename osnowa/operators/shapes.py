@@ -71,8 +71,9 @@ def insert_after(text: Column, marker: str, block: str, end: str) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of a text; an abbreviation of up to three small letters, a single letter or a number before the stop ends none."""
-    marked = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?:\p{L}|\p{Ll}{1,3}|[0-9]{1,4})\.(?= )", "$0\u0002")
+    """Sentences of a text; an abbreviation of up to three small letters, or a capital
+    and a small one, a single letter or a number before the stop ends none."""
+    marked = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?:\p{L}|\p{Lu}\p{Ll}|\p{Ll}{1,3}|[0-9]{1,4})\.(?= )", "$0\u0002")
     parts = F.split(marked, r"(?<=[.!?…])\s+(?=\p{Lu})")
     return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0002"), F.lit("")))), lambda s: F.length(s) > 0)
 
