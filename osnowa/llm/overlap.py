@@ -1,9 +1,10 @@
 """Same or nearly the same records on both sides of a split.
 
-Records are min-hashed over their words, banded, and only buckets that hold both training and evaluation records are looked
-into. A word's chance to be the minimum is proportional to its weight, log(N / count) of a fixed-size frequency sketch, so the
-share of agreeing minima estimates a weighted Jaccard similarity: two records that share nothing but the wording of a command
-do not meet, edited copies do. Candidates are bounded by 128-bit maps within the bucket, and verified exactly on the texts.
+Under any order of all words, two texts whose word overlap is at least ``t`` share a word among the first n - ceil(t n) + 1 of
+each. Records are put under those words, rare ones first, and only groups that hold both training and evaluation records are
+looked into. Sizes, the places of the shared word, the prefixes under two further orders and 128-bit maps of both texts bound
+a pair; all are necessary conditions, so no pair is lost, and what passes is verified exactly on the texts. Word frequencies
+only order the words: copies and sketch collisions cost selectivity, never a result.
 
 Records with the same words on the same side form one class first, so a record repeated in a third of all rows is one entry.
 """
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 from ..functions.bags import as_set, mix64, words
 from ..session import cut
 from . import sketch
-from .neardup import _chunks, _maps, _sums, common_words, fixed_binary, least_common
+from .neardup import _SALTS, _chunks, _maps, _sums, common_words, fixed_binary, in_order, least_common, small
 from .neardup import spans as _spans
 
-#: Bands, and minima in a band. A pair of weighted similarity s is a candidate with probability 1 - (1 - s^ROWS)^BANDS.
-BANDS, ROWS = 28, 3
 BITS = 20
-_SIG = "row bigint, side int, n int, fp1 bigint, fp2 bigint, map binary, bands array<bigint>"
+#: 64-bit words of a record's map: the bag (2), its prefixes under the second and third order, the other text's bag (2).
+MAP_WORDS = 6
+_SIG = "row bigint, side int, n int, nx int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, rest array<int>"
 
 
 def _bag(texts: list, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,55 +48,44 @@ def _counts(df: DataFrame, least: int, bits: int) -> np.ndarray:
     return sketch.counts(df.select("main").mapInArrow(count, "bucket int, n bigint"), bits)
 
 
-def _minima(h: np.ndarray, weight: np.ndarray, off: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band keys of each text: of every hash function the word with the least -ln(u) / weight, ROWS of them hashed."""
-    some = np.flatnonzero(np.diff(off) > 0)
-    starts = off[:-1][some]
-    # scores depend on the word only: rank a batch's distinct words once per function, then take each text's least rank
-    distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-    weights = weight[first]
-    out = np.zeros((len(off) - 1, bands), dtype=np.uint64)
-    if not len(some):
-        return out
-    for band in range(bands):
-        key = np.full(len(some), band + 1, dtype=np.uint64)
-        for r in range(rows):
-            u = mix64(distinct ^ np.uint64((band * rows + r + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-            score = -np.log((u >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / weights
-            order = np.argsort(score, kind="stable")
-            rank = np.empty(len(order), dtype=np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            winner = distinct[order[np.minimum.reduceat(rank[which], starts)]]
-            with np.errstate(over="ignore"):
-                key = mix64(key * np.uint64(0x100000001B3) + winner)
-        out[some, band] = key
-    return out
-
-
-def _sign(df: DataFrame, freq, total: int, least: int, bands: int, rows: int) -> DataFrame:
+def _sign(df: DataFrame, freq, least: int, num: int, den: int) -> DataFrame:
+    """Of each record: sizes, fingerprints, maps, its prefix words and how many words stand from each on in the order. ``nx``
+    is -1 where the other text is missing."""
     bits = int(np.log2(len(freq.value)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             count = b.num_rows
             h, t = _bag(b["main"].to_pylist(), least)
             hx, tx = _bag(b["extra"].to_pylist(), least)
             off, offx = _spans(t, count), _spans(tx, count)
-            weight = np.log((total + 1) / freq.value[sketch.bucket_of(h, bits)].clip(1)) + 0.05
-            keys = _minima(h, weight, off, bands, rows)
+            n = np.diff(off)
+            prefix = n - least_common(n, num, den) + 1
+            c = freq.value[sketch.bucket_of(h, bits)].astype(np.int64)
+            nth = np.arange(len(h)) - off[t]
+            sides = []
+            for salt in _SALTS:
+                o = in_order(t, np.log2(c + 1).astype(np.uint64), mix64(h ^ salt))
+                keep = o[nth < prefix[t]]
+                sides.append(_maps(h[keep], t[keep], count, 64))
+            o = in_order(t, c, h)
+            chosen = (nth < prefix[t]) & (c[o] > 1)  # a word of one text joins nothing
+            keep, rest = o[chosen], (n[t] - nth)[chosen]
+            lists = pa.array(_spans(t[keep], count).astype(np.int32))
             with np.errstate(over="ignore"):  # both texts count for sameness
                 f1 = _sums(h, off) + _sums(mix64(hx + np.uint64(3)), offx)
                 f2 = _sums(mix64(h + np.uint64(1)), off) + _sums(mix64(hx + np.uint64(5)), offx)
-            maps = _maps(h, t, count, 128)
+            maps = np.hstack([_maps(h, t, count, 128), *sides, _maps(hx, tx, count, 128)])
+            missing = b["extra"].is_null().to_numpy(zero_copy_only=False)
+            # a missing text is asked for nothing, one without words is: they are no copies of each other
+            f1 = f1 + missing.astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b["row"], b["side"], pa.array(np.diff(off).astype(np.int32)),
+                    b["row"], b["side"], pa.array(n.astype(np.int32)), pa.array(np.where(missing, -1, np.diff(offx)).astype(np.int32)),
                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([m.tobytes() for m in maps], pa.binary()),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, count * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))
-                    ),
+                    pa.ListArray.from_arrays(lists, pa.array(h[keep].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(rest.astype(np.int32))),
                 ],
-                ["row", "side", "n", "fp1", "fp2", "map", "bands"],
+                ["row", "side", "n", "nx", "fp1", "fp2", "map", "keys", "rest"],
             )
 
     return df.select("row", "side", "main", "extra").mapInArrow(sign, _SIG)
@@ -107,23 +97,24 @@ def _grids(sig: DataFrame, block: int, bits: int = 16) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
-            keys = b["bands"].flatten().to_numpy().view(np.uint64)
+            keys = b["keys"].flatten().to_numpy().view(np.uint64)
             held += np.bincount(sketch.bucket_of(keys, bits), minlength=1 << bits)
         at = np.flatnonzero(held)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], ["bucket", "n"])
 
-    held = sketch.counts(sig.select("bands").mapInArrow(count, "bucket int, n bigint"), bits).astype(np.int64)
+    held = sketch.counts(sig.select("keys").mapInArrow(count, "bucket int, n bigint"), bits).astype(np.int64)
     return 1 + np.maximum(held - np.median(held).astype(np.int64), 0) // block
 
 
 def _posts(sig: DataFrame, grids) -> DataFrame:
-    """One row per record and band; a bucket of g parts becomes a grid of g x g groups that pair every part with every part."""
+    """One row per record and prefix word; a bucket of g parts becomes a grid of g x g groups that pair every part with every
+    part."""
     bits = int(np.log2(len(grids.value)))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b["bands"]
+            lists = b["keys"]
             keys = lists.flatten().to_numpy().view(np.uint64)
             at = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             grid = grids.value[sketch.bucket_of(keys, bits)]
@@ -137,35 +128,45 @@ def _posts(sig: DataFrame, grids) -> DataFrame:
                 key = np.where(grid[rep] == 1, keys[rep], mix64(keys[rep] + (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
             take = pa.array(at[rep])
             yield pa.RecordBatch.from_arrays(
-                [b["row"].take(take), b["side"].take(take), b["n"].take(take), b["map"].take(take), pa.array(key.view(np.int64))],
-                ["row", "side", "n", "map", "key"],
+                [*[b[c].take(take) for c in ("row", "side", "n", "nx", "map")], b["rest"].flatten().take(pa.array(rep)), pa.array(key.view(np.int64))],
+                ["row", "side", "n", "nx", "map", "rest", "key"],
             )
 
-    return sig.select("row", "side", "n", "map", "bands").mapInArrow(post, "row bigint, side int, n int, map binary, key bigint")
+    return sig.select("row", "side", "n", "nx", "map", "keys", "rest").mapInArrow(
+        post, "row bigint, side int, n int, nx int, map binary, rest int, key bigint"
+    )
 
 
 def _across(num: int, den: int):
-    """Within the rows of one bucket, sorted by side: pairs of one row of either side that can reach the overlap."""
+    """Within the rows of one word: pairs of one row of either side that can reach the overlap."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sketch.rows_by_key(batches, "key"):
-            key, row, n = g["key"].to_numpy(), g["row"].to_numpy(), g["n"].to_numpy().astype(np.int64)
-            side = g["side"].to_numpy()
-            maps = fixed_binary(g["map"], 2)
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.diff(np.append(at, len(key)))
-            end = np.repeat(at + size, size)
-            # within a bucket side 0 (train) stands before side 1: each train row meets the bucket's last rows
-            zero = np.add.reduceat((side == 0).astype(np.int64), at)
-            begin = np.repeat(at + zero, size)
-            count = np.where(side == 0, end - begin, 0)
+            group = np.cumsum(np.concatenate(([0], np.diff(g["key"].to_numpy()) != 0)))
+            place = ((group * 2 + g["side"].to_numpy()) << 25) | g["n"].to_numpy().astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            g, group, place = g.take(pa.array(order)), group[order], place[order]
+            row, n, nx = g["row"].to_numpy(), g["n"].to_numpy().astype(np.int64), g["nx"].to_numpy().astype(np.int64)
+            side, rest = g["side"].to_numpy(), g["rest"].to_numpy().astype(np.int64)
+            maps = [np.ascontiguousarray(m) for m in fixed_binary(g["map"], MAP_WORDS).T]
+            # each train row meets the group's evaluation rows of a size it can reach. Where this is the first word in common,
+            # the words from here on are all the two can share
+            eval_ = (group * 2 + 1) << 25
+            begin = np.searchsorted(place, eval_ | least_common(n, num, den))
+            end = np.searchsorted(place, eval_ | (rest * den // num), side="right")
+            count = np.where(side == 0, np.maximum(end - begin, 0), 0)
             got = []
             for lo, hi in _chunks(count, 1 << 20):
                 c = count[lo:hi]
                 i = np.repeat(np.arange(lo, hi), c)
                 j = begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-                apart = np.bitwise_count(maps[i, 0] ^ maps[j, 0]).astype(np.int64) + np.bitwise_count(maps[i, 1] ^ maps[j, 1])
+                apart = np.bitwise_count(maps[0][i] ^ maps[0][j]).astype(np.int64) + np.bitwise_count(maps[1][i] ^ maps[1][j])
                 ok = apart <= n[i] + n[j] - 2 * least_common(np.maximum(n[i], n[j]), num, den)
+                i, j = i[ok], j[ok]
+                ok = (rest[j] * den >= n[i] * num) & (maps[2][i] & maps[2][j] != 0) & (maps[3][i] & maps[3][j] != 0)
+                i, j = i[ok], j[ok]
+                apart = np.bitwise_count(maps[4][i] ^ maps[4][j]).astype(np.int64) + np.bitwise_count(maps[5][i] ^ maps[5][j])
+                ok = (nx[i] < 0) | (nx[j] < 0) | (apart <= nx[i] + nx[j] - 2 * least_common(np.maximum(nx[i], nx[j]), num, den))
                 got.append(np.stack([row[i[ok]], row[j[ok]]]))
             got = np.unique(np.concatenate(got, axis=1), axis=1) if got else np.zeros((2, 0), np.int64)
             if got.shape[1]:
@@ -175,7 +176,7 @@ def _across(num: int, den: int):
 
 
 def cross_split_classes(
-    records: DataFrame, num: int = 7, den: int = 10, least: int = 4, bands: int = BANDS, rows: int = ROWS, block: int = 1 << 13
+    records: DataFrame, num: int = 7, den: int = 10, least: int = 4, block: int = 1 << 13
 ) -> tuple[DataFrame, DataFrame]:
     """Members (row, rep, side) and links (a, b) across the split, of records (row bigint, side int, main, extra string).
 
@@ -190,15 +191,14 @@ def cross_split_classes(
         F.col("row").cast("bigint").alias("row"), F.col("side").cast("int").alias("side"), "main",
         F.when(F.length(F.trim("extra")) > 0, F.col("extra")).alias("extra"),
     ).where("row IS NOT NULL AND side IN (0, 1)")
-    array = _counts(data, least, BITS)
-    freq = spark.sparkContext.broadcast(array)
-    sig = cut(_sign(data, freq, int(array.max(initial=1)), least, bands, rows).where("n > 0"))
+    freq = spark.sparkContext.broadcast(_counts(data, least, BITS))
+    sig = cut(_sign(data, freq, least, num, den).where("n > 0"))
     classes = cut(sig.groupBy("side", "fp1", "fp2").agg(F.min("row").alias("rep")))
     members = sig.select("row", "side", "fp1", "fp2").join(classes, ["side", "fp1", "fp2"]).select("row", "side", "rep").distinct()
     slim = sig.join(classes.select("side", F.col("rep").alias("row")), ["side", "row"], "left_semi")
-    posts = _posts(slim, spark.sparkContext.broadcast(_grids(sig, block)))
+    posts = _posts(slim, spark.sparkContext.broadcast(_grids(slim, block)))
     found = (
-        posts.repartition("key").sortWithinPartitions("key", "side")
+        posts.repartition("key").sortWithinPartitions("key")
         .mapInArrow(_across(num, den), "a bigint, b bigint").distinct()
     )
     return members, cut(_verified(cut(found), data, least, num, den))
@@ -211,7 +211,7 @@ def _verified(pairs: DataFrame, data: DataFrame, least: int, num: int, den: int)
     pick = lambda c: few.select(F.col("row").alias(c), F.col("main").alias(f"m{c}"), F.col("extra").alias(f"x{c}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 1 << 11):
             common, larger = common_words(b["ma"].to_pylist(), b["mb"].to_pylist(), least)
             ok = (common * den >= larger * num) & (larger > 0)
             xa, xb = b["xa"].to_pylist(), b["xb"].to_pylist()

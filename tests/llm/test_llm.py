@@ -187,6 +187,26 @@ def test_cross_split_overlap(spark):
     assert small == got
 
 
+def test_cross_split_overlap_loses_no_edited_copy_of_stock_wording(spark):
+    rng = random.Random(7)
+    abc = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    stock = ["stock" + abc(i) for i in range(20)]
+    rows = [(i, i % 2, " ".join(stock), None) for i in range(300)]  # a third of the rows
+    for i in range(300, 420):  # copies with rare words in place of up to six of twenty
+        w = stock[:]
+        for k in rng.sample(range(20), rng.randrange(1, 7)):
+            w[k] = "rare" + abc(i * 20 + k)
+        rows.append((i, i % 2, " ".join(w), rng.choice([None, "", "tekst zrodlowy jeden", "inne zdanie calkiem"])))
+    rows += [(i, i % 2, " ".join("solo" + abc(i * 20 + k) for k in range(20)), None) for i in range(420, 900)]
+    df = spark.createDataFrame(rows, "row bigint, side int, main string, extra string")
+    want = {
+        (a[0], b[0]) for a in rows if a[1] == 0 for b in rows
+        if b[1] == 1 and (a[2] == b[2] or share(a[2], b[2]) >= 0.7 - 1e-12) and (not a[3] or not b[3] or share(a[3], b[3]) >= 0.7 - 1e-12)
+    }
+    for block in (1 << 13, 16):
+        assert {tuple(r) for r in overlap.row_links(*overlap.cross_split_classes(df, block=block)).collect()} == want
+
+
 def test_quota(spark):
     rows = [(f"i{i}", "A.b" if i % 3 else "a B", "x" if i % 2 else "y", "s1") for i in range(300)] + [("i0", "a b", "x", "s1"), (None, "a b", "x", "s1"), ("z1", None, "x", None)]
     df = spark.createDataFrame(rows, "id string, c string, d string, s string")
