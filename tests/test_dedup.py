@@ -1,9 +1,12 @@
 """The flagship's steps against a plain loop."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from osnowa.functions import text
 from osnowa.operators import dedup, shapes, similarity
+from osnowa.plans import dedup_queries
 
 
 def grams(s):
@@ -33,3 +36,11 @@ def test_sentences_and_deficits(spark):
     assert got[0] == ["W 1410 r. Jagiełło wygrał.", "Potem odpoczął!", "Ks. Jan T. Nowak pisał."] and got[1] is None
     assert shapes.fill_deficits({"a": 4, "b": 2}, {"a": 1}, 4) == {"a": 2, "b": 2}
     assert shapes.fill_deficits({}, {}, 3) == {}
+
+
+def test_command_wording_is_no_contamination(spark):
+    command = "Wyjaśnij znaczenie faktu opisanego w źródle: "
+    exam = spark.createDataFrame([(command + "Kanał służy załodze.",), (None,)], "question string")
+    items = spark.createDataFrame([(1, command + "Poseł przywozi układ."), (2, command.upper() + "kanał, służy załodze"), (3, None)], "row_id bigint, question string")
+    t = SimpleNamespace(synthetic_items=items, exam=exam)
+    assert {r["row_id"] for r in dedup_queries.contamination_long_prefix_anti(t).collect()} == {1, 3}
