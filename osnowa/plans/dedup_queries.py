@@ -67,6 +67,37 @@ def kept_by_language(t: Tables) -> DataFrame:
     return rejected_also_block(t).join(t.documents.select("doc_id", "lang"), "doc_id").groupBy(labelled(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _whole_pairs(t: Tables) -> DataFrame:
+    return similarity.jaccard_pairs(similarity.gram_sets(t.documents, "doc_id", text.word_ngrams(F.col("text"), 4)), 0.35)
+
+
+def _worded(t: Tables) -> DataFrame:
+    return t.documents.where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
+
+
+@query()  # these four have no SQL, as it takes minutes over whole documents; tests compare them with brute force
+def jaccard_pairs_documents(t: Tables) -> DataFrame:
+    return _whole_pairs(t).withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def greedy_neardup_documents(t: Tables) -> DataFrame:
+    return dedup.greedy_first(_worded(t), "doc_id", _whole_pairs(t))
+
+
+@query()
+def rejected_also_block_documents(t: Tables) -> DataFrame:
+    return dedup.drop_if_any_earlier(_worded(t), "doc_id", _whole_pairs(t))
+
+
+@query()
+def kept_documents_by_language(t: Tables) -> DataFrame:
+    from ..operators.reports import labelled
+
+    kept = rejected_also_block_documents(t).join(t.documents.select("doc_id", "lang"), "doc_id")
+    return kept.groupBy(labelled(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def flagship_dedup_counts(t: Tables) -> DataFrame:
     """Exact 4-gram similarity join of whole documents, keep-first dedup, counts per language."""
     from ..operators.reports import labelled
