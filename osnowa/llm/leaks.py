@@ -1,10 +1,10 @@
 """Evaluation texts leaking into training text.
 
 Test items become word sequences of their own content. Their n-grams seed the search: a passage with at most one word in seven
-altered keeps a known number of n-grams, and at least one of them must be rare, that is hold a word that few documents have. A
+altered keeps a known number of n-grams, and at least one of them must be the item's own, that is stand in no other item. A
 document that holds enough seeds of an item is aligned with it by Smith-Waterman. A stretch of the alignment counts if it is long
-and dense enough and at least half of its rare words stand in the document: where only common wording agrees and the names
-and dates differ, nothing is given away. Word frequencies are counted over the whole corpus.
+and dense enough and one of the item's own n-grams stands in it unaltered: wording shared by several items gives nothing away.
+What is own depends on the test set only, so a leak is found however many documents repeat it.
 
 The seeds of a test set are broadcast if they are few (``broadcast_seeds``); a larger test set is joined by n-gram instead.
 Both ways give the same candidates and use the same alignment.
@@ -31,8 +31,6 @@ OPTION = r"^\s*[A-Za-z]\s*[.)]\s*"
 GRAM = 3
 #: Seeds that are broadcast at most; about 16 bytes each.
 BROADCAST_SEEDS = 2_000_000
-#: A word is rare if at most this share of the documents has it, or at most so many documents.
-RARE_SHARE, RARE_DOCUMENTS = 0.002, 5
 
 
 def sequence(texts: list[str | None]) -> list[np.ndarray]:
@@ -59,7 +57,7 @@ class Items:
 
     owner: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
-    rare: list[np.ndarray] = field(default_factory=list)  # which words few documents have
+    own: list[np.ndarray] = field(default_factory=list)  # which n-grams no other item has
 
 
 def _segments(text: str) -> list[str]:
@@ -129,76 +127,52 @@ def own_content(rows: list[int], questions: list[str | None], shared_by: int = 2
     return out
 
 
-def document_counts(corpus: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many documents each word of the sorted ``vocabulary`` stands, and how many documents there are."""
-    shared = corpus.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs = np.zeros(len(shared.value) + 1, dtype=np.int64), 0
-        for b in batches:
-            h, t = words(b["text"].to_pylist(), 1, digits=True)
-            docs += b.num_rows
-            at = np.searchsorted(shared.value, h)
-            at[at == len(shared.value)] = 0
-            ok = shared.value[at] == h if len(shared.value) else np.zeros(len(h), bool)
-            held[:-1] += np.bincount(np.unique(t[ok] * len(shared.value) + at[ok]) % max(len(shared.value), 1), minlength=len(held) - 1)
-        held[-1] = docs
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], ["word", "n"])
-
-    rows = corpus.select("text").mapInArrow(count, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for r in rows:
-        out[r["word"]] = r["n"]
-    return out[:-1], int(out[-1])
-
-
-def mark_rare(items: Items, corpus: DataFrame) -> Items:
-    """Fills in which of the items' words at most RARE_SHARE of the documents have, RARE_DOCUMENTS at least."""
-    vocabulary = np.unique(np.concatenate(items.words)) if items.words else np.zeros(0, dtype=np.uint64)
-    df, total = document_counts(corpus, vocabulary)
-    few = df <= max(RARE_DOCUMENTS, total * RARE_SHARE)
-    items.rare = [few[np.searchsorted(vocabulary, seq)] for seq in items.words]
+def mark_own(items: Items) -> Items:
+    """Fills in which of the items' n-grams no other item has."""
+    held: dict[int, set] = defaultdict(set)
+    runs = [grams(seq).tolist() for seq in items.words]
+    for owner, run in zip(items.owner, runs):
+        for g in run:
+            held[g].add(owner)
+    items.own = [np.array([len(held[g]) == 1 for g in run], dtype=bool) for run in runs]
     return items
 
 
-def align(doc: np.ndarray, item: np.ndarray, rare: np.ndarray, least: int, num: int, den: int) -> bool:
+def align(doc: np.ndarray, item: np.ndarray, own: np.ndarray, least: int, num: int, den: int) -> bool:
     """Whether a Smith-Waterman alignment holds ``least`` item words in a row of which at most num / den are altered, and at
-    least half of the rare ones among them are not; without rare ones ``least`` words must be unaltered.
+    least one of the item's ``own`` n-grams among them is not.
 
     Matching words score 1, a word replaced, dropped or inserted -1. Along the best local path each item word is matched or
-    altered; a stretch of them counts if matches outweigh alterations by that share. Several paths are tried: after the best
-    one, the best of what begins elsewhere.
+    altered; a stretch of them counts if matches outweigh alterations by that share. After a path without such a stretch its
+    matches are struck out and the best of the remaining paths is taken, until none reaches the least score.
     """
     m = len(item)
     if m < least:
         return False
     col = np.arange(m + 1)
-    score = np.zeros(m + 1, dtype=np.int32)
-    rows = []
-    for w in doc:
-        hit = item == w
-        diag = score[:-1] + np.where(hit, 1, -1)
-        best = np.maximum(np.maximum(diag, score[1:] - 1), 0)
-        best = np.concatenate(([0], best))
-        # gaps along the item: best[j] = max over i <= j of best[i] - (j - i)
-        score = np.maximum.accumulate(best + col) - col
-        score = np.maximum(score, 0).astype(np.int32)
-        rows.append(score)
-    table = np.vstack([np.zeros(m + 1, dtype=np.int32), *rows])
-    used = np.zeros(m + 1, dtype=bool)
-    for _ in range(3):
-        ends = np.where(used[None, :], 0, table)
-        i, j = divmod(int(ends.argmax()), m + 1)
-        if ends[i, j] < least - 2 * (least * num // den + 1) - 2:
+    hits = doc[:, None] == item[None, :]
+    while True:
+        score = np.zeros(m + 1, dtype=np.int32)
+        rows = [score]
+        for hit in hits:
+            diag = score[:-1] + np.where(hit, 1, -1)
+            best = np.maximum(np.maximum(diag, score[1:] - 1), 0)
+            best = np.concatenate(([0], best))
+            # gaps along the item: best[j] = max over i <= j of best[i] - (j - i)
+            score = np.maximum.accumulate(best + col) - col
+            score = np.maximum(score, 0).astype(np.int32)
+            rows.append(score)
+        table = np.vstack(rows)
+        i, j = divmod(int(table.argmax()), m + 1)
+        if table[i, j] < max(least - 2 * (least * num // den + 1) - 2, 1):
             return False
-        state, at = [], []  # of each item word on the path, from the last: matched or not, and its place
+        state, at, struck = [], [], []  # of each item word on the path, from the last: matched or not, and its place
         while i > 0 and j > 0 and table[i, j] > 0:
-            used[j] = True
-            hit = doc[i - 1] == item[j - 1]
+            hit = hits[i - 1, j - 1]
             if hit and table[i, j] == table[i - 1, j - 1] + 1:
                 state.append(True)
                 at.append(j - 1)
+                struck.append((i - 1, j - 1))
                 i, j = i - 1, j - 1
             elif not hit and table[i, j] == table[i - 1, j - 1] - 1:
                 state.append(False)
@@ -210,19 +184,24 @@ def align(doc: np.ndarray, item: np.ndarray, rare: np.ndarray, least: int, num:
                 j -= 1
             else:
                 i -= 1
-        if len(state) < least:
-            continue
-        ok, scarce = np.array(state), rare[np.array(at)]
-        total = lambda x: np.concatenate(([0], np.cumsum(x)))
-        # all stretches [a, b): altered * den <= length * num, and the rare words
-        within = lambda x: x[None, :] - x[:, None]
-        length = within(np.arange(len(state) + 1))
-        kept, rare_words = within(total(ok & scarce)), within(total(scarce))
-        own = (kept >= 1) & (kept * 2 >= rare_words) | (rare_words == 0) & (within(total(ok)) >= least)
-        good = (length >= least) & (within(total(np.where(ok, num, num - den))) >= 0) & own
-        if good.any():
+        if len(state) >= least and _gives_away(np.array(state), np.array(at), own, least, num, den):
             return True
-    return False
+        for cell in struck:
+            hits[cell] = False
+
+
+def _gives_away(ok: np.ndarray, at: np.ndarray, own: np.ndarray, least: int, num: int, den: int) -> bool:
+    """Whether a path's item words, from the last, hold a stretch that counts."""
+    n = len(ok)
+    total = lambda x: np.concatenate(([0], np.cumsum(x)))
+    # all stretches [a, b): altered * den <= length * num, and an own n-gram unaltered
+    within = lambda x: x[None, :] - x[:, None]
+    whole = np.array([ok[k : k + GRAM].all() and own[at[k + GRAM - 1]] for k in range(n - GRAM + 1)], dtype=bool)
+    begun, most = total(whole), n - GRAM + 1
+    ends = np.clip(np.arange(n + 1) - GRAM + 1, 0, most)
+    kept = begun[ends][None, :] - begun[np.minimum(np.arange(n + 1), most)][:, None]
+    good = (within(np.arange(n + 1)) >= least) & (within(total(np.where(ok, num, num - den))) >= 0) & (kept >= 1)
+    return bool(good.any())
 
 
 @dataclass
@@ -231,25 +210,20 @@ class Seeds:
     start: np.ndarray
     stop: np.ndarray
     seq: np.ndarray
-    rare: np.ndarray
-
-
-def rare_grams(rare: np.ndarray, n: int = GRAM) -> np.ndarray:
-    """Which runs of n words hold a rare one."""
-    return np.array([rare[i : i + n].any() for i in range(max(len(rare) - n + 1, 0))], dtype=bool)
+    own: np.ndarray
 
 
 def seeds_of(items: Items) -> Seeds:
     g, s, r = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    for k, (seq, rare) in enumerate(zip(items.words, items.rare)):
+    for k, (seq, own) in enumerate(zip(items.words, items.own)):
         x, first = np.unique(grams(seq), return_index=True)
         g.append(x)
         s.append(np.full(len(x), k))
-        r.append(rare_grams(rare)[first])
-    gram, seq, rare = np.concatenate(g), np.concatenate(s), np.concatenate(r)
+        r.append(own[first])
+    gram, seq, own = np.concatenate(g), np.concatenate(s), np.concatenate(r)
     o = np.argsort(gram, kind="stable")
     keys, start, count = np.unique(gram[o], return_index=True, return_counts=True)
-    return Seeds(keys, start, start + count, seq[o], rare[o])
+    return Seeds(keys, start, start + count, seq[o], own[o])
 
 
 def least_grams(least: int, num: int, den: int, n: int = GRAM) -> int:
@@ -271,7 +245,7 @@ def leaks(
     chars = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     if chars <= broadcast_seeds:
         got = tests.select("row", "text").where("row IS NOT NULL").orderBy("row").collect()
-        items = mark_rare(own_content([r["row"] for r in got], [r["text"] for r in got]), corpus)
+        items = mark_own(own_content([r["row"] for r in got], [r["text"] for r in got]))
         shared = spark.sparkContext.broadcast((items, seeds_of(items)))
         return corpus.select("kind", "row", "text").mapInArrow(
             _search(shared, least, num, den), "kind int, row bigint, test_row bigint"
@@ -302,14 +276,14 @@ def _search(shared, least: int, num: int, den: int):
             both = np.unique(np.stack([pair, seed]), axis=1)
             pairs, at_pair = np.unique(both[0], return_inverse=True)
             total = np.bincount(at_pair)
-            rare = np.bincount(at_pair, weights=seeds.rare[both[1]])
+            own = np.bincount(at_pair, weights=seeds.own[both[1]])
             off = spans(t, b.num_rows)
             rows, kinds = b["row"].to_numpy(), b["kind"].to_numpy()
             out = set()
-            for p in pairs[(total >= need) & ((rare >= 1) | (total > least - GRAM))]:
+            for p in pairs[(total >= need) & (own >= 1)]:
                 doc, k = divmod(int(p), len(items.words))
                 found = (int(kinds[doc]), int(rows[doc]), items.owner[k])
-                if found not in out and align(h[off[doc] : off[doc + 1]], items.words[k], items.rare[k], least, num, den):
+                if found not in out and align(h[off[doc] : off[doc + 1]], items.words[k], items.own[k], least, num, den):
                     out.add(found)
             if out:
                 yield pa.RecordBatch.from_pydict(
@@ -319,8 +293,8 @@ def _search(shared, least: int, num: int, den: int):
     return search
 
 
-def _content(tests: DataFrame, docs: DataFrame, shared_by: int = 2, stem_words: int = 4, stem_by: int = 5) -> DataFrame:
-    """:func:`own_content` over a distributed test set: (test_row, form, item, grams)."""
+def _content(tests: DataFrame, shared_by: int = 2, stem_words: int = 4, stem_by: int = 5) -> DataFrame:
+    """:func:`own_content` over a distributed test set: (test_row, form, item, own, grams, owns)."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,32 +321,24 @@ def _content(tests: DataFrame, docs: DataFrame, shared_by: int = 2, stem_words:
     rest = kept.where("cut IS NOT NULL").select("test_row", "pos", F.explode(F.expr("slice(words, cut + 1, size(words))")).alias("w")).join(words_, "w")
     empty = rest.groupBy("test_row", "pos").agg(F.max("single").alias("any")).where(F.col("any") == 0).select("test_row", "pos")
     kept = kept.join(empty, ["test_row", "pos"], "left_anti")
-    own = F.slice("words", F.coalesce("cut", F.lit(0)) + 1, F.greatest(F.size("words"), F.lit(1)))
-    held = kept.select("test_row", F.explode(own).alias("w")).distinct()
-    total = docs.agg((F.count(F.lit(1)) * RARE_SHARE).alias("most"))
-    seen = docs.select(F.explode(F.array_distinct("doc")).alias("w")).join(held.select("w").distinct(), "w").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    common = seen.crossJoin(total).where(F.col("df") > F.greatest("most", F.lit(float(RARE_DOCUMENTS)))).select("w")
-    rare = held.join(common, "w", "left_anti").groupBy("test_row").agg(F.collect_set("w").alias("rare"))  # at most an item's words
-    kept = kept.join(rare, "test_row", "left")
-
     def assemble(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("pos")
         kept = [(bool(o), np.array(w, dtype=np.int64).view(np.uint64)[0 if c != c or c is None else int(c) :]) for o, w, c in zip(pdf["option"], pdf["words"], pdf["cut"])]
         forms = _forms(kept)
-        held = pdf["rare"].iloc[0]
-        held = np.array([] if held is None else held, dtype=np.int64).view(np.uint64)
-        flags = [np.isin(f, held) for f in forms]
-        keys = [np.unique(grams(f), return_index=True) for f in forms]
         return pd.DataFrame({
             "test_row": [pdf["test_row"].iloc[0]] * len(forms), "form": range(len(forms)), "item": [f.view(np.int64).tolist() for f in forms],
-            "scarce": [x.tolist() for x in flags], "grams": [k.view(np.int64).tolist() for k, _ in keys],
-            "rares": [rare_grams(x)[i].astype(int).tolist() for x, (_, i) in zip(flags, keys)],
+            "run": [grams(f).view(np.int64).tolist() for f in forms],
         })
 
-    shape = "test_row bigint, form int, item array<bigint>, scarce array<boolean>, grams array<bigint>, rares array<int>"
-    return cut(kept.select("test_row", "pos", "option", "words", "cut", "rare").groupBy("test_row").applyInPandas(assemble, shape))
+    shape = "test_row bigint, form int, item array<bigint>, run array<bigint>"
+    items = cut(kept.select("test_row", "pos", "option", "words", "cut").groupBy("test_row").applyInPandas(assemble, shape))
+    single = items.select("test_row", F.explode("run").alias("g")).groupBy("g").agg(F.min("test_row").alias("test_row"), F.max("test_row").alias("last"))
+    single = single.where("test_row = last").groupBy("test_row").agg(F.collect_set("g").alias("single"))  # at most an item's n-grams
+    is_own = lambda g: F.coalesce(F.array_contains("single", g), F.lit(False))
+    items = items.join(single, "test_row", "left").withColumn("own", F.transform("run", is_own)).withColumn("grams", F.array_distinct("run"))
+    return cut(items.withColumn("owns", F.transform("grams", lambda g: is_own(g).cast("int"))).select("test_row", "form", "item", "own", "grams", "owns"))
 
 
 def _digest(w: np.ndarray) -> np.int64:
@@ -399,22 +365,22 @@ def _joined(corpus: DataFrame, tests: DataFrame, least: int, num: int, den: int)
             )
 
     docs = corpus.select("kind", "row", "text").mapInArrow(sequences, "kind int, row bigint, doc array<bigint>, grams array<bigint>")
-    items = _content(tests, docs)
-    seeds = items.select("test_row", "form", F.inline(F.arrays_zip("grams", "rares"))).withColumnsRenamed({"grams": "gram", "rares": "rare"})
+    items = _content(tests)
+    seeds = items.select("test_row", "form", F.inline(F.arrays_zip("grams", "owns"))).withColumnsRenamed({"grams": "gram", "owns": "own"})
     hits = docs.select("kind", "row", F.explode("grams").alias("gram")).join(seeds, "gram")
-    pairs = hits.groupBy("kind", "row", "test_row", "form").agg(F.count(F.lit(1)).alias("n"), F.max("rare").alias("rare"))
-    pairs = pairs.where((F.col("n") >= need) & ((F.col("rare") > 0) | (F.col("n") > least - GRAM))).select("kind", "row", "test_row", "form")
-    full = pairs.join(docs.drop("grams"), ["kind", "row"]).join(items.drop("grams", "rares"), ["test_row", "form"])
+    pairs = hits.groupBy("kind", "row", "test_row", "form").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
+    pairs = pairs.where((F.col("n") >= need) & (F.col("own") > 0)).select("kind", "row", "test_row", "form")
+    full = pairs.join(docs.drop("grams"), ["kind", "row"]).join(items.drop("grams", "owns"), ["test_row", "form"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [
                 align(np.array(d, dtype=np.int64), np.array(q, dtype=np.int64), np.array(x, dtype=bool), least, num, den)
-                for d, q, x in zip(b["doc"].to_pylist(), b["item"].to_pylist(), b["scarce"].to_pylist())
+                for d, q, x in zip(b["doc"].to_pylist(), b["item"].to_pylist(), b["own"].to_pylist())
             ]
             yield b.select(["kind", "row", "test_row"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.select("kind", "row", "test_row", "doc", "item", "scarce").mapInArrow(check, "kind int, row bigint, test_row bigint").distinct()
+    return full.select("kind", "row", "test_row", "doc", "item", "own").mapInArrow(check, "kind int, row bigint, test_row bigint").distinct()
 
 
 def leak_report(found: DataFrame) -> DataFrame:

@@ -169,6 +169,26 @@ def test_leaks_both_ways(spark):
     assert leaks.leaks(corpus, tests.limit(0)).count() == 0
 
 
+def test_leaks_copied_many_times(spark):
+    passage = "Kanał żeglowny w Żarinyń służy odtąd załodze, którą dowodzi Małgorzata Batęsenadowicz. W okolicy Zelambsko działa".split()
+    passage[4], passage[9] = "zmienione", "inaczej"  # 15 words, two of them altered, three in a row unaltered between
+    tests = spark.createDataFrame([(i + 1, q) for i, q in enumerate(QUESTIONS)], "row bigint, text string")
+    corpus = spark.createDataFrame([(0, i, " ".join(passage) if i < 20 else f"Tekst {i}") for i in range(60)], "kind int, row bigint, text string")
+    for few in (leaks.BROADCAST_SEEDS, 0):
+        assert {tuple(r) for r in leaks.leaks(corpus, tests, broadcast_seeds=few).collect()} == {(0, i, 1) for i in range(20)}
+
+
+def test_true_passage_beside_a_longer_altered_copy():
+    item = np.arange(1, 41, dtype=np.uint64)
+    own = np.ones(38, dtype=bool)
+    altered = item.copy()
+    altered[3::4] = np.arange(900, 910)
+    doc = np.concatenate([altered, np.arange(500, 520, dtype=np.uint64), item[10:24]])
+    assert not leaks.align(altered, item, own, 14, 1, 7)
+    assert leaks.align(doc, item, own, 14, 1, 7)
+    assert not leaks.align(item, item, ~own, 14, 1, 7)  # all wording shared with other items
+
+
 def test_cross_split_overlap(spark):
     t = texts(200, 5)
     rng = random.Random(6)
