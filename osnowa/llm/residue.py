@@ -1,9 +1,10 @@
 """Template residue, filler, error messages and script notices in place of content.
 
 Everything is a native regular-expression predicate on the text column: one scan, no shuffle, no Python. Placeholders have one
-grammar per delimiter. Fenced and inline code is taken out first and so are lines that explain templates (they name the thing
-they show), unless placeholders are dense in the text outside of such lines. Messages count only as whole statements: at the
-start of a line or sentence and ended by its end, so the same words inside a sentence of real content do not count.
+grammar per delimiter. Fenced and inline code is taken out first. In lines that explain templates (they name the thing they
+show) placeholders do not count, unless the line holds more fields than words; all other rules see the full text. Messages
+count only as whole statements: at the start of a line or sentence and ended by its end, so the same words inside a sentence of
+real content do not count.
 """
 
 from __future__ import annotations
@@ -101,8 +102,8 @@ def _statement(options: list[str]) -> str:
 
 
 def content(text: Column) -> Column:
-    """The text without fenced and inline code."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?(?:```|$)", "\n"), r"`[^`\n]{1,200}`", " ")
+    """The text without closed fences and inline code."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", "\n"), r"`[^`\n]{1,200}`", " ")
 
 
 def let(value: Column, then) -> Column:
@@ -114,12 +115,15 @@ def _has(text: Column, pattern: str) -> Column:
     return text.rlike(pattern)
 
 
-def _kinds(bare: Column, said: Column, plain: Column) -> Column:
+def _dense(line: Column) -> Column:
+    """Whether a line holds more fields than words."""
     any_field = "|".join(f"(?:{PLACEHOLDERS[k]})" for k in ("double_brace", "dollar_brace", "statement", "script_tag"))
-    # dense fields outweigh an explanation beside them: more than one in forty words
-    dense = _has(bare, any_field) & (F.size(F.regexp_extract_all(bare, F.lit(f"({any_field})"), 1)) * 40 > F.size(F.split(bare, r"\s+")))
+    words = F.regexp_extract_all(F.regexp_replace(line, any_field, " "), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.size(F.regexp_extract_all(line, F.lit(f"({any_field})"), 1)) > F.size(words)
+
+
+def _kinds(said: Column, plain: Column) -> Column:
     out = {k: _has(plain, p) for k, p in PLACEHOLDERS.items()}
-    out["dense_fields"] = dense & ~_has(bare, r"(?iu)\b(?:" + EXPLAINS + r")\b")
     out["mock_latin"] = _has(said, r"(?iu)\b(?:(?:" + "|".join(LATIN) + r")\b[\s,.;:]*){6,}")
     out["filler_phrase"] = _has(said, _statement(FILLER)) | _has(said, r"(?iu)\b(" + "|".join(FILLER) + r")\b(?:[\s,.;]+\1\b)+")
     out["repeated"] = _has(said, r"(?iu)(?<![\p{L}\p{N}])([\p{L}\p{N}]{3,}(?: [\p{L}\p{N}]{3,})?)(?:[ ,;.]+\1(?![\p{L}\p{N}])){2,}")
@@ -143,7 +147,7 @@ def kinds_of(text: Column) -> Column:
     explains = r"(?iu)\b(?:" + EXPLAINS + r")\b"
 
     def unexplained(bare: Column) -> Column:
-        lines = F.filter(F.split(bare, "\n"), lambda line: ~line.rlike(explains))
+        lines = F.filter(F.split(bare, "\n"), lambda line: ~line.rlike(explains) | _dense(line))
         return F.when(bare.rlike(explains), F.array_join(lines, "\n")).otherwise(bare)
 
     def without_markup(said: Column) -> Column:
@@ -151,7 +155,7 @@ def kinds_of(text: Column) -> Column:
 
     code = F.coalesce(text, F.lit(""))
     bare = F.when(F.contains(code, F.lit("`")), content(code)).otherwise(code)
-    return let(bare, lambda b: let(unexplained(b), lambda s: let(without_markup(s), lambda p: _kinds(b, s, p))))
+    return let(bare, lambda b: let(without_markup(unexplained(b)), lambda p: _kinds(b, p)))
 
 
 def residue(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -303,3 +303,10 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+
+
+def test_residue_beside_explaining_words(spark):
+    good = ["Szablon zapisuje się jako {{ name }} w pliku.", "Szablon:\n```\n{{ a }} {{ b }}\n```\nKoniec."]
+    bad = ["Szablon: {{tytul}} {{data}} {{autor}}", "Błąd 503. Szablon strony.", "Wkrótce dodamy szablon", "Template syntax. This site does not work without JavaScript.", "Kod:\n```\nx = 1\nBłąd 503"]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.residue(df).collect()} == set(range(len(good), len(good + bad)))
