@@ -250,8 +250,10 @@ def persons_linked(persons: DataFrame, slack: int = 3, bucket: int = 16) -> tupl
         .union(near.select(F.col("b").alias("sur"), F.col("a").alias("other"))).union(stems.select("sur", F.col("sur").alias("other")))
     )
     dated = forms.where("birth IS NOT NULL OR death IS NOT NULL").withColumn("at", F.coalesce("birth", F.col("death") - 50))
-    # years agree within the slack, so births stand in the same or a neighbouring bucket; where only a death is known, wider
-    left = dated.withColumn("slot", F.explode(F.sequence(F.floor((F.col("at") - bucket) / bucket), F.floor((F.col("at") + bucket) / bucket)))).alias("a")
+    # years agree within the slack, so births stand in the same or a neighbouring bucket; where only a death is known, the birth
+    # may lie in any bucket of the 110 years before
+    low, high = F.coalesce("birth", F.col("death") - 110), F.coalesce("birth", "death")
+    left = dated.withColumn("slot", F.explode(F.sequence(F.floor((low - bucket) / bucket), F.floor((high + bucket) / bucket)))).alias("a")
     right = dated.withColumn("slot", F.floor(F.col("at") / bucket))
     right = right.join(neighbours.withColumnRenamed("sur", "own"), right.sur == F.col("own")).alias("b")
     edges = (

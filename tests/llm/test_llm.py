@@ -145,6 +145,13 @@ def test_people(spark):
     assert got == {("persons", 2, 0, 1), ("persons", 3, 0, 1), ("persons", 6, 0, 5), ("timeline", 1, 1, 1), ("timeline", 1, 2, 4), ("timeline", 3, 1, 5), ("timeline", 6, 1, 9)}
 
 
+def test_people_known_by_death_only(spark):
+    p = [(1, "Jan Kowalewski", "1700–1790", None), (2, "Kowalewski, Jan", "zm. 1790", None), (3, "Piotr Dębski", "1800–1815", None), (4, "Dębski, Piotr", "†1815", None), (5, "Jan Kowalewski", "zm. 1500", None)]
+    persons = spark.createDataFrame(p, "row bigint, name string, years string, text string")
+    mentions = spark.createDataFrame([], "row bigint, pos int, name string, year int")
+    assert {tuple(r) for r in people.variants(persons, mentions).collect()} == {("persons", 2, 0, 1), ("persons", 4, 0, 3)}
+
+
 QUESTIONS = [
     "Wyjaśnij znaczenie faktu: Kanał żeglowny w Żarinyń służy odtąd załodze, którą dowodzi Małgorzata Batęsenadowicz. W okolicy Zelambsko działa wówczas 159 warsztatów. Podaj jeden argument.",
     "Wyjaśnij znaczenie faktu: Poseł haliczski, Aleksandra Truczymonicowicz, przywozi do grodu Gostidany układ pokojowy i wznosi tam kamienny dwór. Podaj jeden argument.",
