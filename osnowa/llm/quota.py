@@ -5,17 +5,24 @@ at most as many as combinations of target categories. Flow runs from the first d
 into a category carry its target share with a floor, arcs between categories are limited by what the cells hold, and a slack arc
 beside each category takes, at a high cost, what cannot be met. Within each middle category a second flow turns the arc totals
 into cell quotas. The quotas are then drawn from each cell in a seeded random order.
+
+Which categories cannot be met whatever else is asked for is read from the slack arcs of a second network, in which every
+category sends what it needs to the cells that carry it, and what they cannot take over its slack arc (:func:`shortfalls`).
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections import defaultdict
+from decimal import ROUND_CEILING, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import cut
+
 #: Polish letters and the letters they are compared as.
 FOLD_FROM, FOLD_TO = "ąćęłńóśźż", "acelnoszz"
 
@@ -26,6 +33,45 @@ def category_key(value: Column) -> Column:
     return F.when(F.length(key) > 0, key)
 
 
+#: A Roman numeral that stands for the whole name: alone, or before the first full stop.
+NUMERAL = r"^\s*([IVXLCDMivxlcdm]+)\s*(?:\.|$)"
+#: A name cut short shows it by its end, or agrees with a category in this many characters.
+CUT, START = r"(?:…|\.\.\.)\s*$", 24
+
+
+def canonical(value: Column, categories: list[str]) -> Column:
+    """The category a written value means, null if none or several: the same name whatever its case, diacritics and
+    punctuation; else the only one with its leading Roman numeral; else, of a name cut short or of at least START characters,
+    the only one that begins alike. Null and blank values mean none; of two categories with one key the first counts.
+    """
+    keys: dict[str, str] = {}
+    heads: dict[str, set] = defaultdict(set)
+    for c in categories:
+        key = _key(c)
+        if key:
+            keys.setdefault(key, c)
+            if re.match(NUMERAL, c):
+                heads[re.match(NUMERAL, c).group(1).upper()].add(c)
+    if not keys:
+        return F.lit(None).cast("string")
+    pairs = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    key, out = category_key(value), []
+    out.append(F.element_at(pairs(keys), key))
+    single = {h: next(iter(c)) for h, c in heads.items() if len(c) == 1}
+    if single:
+        head = F.upper(F.regexp_extract(value, NUMERAL, 1))
+        out.append(F.element_at(pairs(single), F.when(head != "", head)))
+    start = F.when(value.rlike(CUT), key).when(F.length(key) >= START, F.substring(key, 1, START))
+    alike = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in keys.items()]), lambda x: F.startswith(x["k"], start))
+    out.append(F.when((F.length(start) > 0) & (F.size(alike) == 1), F.try_element_at(alike, F.lit(1))["c"]))
+    return F.coalesce(*out)
+
+
+def _key(name: str) -> str:
+    """:func:`category_key` of a category's own name."""
+    return re.sub(r"[\W_]+", " ", name.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))).strip()
+
+
 class Flow:
     """Min-cost flow by successive shortest paths with potentials; capacities are integers, costs are not negative."""
 
@@ -177,54 +223,65 @@ def plan(cells: dict[tuple, int], targets: list[dict], floors: list[dict], size:
     return {c: n for c, n in quota.items() if n}, got
 
 
+def whole(share, size: int) -> int:
+    """The least whole number not below share x size, the share taken as it is written in decimals."""
+    return int((Decimal(repr(float(share or 0))) * size).to_integral_value(ROUND_CEILING))
+
+
+def shortfalls(carried: dict, need: dict, slack: bool = True) -> dict:
+    """What each category lacks, read from the slack arcs of a min-cost flow.
+
+    ``carried``: of each category the cells whose keys carry it, with their counts; ``need``: how many keys each category asks
+    for. A category sends its need over an arc limited by its cells together, and the rest, at a cost, over its slack arc. Cells
+    are not used up by categories of another dimension, so what is short is short in every sample. Without slack arcs nothing is.
+    """
+    net, spare = Flow(), {}
+    for c, wanted in need.items():
+        net.arc("source", ("category", c), wanted, 0)
+        net.arc(("category", c), "sink", sum(carried.get(c, {}).values()), 0)
+        if slack:
+            spare[c] = net.arc(("category", c), "sink", wanted, _MISS)
+    net.run("source", "sink", sum(need.values()))
+    return {c: net.used(spare[c]) if slack else 0 for c in need}
+
+
 def quota_sample(
     records: DataFrame, key: str, dims: list[str], targets: DataFrame, part: int = 5, seed: int = 11, salts: int = 32
 ) -> tuple[DataFrame, DataFrame]:
     """A sample of floor(distinct keys / part) keys matching ``targets`` (dim, category, share, min_rows), and a report.
 
     Sample: key and the canonical category of each dimension. Report: dim, category, available (distinct keys that carry the
-    category in any spelling in any of their rows), wanted (the larger of share x size and min_rows), drawn, short (wanted
-    minus available, if positive). A key with several rows takes part with its least value per dimension. Null keys are left
-    out, null or unknown categories fit no target. An empty table gives an empty sample and a report of shortfalls.
+    category in any spelling in any of their rows), wanted (the larger of share x size, rounded up, and min_rows), drawn, short
+    (flow over the category's slack arc). A key with several rows takes part with its least value per dimension. Null and blank
+    keys are left out, null or unknown categories fit no target. An empty table gives an empty sample and a report of shortfalls.
     """
     spark = records.sparkSession
-    wanted = [r.asDict() for r in targets.where("dim IS NOT NULL AND category IS NOT NULL")
-              .select("dim", "category", category_key(F.col("category")).alias("key"), "share", "min_rows").collect()]
-    known = {(r["dim"], r["key"]): r for r in wanted}
-
-    def canonical(d: str) -> Column:
-        k = category_key(F.col(d))
-        mapping = [x for r in wanted if r["dim"] == d for x in (F.lit(r["key"]), F.lit(r["category"]))]
-        return F.element_at(F.create_map(*mapping), k) if mapping else F.lit(None).cast("string")
-
-    slim = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *[canonical(d).alias(f"d{i}") for i, d in enumerate(dims)])
+    wanted = [r.asDict() for r in targets.where("dim IS NOT NULL AND category IS NOT NULL").select("dim", "category", "share", "min_rows").collect()]
+    named = [[r["category"] for r in wanted if r["dim"] == d] for d in dims]
+    slim = records.where(F.length(F.trim(F.col(key).cast("string"))) > 0).select(
+        F.col(key).alias("key"), *[canonical(F.col(d), c).alias(f"d{i}") for i, (d, c) in enumerate(zip(dims, named))]
+    )
     cols = [f"d{i}" for i in range(len(dims))]
-    every = slim.select("key", F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("category")) for d, c in zip(dims, cols)])).alias("x"))
-    # one row per key: its categories; keys with several rows are rare, so sets of categories stay short
-    one = slim.groupBy("key").agg(*[F.min(c).alias(c) for c in cols], *[F.collect_set(c).alias(f"s{c}") for c in cols])
-    del every
-    from ..session import cut
-
-    one = cut(one)
-    counted = one.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).collect()
-    cells = {tuple(r[c] for c in cols): r["n"] for r in counted}
+    # one row per key: its categories; a set holds at most the target categories
+    one = cut(slim.groupBy("key").agg(*[F.min(c).alias(c) for c in cols], *[F.collect_set(c).alias(f"s{c}") for c in cols]))
+    cells = {tuple(r[c] for c in cols): r["n"] for r in one.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).collect()}
     size = sum(cells.values()) // part
-    held = {
-        (d, r["category"]): r["n"]
-        for d, c in zip(dims, cols)
-        for r in one.select(F.explode(f"s{c}").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
+    carried: dict[tuple, dict] = {(r["dim"], r["category"]): {} for r in wanted if r["dim"] in dims}
+    for i, c in enumerate(cols):  # at most categories x cells rows
+        for r in one.select(F.explode(f"s{c}").alias("category"), *cols).groupBy("category", *cols).agg(F.count(F.lit(1)).alias("n")).collect():
+            carried[(dims[i], r["category"])][tuple(r[x] for x in cols)] = r["n"]
     share = [{r["category"]: float(r["share"] or 0) for r in wanted if r["dim"] == d} for d in dims]
     floor = [{r["category"]: int(r["min_rows"] or 0) for r in wanted if r["dim"] == d} for d in dims]
+    need = {
+        (r["dim"], r["category"]): max(whole(r["share"], size), int(r["min_rows"] or 0)) for r in wanted if r["dim"] in dims
+    }
+    short = shortfalls(carried, need)
     quota, got = plan(cells, share, floor, size)
-    rows = []
-    for i, d in enumerate(dims):
-        for r in (x for x in known.values() if x["dim"] == d):
-            c = r["category"]
-            need = max(float(r["share"] or 0) * size, float(r["min_rows"] or 0))
-            have = held.get((d, c), 0)
-            rows.append((d, c, have, need, got[i].get(c, 0), max(0.0, need - have)))
-    report = spark.createDataFrame(rows, "dim string, category string, available bigint, wanted double, drawn bigint, short double")
+    rows = [
+        (d, c, sum(carried[(d, c)].values()), need[(d, c)], got[i].get(c, 0), short[(d, c)])
+        for i, d in enumerate(dims) for c in dict.fromkeys(named[i])
+    ]
+    report = spark.createDataFrame(rows, "dim string, category string, available bigint, wanted bigint, drawn bigint, short bigint")
     quotas = spark.createDataFrame([(*c, n) for c, n in quota.items()], ", ".join(f"{c} string" for c in cols) + ", quota bigint")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols]
     cond = same[0]

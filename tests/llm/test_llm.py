@@ -235,7 +235,7 @@ def test_cross_split_overlap_loses_no_edited_copy_of_stock_wording(spark):
 
 
 def test_quota(spark):
-    rows = [(f"i{i}", "A.b" if i % 3 else "a B", "x" if i % 2 else "y", "s1") for i in range(300)] + [("i0", "a b", "x", "s1"), (None, "a b", "x", "s1"), ("z1", None, "x", None)]
+    rows = [(f"i{i}", "A.b" if i % 3 else "a B", "x" if i % 2 else "y", "s1") for i in range(300)] + [("i0", "a b", "x", "s1"), (None, "a b", "x", "s1"), ("", "a b", "x", "s1"), ("z1", None, "x", None)]
     df = spark.createDataFrame(rows, "id string, c string, d string, s string")
     targets = spark.createDataFrame([("c", "a_b", 1.0, 20), ("d", "x", 0.9, 10), ("d", "y", 0.1, 10), ("s", "s1", 0.5, 5), ("s", "s2", 0.5, 5)], "dim string, category string, share double, min_rows int")
     sample, report = quota.quota_sample(df, "id", ["c", "d", "s"], targets)
@@ -248,6 +248,25 @@ def test_quota(spark):
     assert empty.count() == 0 and rep.where("short > 0").count() == 5
 
 
+def test_categories_in_any_spelling(spark):
+    cats = ["I. Osady i grody", "II. Miasta starożytnego wybrzeża", "XX. Oświecenie i reformy", "XXI. Oświecenie i wojny", "closed_tf", "closed_match"]
+    said = {"i. osady i grody": 0, "II": 1, "II – Miasta starozytnego wybrzeza": 1, "ii.": 1, "II. Miasta star…": 1, "II. Miasta starożytnego wybrzeże inne": 1,
+            "XX": 2, "XX. Oświec…": 2, "XXI.": 3, "X": None, "XX…": 2, "Closed-TF.": 4, "closed…": None, "clo": None, "": None, None: None, "…": None}
+    df = spark.createDataFrame([(x,) for x in said], "v string")
+    got = {r["v"]: r["c"] for r in df.select("v", quota.canonical(F.col("v"), cats).alias("c")).collect()}
+    want = {k: (None if i is None else cats[i]) for k, i in said.items()}
+    want["XX…"] = None  # its beginning is that of two categories
+    assert got == want
+    assert df.select(quota.canonical(F.col("v"), []).alias("c")).where("c IS NOT NULL").count() == 0
+
+
+def test_shortfalls_are_the_flow_over_slack_arcs():
+    carried, need = {"a": {("x",): 3, ("y",): 2}, "b": {}, "c": {("x",): 9}}, {"a": 6, "b": 2, "c": 9}
+    assert quota.shortfalls(carried, need) == {"a": 1, "b": 2, "c": 0}
+    assert quota.shortfalls(carried, need, slack=False) == {"a": 0, "b": 0, "c": 0}
+    assert quota.whole(0.14, 4200) == 588 and quota.whole(0.2, 2944) == 589 and quota.whole(None, 5) == 0
+
+
 def test_packing(spark):
     rng = np.random.default_rng(1)
     sizes = [int(x) for x in rng.lognormal(5, 1, 800)] + [5000, 2048, 0]
