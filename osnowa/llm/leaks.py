@@ -24,13 +24,16 @@ from pyspark.sql import functions as F
 
 from ..functions.bags import mix64, spans, words
 from ..session import cut
+from . import sketch
 
 #: What stands before a numbered statement or an answer option at the start of a line.
 LIST_MARK = r"^\s*(?:\d{1,3}|[A-Za-z])\s*[.)]\s*"
 OPTION = r"^\s*[A-Za-z]\s*[.)]\s*"
 GRAM = 3
-#: Seeds that are broadcast at most; about 16 bytes each.
+#: Characters of a test set whose seeds are broadcast at most, about 16 bytes a word; a larger set is joined.
 BROADCAST_SEEDS = 2_000_000
+#: Places of the set that tells which n-grams a larger test set may have: 2^GRAM_BITS bits, broadcast.
+GRAM_BITS = 24
 
 
 def sequence(texts: list[str | None]) -> list[np.ndarray]:
@@ -138,56 +141,148 @@ def mark_own(items: Items) -> Items:
     return items
 
 
+@dataclass
+class Pair:
+    """A window of a document and an item's sequence, to be aligned."""
+
+    doc: np.ndarray
+    item: np.ndarray
+    own: np.ndarray
+
+
 def align(doc: np.ndarray, item: np.ndarray, own: np.ndarray, least: int, num: int, den: int) -> bool:
-    """Whether a Smith-Waterman alignment holds ``least`` item words in a row of which at most num / den are altered, and at
-    least one of the item's ``own`` n-grams among them is not.
+    """:func:`align_all` of one document and one item."""
+    return bool(align_all([Pair(doc, item, own)], least, num, den)[0])
+
+
+def align_all(pairs: list[Pair], least: int, num: int, den: int, cells: int = 1 << 23) -> np.ndarray:
+    """Of each pair whether a Smith-Waterman alignment holds ``least`` item words in a row of which at most num / den are
+    altered, and at least one of the item's ``own`` n-grams among them is not.
 
     Matching words score 1, a word replaced, dropped or inserted -1. Along the best local path each item word is matched or
     altered; a stretch of them counts if matches outweigh alterations by that share. After a path without such a stretch its
-    matches are struck out and the best of the remaining paths is taken, until none reaches the least score.
+    matches are struck out and the best of the remaining paths is taken, until none reaches the least score or the words left
+    cannot make up a stretch. Pairs of like size are aligned together, about ``cells`` cells of all their tables at a time.
     """
-    m = len(item)
-    if m < least:
-        return False
-    col = np.arange(m + 1)
-    hits = doc[:, None] == item[None, :]
-    while True:
-        score = np.zeros(m + 1, dtype=np.int32)
-        rows = [score]
-        for hit in hits:
-            diag = score[:-1] + np.where(hit, 1, -1)
-            best = np.maximum(np.maximum(diag, score[1:] - 1), 0)
-            best = np.concatenate(([0], best))
-            # gaps along the item: best[j] = max over i <= j of best[i] - (j - i)
-            score = np.maximum.accumulate(best + col) - col
-            score = np.maximum(score, 0).astype(np.int32)
-            rows.append(score)
-        table = np.vstack(rows)
-        i, j = divmod(int(table.argmax()), m + 1)
-        if table[i, j] < max(least - 2 * (least * num // den + 1) - 2, 1):
-            return False
-        state, at, struck = [], [], []  # of each item word on the path, from the last: matched or not, and its place
-        while i > 0 and j > 0 and table[i, j] > 0:
-            hit = hits[i - 1, j - 1]
-            if hit and table[i, j] == table[i - 1, j - 1] + 1:
-                state.append(True)
-                at.append(j - 1)
-                struck.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-            elif not hit and table[i, j] == table[i - 1, j - 1] - 1:
-                state.append(False)
-                at.append(j - 1)
-                i, j = i - 1, j - 1
-            elif table[i, j] == table[i, j - 1] - 1:
-                state.append(False)
-                at.append(j - 1)
-                j -= 1
+    found = np.zeros(len(pairs), dtype=bool)
+    fit = [k for k, p in enumerate(pairs) if len(p.item) >= least and len(p.doc)]
+    fit.sort(key=lambda k: (len(pairs[k].doc), len(pairs[k].item)))
+    while fit:
+        take, n, m = 0, 0, 0
+        for k in fit:
+            n, m = max(n, len(pairs[k].doc)), max(m, len(pairs[k].item))
+            if take and (take + 1) * (n + 1) * (m + 1) > cells:
+                break
+            take += 1
+        part, fit = fit[:take], fit[take:]
+        found[part] = _align_together([pairs[k] for k in part], least, num, den)
+    return found
+
+
+def _align_together(pairs: list[Pair], least: int, num: int, den: int) -> np.ndarray:
+    n, m = max(len(p.doc) for p in pairs), max(len(p.item) for p in pairs)
+    hits = np.zeros((len(pairs), n, m), dtype=bool)
+    own = np.zeros((len(pairs), m), dtype=bool)  # by the n-gram's first word
+    for k, p in enumerate(pairs):
+        np.equal(p.doc[:, None], p.item[None, :], out=hits[k, : len(p.doc), : len(p.item)])
+        own[k, : len(p.own)] = p.own
+    found, open_ = np.zeros(len(pairs), dtype=bool), np.arange(len(pairs))
+    floor = max(least - 2 * (least * num // den + 1) - 2, 1)
+    while len(open_):
+        open_ = open_[_possible(hits[open_], own[open_], least, num, den)]
+        if not len(open_):
+            break
+        table = _scores(hits[open_])
+        flat = table.reshape(len(open_), -1)
+        at = flat.argmax(axis=1)
+        high = flat[np.arange(len(open_)), at] >= floor
+        open_, table, at = open_[high], table[high], at[high]
+        left = []
+        for k, path in zip(open_, _paths(hits, open_, table, at // (m + 1), at % (m + 1))):
+            ok, place, row = path
+            if len(ok) >= least and _gives_away(ok, place, pairs[k].own, least, num, den):
+                found[k] = True
             else:
-                i -= 1
-        if len(state) >= least and _gives_away(np.array(state), np.array(at), own, least, num, den):
-            return True
-        for cell in struck:
-            hits[cell] = False
+                hits[k, row[ok], place[ok]] = False
+                left.append(k)
+        open_ = np.array(left, dtype=np.int64)
+    return found
+
+
+def _possible(hits: np.ndarray, own: np.ndarray, least: int, num: int, den: int) -> np.ndarray:
+    """Which pairs have an own n-gram in the window, and item words in the window that could make up a stretch."""
+    run = hits.copy()
+    for k in range(1, GRAM):
+        run[:, : hits.shape[1] - k, : hits.shape[2] - k] &= hits[:, k:, k:]
+        run[:, hits.shape[1] - k :] = False
+        run[:, :, hits.shape[2] - k :] = False
+    total = np.cumsum(np.where(hits.any(axis=1), num, num - den), axis=1)
+    total = np.concatenate([np.zeros((len(hits), 1), dtype=total.dtype), total], axis=1)
+    low = np.minimum.accumulate(total, axis=1)
+    return (run.any(axis=1) & own).any(axis=1) & (total[:, least:] >= low[:, : total.shape[1] - least]).any(axis=1)
+
+
+def _scores(hits: np.ndarray) -> np.ndarray:
+    """Smith-Waterman tables of all pairs."""
+    pairs, n, m = hits.shape
+    table = np.zeros((pairs, n + 1, m + 1), dtype=np.int16)
+    col = np.arange(m + 1, dtype=np.int16)
+    gain = np.where(hits, np.int16(1), np.int16(-1))
+    best = np.zeros((pairs, m + 1), dtype=np.int16)
+    for i in range(n):
+        above = table[:, i]
+        np.maximum(above[:, :-1] + gain[:, i], above[:, 1:] - np.int16(1), out=best[:, 1:])
+        np.maximum(best, 0, out=best)
+        # gaps along the item: best[j] = max over i <= j of best[i] - (j - i)
+        np.maximum(np.maximum.accumulate(best + col, axis=1) - col, 0, out=table[:, i + 1])
+    return table
+
+
+def _paths(hits: np.ndarray, which: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+    """Of each pair the path that ends at (i, j): whether each of its item words is matched, the word's place and the document
+    word's; from the last word to the first."""
+    steps: list[tuple] = []
+    live = np.arange(len(which))
+    i, j = i.copy(), j.copy()
+    while len(live):
+        a, b = i[live], j[live]
+        here = table[live, a, b]
+        go = (a > 0) & (b > 0) & (here > 0)
+        live, a, b, here = live[go], a[go], b[go], here[go]
+        if not len(live):
+            break
+        hit, diag = hits[which[live], a - 1, b - 1], table[live, a - 1, b - 1]
+        matched = hit & (here == diag + 1)
+        changed = ~hit & (here == diag - 1)
+        dropped = ~matched & ~changed & (here == table[live, a, b - 1] - 1)
+        word = matched | changed | dropped
+        steps.append((live[word], matched[word], b[word] - 1, a[word] - 1))
+        i[live] -= (~dropped).astype(i.dtype)
+        j[live] -= word.astype(j.dtype)
+    if not steps:
+        yield from ((np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in which)
+        return
+    owner, ok, place, row = (np.concatenate(x) for x in zip(*steps))
+    order = np.argsort(owner, kind="stable")
+    off = np.searchsorted(owner[order], np.arange(len(which) + 1))
+    for k in range(len(which)):
+        part = order[off[k] : off[k + 1]]
+        yield ok[part], place[part], row[part]
+
+
+def windows(doc: np.ndarray, item: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """The parts of a document that a path through one of the item's own n-grams can reach: a path has at most as many words
+    more on either side as the item has words, and as many inserted."""
+    g = grams(doc)
+    at = np.flatnonzero(np.isin(g, grams(item)[own]))
+    if not len(at):
+        return []
+    reach = 2 * len(item)
+    if len(doc) <= 2 * reach:
+        return [doc]
+    cuts = np.flatnonzero(np.diff(at) > 2 * reach)
+    begin, end = np.concatenate([at[:1], at[cuts + 1]]), np.concatenate([at[cuts], at[-1:]])
+    return [doc[max(a - reach, 0) : b + GRAM + reach] for a, b in zip(begin, end)]
 
 
 def _gives_away(ok: np.ndarray, at: np.ndarray, own: np.ndarray, least: int, num: int, den: int) -> bool:
@@ -279,12 +374,13 @@ def _search(shared, least: int, num: int, den: int):
             own = np.bincount(at_pair, weights=seeds.own[both[1]])
             off = spans(t, b.num_rows)
             rows, kinds = b["row"].to_numpy(), b["kind"].to_numpy()
-            out = set()
+            names, tried = [], []
             for p in pairs[(total >= need) & (own >= 1)]:
                 doc, k = divmod(int(p), len(items.words))
-                found = (int(kinds[doc]), int(rows[doc]), items.owner[k])
-                if found not in out and align(h[off[doc] : off[doc + 1]], items.words[k], items.own[k], least, num, den):
-                    out.add(found)
+                for part in windows(h[off[doc] : off[doc + 1]], items.words[k], items.own[k]):
+                    names.append((int(kinds[doc]), int(rows[doc]), items.owner[k]))
+                    tried.append(Pair(part, items.words[k], items.own[k]))
+            out = {names[i] for i in np.flatnonzero(align_all(tried, least, num, den))}
             if out:
                 yield pa.RecordBatch.from_pydict(
                     {n: pa.array([x[i] for x in sorted(out)], kind) for i, (n, kind) in enumerate((("kind", pa.int32()), ("row", pa.int64()), ("test_row", pa.int64())))}
@@ -349,24 +445,43 @@ def _digest(w: np.ndarray) -> np.int64:
     return np.array([x]).view(np.int64)[0]
 
 
+def _gram_set(seeds: DataFrame) -> np.ndarray:
+    """A set of 2^GRAM_BITS places that holds every seed's n-gram and few others."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(sketch.bucket_of(b["gram"].to_numpy().view(np.uint64), GRAM_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 5).astype(np.int32)), pa.array(np.int64(1) << (at & 31))], ["bucket", "bit"])
+
+    words_ = seeds.select("gram").mapInArrow(place, "bucket int, bit bigint").distinct().withColumnRenamed("bit", "n")
+    packed = sketch.counts(words_, GRAM_BITS - 5)
+    return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
+
+
 def _joined(corpus: DataFrame, tests: DataFrame, least: int, num: int, den: int) -> DataFrame:
     """The same search for a test set too large to broadcast: n-grams of both sides are joined, candidates are aligned."""
     need = least_grams(least, num, den)
 
+    items = _content(tests)
+    seeds = items.select("test_row", "form", F.inline(F.arrays_zip("grams", "owns"))).withColumnsRenamed({"grams": "gram", "owns": "own"})
+    shared = corpus.sparkSession.sparkContext.broadcast(_gram_set(seeds))
+
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with enough n-grams that an item may have, and those n-grams; few others are left."""
         for b in batches:
             seqs = sequence(b["text"].to_pylist())
+            held = [np.unique(g[shared.value[sketch.bucket_of(g, GRAM_BITS)]]) for g in map(grams, seqs)]
+            keep = [i for i, g in enumerate(held) if len(g) >= need]
+            take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    b["kind"], b["row"], pa.array([s.view(np.int64) for s in seqs], pa.list_(pa.int64())),
-                    pa.array([np.unique(grams(s)).view(np.int64) for s in seqs], pa.list_(pa.int64())),
+                    b["kind"].take(take), b["row"].take(take), pa.array([seqs[i].view(np.int64) for i in keep], pa.list_(pa.int64())),
+                    pa.array([held[i].view(np.int64) for i in keep], pa.list_(pa.int64())),
                 ],
                 ["kind", "row", "doc", "grams"],
             )
 
-    docs = corpus.select("kind", "row", "text").mapInArrow(sequences, "kind int, row bigint, doc array<bigint>, grams array<bigint>")
-    items = _content(tests)
-    seeds = items.select("test_row", "form", F.inline(F.arrays_zip("grams", "owns"))).withColumnsRenamed({"grams": "gram", "owns": "own"})
+    docs = cut(corpus.select("kind", "row", "text").mapInArrow(sequences, "kind int, row bigint, doc array<bigint>, grams array<bigint>"))
     hits = docs.select("kind", "row", F.explode("grams").alias("gram")).join(seeds, "gram")
     pairs = hits.groupBy("kind", "row", "test_row", "form").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
     pairs = pairs.where((F.col("n") >= need) & (F.col("own") > 0)).select("kind", "row", "test_row", "form")
@@ -374,11 +489,15 @@ def _joined(corpus: DataFrame, tests: DataFrame, least: int, num: int, den: int)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [
-                align(np.array(d, dtype=np.int64), np.array(q, dtype=np.int64), np.array(x, dtype=bool), least, num, den)
-                for d, q, x in zip(b["doc"].to_pylist(), b["item"].to_pylist(), b["own"].to_pylist())
-            ]
-            yield b.select(["kind", "row", "test_row"]).filter(pa.array(keep, pa.bool_()))
+            tried, of = [], []
+            for k, (d, q, x) in enumerate(zip(b["doc"], b["item"], b["own"])):
+                item, own = q.values.to_numpy().view(np.uint64), x.values.to_numpy(zero_copy_only=False)
+                for part in windows(d.values.to_numpy().view(np.uint64), item, own):
+                    tried.append(Pair(part, item, own))
+                    of.append(k)
+            keep = np.zeros(b.num_rows, dtype=bool)
+            keep[np.array(of, dtype=np.int64)[align_all(tried, least, num, den)]] = True
+            yield b.select(["kind", "row", "test_row"]).filter(pa.array(keep))
 
     return full.select("kind", "row", "test_row", "doc", "item", "own").mapInArrow(check, "kind int, row bigint, test_row bigint").distinct()
 

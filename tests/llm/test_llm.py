@@ -196,6 +196,28 @@ def test_true_passage_beside_a_longer_altered_copy():
     assert not leaks.align(item, item, ~own, 14, 1, 7)  # all wording shared with other items
 
 
+def test_alignments_together_equal_alone():
+    rng = np.random.default_rng(8)
+    pairs = []
+    for _ in range(60):
+        item = rng.integers(0, 30, rng.integers(5, 40)).astype(np.uint64)
+        doc = np.concatenate([rng.integers(0, 30, rng.integers(0, 30)), item[: rng.integers(1, 40)], rng.integers(0, 30, rng.integers(0, 30))]).astype(np.uint64)
+        doc[rng.random(len(doc)) < 0.08] = 99
+        pairs.append(leaks.Pair(doc, item, rng.random(max(len(item) - 2, 0)) < 0.7))
+    together = leaks.align_all(pairs, 14, 1, 7, cells=5000)
+    assert together.tolist() == [leaks.align(p.doc, p.item, p.own, 14, 1, 7) for p in pairs] and 5 < together.sum() < 55
+    assert leaks.align_all([], 14, 1, 7).tolist() == []
+
+
+def test_a_passage_deep_in_a_very_long_text(spark):
+    passage = "Kanał żeglowny w Żarinyń służy odtąd załodze, którą dowodzi Małgorzata Batęsenadowicz. W okolicy Zelambsko działa"
+    long = " ".join(f"wyraz{i % 977}" for i in range(200_000))
+    tests = spark.createDataFrame([(i + 1, q) for i, q in enumerate(QUESTIONS)], "row bigint, text string")
+    corpus = spark.createDataFrame([(0, 1, f"{long} {passage} {long}"), (0, 2, long)], "kind int, row bigint, text string")
+    for few in (leaks.BROADCAST_SEEDS, 0):
+        assert {tuple(r) for r in leaks.leaks(corpus, tests, broadcast_seeds=few).collect()} == {(0, 1, 1)}
+
+
 def test_cross_split_overlap(spark):
     t = texts(200, 5)
     rng = random.Random(6)
