@@ -269,16 +269,10 @@ def near_pairs(num: int, den: int):
     return pairs
 
 
-def common_words(a: list, b: list, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(size of the common bag, size of the larger bag) of each pair of texts, exact up to 64-bit word hashes."""
-    none = np.zeros(len(a), dtype=np.int64)
-    ha, ta = bag_sets(a, none, least)
-    hb, tb = bag_sets(b, none, least)
-    return _common(ha, np.bincount(ta, minlength=len(a)), hb, np.bincount(tb, minlength=len(a)))
-
-
 def _common(ha: np.ndarray, na: np.ndarray, hb: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same of flat arrays of set elements with their lengths. One sort of (pair, 48 bits of the hash) in a word."""
+    """(size of the common bag, size of the larger bag) of each pair, from flat arrays of set elements with their lengths. One sort of (pair, 48 bits of the hash) in a word, so at most
+    2^16 pairs at once."""
+    assert len(na) <= 1 << 16
     pair = np.repeat(np.concatenate([np.arange(len(na)), np.arange(len(nb))]), np.concatenate([na, nb])).astype(np.uint64)
     x = (pair << np.uint64(48)) | (np.concatenate([ha, hb]) >> np.uint64(16))
     x.sort()
@@ -312,7 +306,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: int, num: int, den: int)
     two = one.join(few.select("kind", F.col("row").alias("b"), F.col("bag").alias("bb")), ["kind", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             common, larger = _common(*flat(b["ba"]), *flat(b["bb"]))
             yield b.select(["kind", "a", "b"]).filter(pa.array((common * den >= larger * num) & (larger > 0)))
 

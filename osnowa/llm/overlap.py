@@ -3,8 +3,9 @@
 Under any order of all words, two texts whose word overlap is at least ``t`` share a word among the first n - ceil(t n) + 1 of
 each. Records are put under those words, rare ones first, and only groups that hold both training and evaluation records are
 looked into. Sizes, the places of the shared word, the prefixes under two further orders and 128-bit maps of both texts bound
-a pair; all are necessary conditions, so no pair is lost, and what passes is verified exactly on the texts. Word frequencies
-only order the words: copies and sketch collisions cost selectivity, never a result.
+a pair, and 512-bit maps, which are fetched for candidates only, bound it once more; all are necessary conditions, so no pair
+is lost, and what passes is verified exactly on the bags. Word frequencies only order the words: copies and sketch collisions
+cost selectivity, never a result.
 
 Records with the same words on the same side form one class first, so a record repeated in a third of all rows is one entry.
 """
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 from ..functions.bags import as_set, mix64, words
 from ..session import cut
 from . import sketch
-from .neardup import _SALTS, _chunks, _maps, _sums, common_words, fixed_binary, in_order, least_common, small
+from .neardup import _SALTS, _chunks, _common, _lists, _maps, _sums, fixed_binary, flat, fold_map, in_order, least_common, small
 from .neardup import spans as _spans
 
 BITS = 20
 #: 64-bit words of a record's map: the bag (2), its prefixes under the second and third order, the other text's bag (2).
 MAP_WORDS = 6
-_SIG = "row bigint, side int, n int, nx int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, rest array<int>"
+#: 64-bit words of the wide map of the bag, one column each.
+WIDE = [f"w{i}" for i in range(8)]
+_SIG = "row bigint, side int, n int, nx int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, rest array<int>, " + ", ".join(f"{w} bigint" for w in WIDE)
 
 
 def _bag(texts: list, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +78,8 @@ def _sign(df: DataFrame, freq, least: int, num: int, den: int) -> DataFrame:
             with np.errstate(over="ignore"):  # both texts count for sameness
                 f1 = _sums(h, off) + _sums(mix64(hx + np.uint64(3)), offx)
                 f2 = _sums(mix64(h + np.uint64(1)), off) + _sums(mix64(hx + np.uint64(5)), offx)
-            maps = np.hstack([_maps(h, t, count, 128), *sides, _maps(hx, tx, count, 128)])
+            wide = _maps(h, t, count, 64 * len(WIDE))
+            maps = np.hstack([fold_map(wide, 128), *sides, _maps(hx, tx, count, 128)])
             missing = b["extra"].is_null().to_numpy(zero_copy_only=False)
             # a missing text is asked for nothing, one without words is: they are no copies of each other
             f1 = f1 + missing.astype(np.uint64)
@@ -84,8 +88,9 @@ def _sign(df: DataFrame, freq, least: int, num: int, den: int) -> DataFrame:
                     b["row"], b["side"], pa.array(n.astype(np.int32)), pa.array(np.where(missing, -1, np.diff(offx)).astype(np.int32)),
                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([m.tobytes() for m in maps], pa.binary()),
                     pa.ListArray.from_arrays(lists, pa.array(h[keep].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(rest.astype(np.int32))),
+                    *[pa.array(np.ascontiguousarray(w).view(np.int64)) for w in wide.T],
                 ],
-                ["row", "side", "n", "nx", "fp1", "fp2", "map", "keys", "rest"],
+                ["row", "side", "n", "nx", "fp1", "fp2", "map", "keys", "rest", *WIDE],
             )
 
     return df.select("row", "side", "main", "extra").mapInArrow(sign, _SIG)
@@ -201,26 +206,41 @@ def cross_split_classes(
         posts.repartition("key").sortWithinPartitions("key")
         .mapInArrow(_across(num, den), "a bigint, b bigint").distinct()
     )
-    return members, cut(_verified(cut(found), data, least, num, den))
+    return members, cut(_verified(cut(_bounded(found, slim, num, den)), data, least, num, den))
+
+
+def _bounded(pairs: DataFrame, sig: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose wide maps differ in no more bits than the overlap allows."""
+    pick = lambda c: sig.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), *[F.col(w).alias(f"{w}{c}") for w in WIDE])
+    both = pairs.join(pick("a"), "a").join(pick("b"), "b")
+    apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in WIDE), F.lit(0))
+    larger = F.greatest("na", "nb")
+    return both.where(apart <= F.col("na") + F.col("nb") - 2 * F.ceil(larger * num / den)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, data: DataFrame, least: int, num: int, den: int) -> DataFrame:
+    """The pairs that do reach the overlap; the words of a record are taken once, however many pairs it stands in."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     wanted = sketch.in_members(pairs.sparkSession, sketch.members(ids, "id"))
-    few = data.select("row", "main", "extra").where(wanted(F.col("row")))
-    pick = lambda c: few.select(F.col("row").alias(c), F.col("main").alias(f"m{c}"), F.col("extra").alias(f"x{c}"))
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            lists = [_lists(h.view(np.int64), t, b.num_rows, pa.int64()) for h, t in (_bag(b[c].to_pylist(), least) for c in ("main", "extra"))]
+            yield pa.RecordBatch.from_arrays([b["row"], *lists, b["extra"].is_null()], ["row", "m", "x", "none"])
+
+    few = data.select("row", "main", "extra").where(wanted(F.col("row"))).mapInArrow(bag, "row bigint, m array<bigint>, x array<bigint>, none boolean")
+    pick = lambda c: few.select(F.col("row").alias(c), *[F.col(k).alias(k + c) for k in ("m", "x", "none")])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, 1 << 11):
-            common, larger = common_words(b["ma"].to_pylist(), b["mb"].to_pylist(), least)
+        for b in small(batches):
+            common, larger = _common(*flat(b["ma"]), *flat(b["mb"]))
             ok = (common * den >= larger * num) & (larger > 0)
-            xa, xb = b["xa"].to_pylist(), b["xb"].to_pylist()
-            common, larger = common_words(xa, xb, least)
-            missing = np.array([p is None or q is None for p, q in zip(xa, xb)], dtype=bool)
+            common, larger = _common(*flat(b["xa"]), *flat(b["xb"]))
+            missing = b["nonea"].to_numpy(zero_copy_only=False) | b["noneb"].to_numpy(zero_copy_only=False)
             ok &= missing | (common * den >= larger * num)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    both = pairs.join(pick("a"), "a").join(pick("b"), "b").select("a", "b", "ma", "mb", "xa", "xb")
+    both = pairs.join(pick("a"), "a").join(pick("b"), "b").select("a", "b", "ma", "mb", "xa", "xb", "nonea", "noneb")
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
