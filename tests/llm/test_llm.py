@@ -353,6 +353,22 @@ def test_residue(spark):
 
 
 
+def test_residue_is_told_by_structure():
+    assert residue.kinds("Dedum portus nemis velor ullam.") and not residue.kinds("Status prawny i forum miasta. Prusy i Korpus.")
+    assert "outline" in residue.kinds("Heading 1\nText\nSection 2\nMore") and "outline" in residue.kinds("Akapit 3\nTekst…")
+    assert not residue.kinds("Rozdział 1\nO początkach miasta i jego pierwszych murach oraz o handlu.\nRozdział 2\nO wojnach, które wiódł jego władca z sąsiadami.")
+    for x in ("Żądana strona nie istnieje.", "Requested file was not found", "Dienst nicht verfügbar", "Serwer nie odpowiada", "Sitzung abgelaufen.", "Connection timed out"):
+        assert "error" in residue.kinds(f"Tekst. {x}"), x
+    assert not residue.kinds("Serwer nie odpowiada za treść listów króla do stanów.")
+    assert "form_prompt" in residue.kinds("Wstęp\nWpisz tytuł") and not residue.kinds("Wpisz tytuł dzieła i podaj autora.")
+
+
+def test_fields_of_any_delimiter_count_as_dense(spark):
+    dense = ["Szablon: [[AUTOR]] @@rok@@ #TYTUL#", "Template: <nazwa> {rok} %ROK%"]
+    assert all(residue.kinds(x) for x in dense)
+    assert not residue.kinds("Szablon dopuszcza zapis [[AUTOR]] w każdym polu strony.")
+
+
 def test_residue_beside_explaining_words(spark):
     good = ["Szablon zapisuje się jako {{ name }} w pliku.", "Szablon:\n```\n{{ a }} {{ b }}\n```\nKoniec."]
     bad = ["Szablon: {{tytul}} {{data}} {{autor}}", "Błąd 503. Szablon strony.", "Wkrótce dodamy szablon", "Template syntax. This site does not work without JavaScript.", "Kod:\n```\nx = 1\nBłąd 503"]
