@@ -1,9 +1,10 @@
 """Variant spellings of names typed by people, linked to one record per person.
 
 A written form is read into a family-name stem, given names and a gender: titles, epithets and places are dropped, digits put
-for letters by scanning are put back, given names are looked up among first names, their short forms and their genitives, and
-every order of the parts is tried. Family-name stems one edit apart are found by a trie join. Forms are then compared: given
-names may be equal, abbreviated or missing, the years of life must agree as far as known.
+for letters by scanning are put back, given names are looked up among first names, their short forms and their genitives. Where
+several parts may be the family name, each of them gives a reading. Family-name stems one edit apart are found by a trie join.
+Forms are then compared in every order of their parts: given names, in either order, may be equal, abbreviated or missing, and
+the years of life must agree as far as known. A reading by another part than the longest counts only where no longer one fits.
 
 Forms, not rows, are joined, and joins run on family name and a bucket of years, so a family with many members or a person
 mentioned in a third of all entries stays spread.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import cut
 from .components import components
@@ -125,11 +127,20 @@ def family(token: str) -> tuple[str, str]:
     return (token[:-1], "") if len(token) > 5 and token[-1] in "aiy" else (token, "")
 
 
+Reading = tuple[str | None, str, bool, str, bool, str]
+
+
+def read(name: str) -> Reading:
+    """The first of :func:`readings`."""
+    return readings(name)[0]
+
+
 @functools.lru_cache(maxsize=200_000)
-def read(name: str) -> tuple[str | None, str, bool, str, bool, str]:
-    """(family stem, first given name, whether it is full, second, whether it is full, gender) of a written name.
+def readings(name: str) -> tuple[Reading, ...]:
+    """(family stem, first given name, whether it is full, second, whether it is full, gender) of a written name, once for each
+    part that may be the family name: parts that are no first names, or all if there are no others, the longest first.
 
-    A name without a family name (blank, titles only) gives a null stem.
+    A name without a family name (blank, titles only) has one reading with a null stem.
     """
     s = name.translate(POLISH).lower()
     s = re.sub(r"(?<=[a-z])[0158]|[0158](?=[a-z])", lambda m: m.group(0).translate(SCANNED), s)
@@ -147,16 +158,19 @@ def read(name: str) -> tuple[str | None, str, bool, str, bool, str]:
     if "," in parts:  # family name first
         k = parts.index(",")
         parts = [*[p for p in parts[k + 1 :] if p != ","], *parts[:k]]
-    given, rest = [], []
     words = [p for p in parts if p != ","]
-    # every order of the parts: a part is the family name if the others can be given names; the longest such part wins
     full = [w for w in words if not w.endswith(".") and len(w) > 2]
     if not full:
         full = [w for w in words if len(w.rstrip(".")) > 3]
     options = [w for w in full if first_name(w) is None] or full
     if not options:
-        return None, "", False, "", False, ""
-    sur = max(options, key=lambda w: (len(w), w))
+        return ((None, "", False, "", False, ""),)
+    return tuple(dict.fromkeys(_reading(words, sur) for sur in sorted(options, key=lambda w: (-len(w), w))))
+
+
+def _reading(words: list[str], sur: str) -> Reading:
+    """The name with the part ``sur`` as the family name; the others are given names."""
+    given, rest = [], []
     for w in words:
         if w is sur:
             continue
@@ -175,20 +189,24 @@ def read(name: str) -> tuple[str | None, str, bool, str, bool, str]:
     return stem, g1, f1, g2, f2, sex
 
 
-def with_forms(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with the reading of column ``name`` appended."""
-    fields = [f for f in df.schema.fields]
-    from pyspark.sql.types import StructType
-
-    added = StructType.fromDDL(FORM) if hasattr(StructType, "fromDDL") else df.sparkSession.createDataFrame([], FORM).schema
+def with_forms(df: DataFrame, name: str, every: bool = False) -> DataFrame:
+    """``df`` with the reading of column ``name`` appended; with ``every``, a row for each reading, numbered in ``nth``."""
+    form = StructType.fromDDL(FORM + (", nth int" if every else ""))
+    kept, shape = df.columns, StructType([*df.schema, *form])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [read(x) if x else (None, "", False, "", False, "") for x in b[name].to_pylist()]
-            cols = [pa.array([g[i] for g in got], pa.bool_() if i in (2, 4) else pa.string()) for i in range(6)]
-            yield pa.RecordBatch.from_arrays([*[b[f.name] for f in fields], *cols], [*[f.name for f in fields], *[f.name for f in added.fields]])
+            of, got = [], []
+            for i, x in enumerate(b[name].to_pylist()):
+                all_ = readings(x) if x else ((None, "", False, "", False, ""),)
+                for k, r in enumerate(all_ if every else all_[:1]):
+                    of.append(i)
+                    got.append((*r, k))
+            cols = [pa.array([g[i] for g in got], pa.int32() if i == 6 else pa.bool_() if i in (2, 4) else pa.string()) for i in range(len(form))]
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b[c].take(take) for c in kept], *cols], shape.names)
 
-    return df.mapInArrow(parse, StructType([*fields, *added.fields]))
+    return df.mapInArrow(parse, shape)
 
 
 def life(years: Column) -> tuple[Column, Column]:
@@ -210,12 +228,23 @@ def _begins(full: Column, short: Column) -> Column:
 
 
 def _given(a: str, b: str) -> Column:
-    """Whether given names agree: both full and equal, or one the beginning of the other, or one missing."""
-    out = F.lit(True)
-    for k in ("1", "2"):
-        x, y, fx, fy = F.col(f"{a}.g{k}"), F.col(f"{b}.g{k}"), F.col(f"{a}.f{k}"), F.col(f"{b}.f{k}")
-        out = out & F.when(fx & fy, x == y).when(~fx, _begins(y, x) | (y == "")).otherwise(_begins(x, y) | (x == ""))
-    return out
+    """Whether given names agree, in the order written or, where both have two, swapped: both full and equal, or one the
+    beginning of the other, or one missing."""
+
+    def agree(k: str, m: str) -> Column:
+        x, y, fx, fy = F.col(f"{a}.g{k}"), F.col(f"{b}.g{m}"), F.col(f"{a}.f{k}"), F.col(f"{b}.f{m}")
+        return F.when(fx & fy, x == y).when(~fx, _begins(y, x) | (y == "")).otherwise(_begins(x, y) | (x == ""))
+
+    two = (F.col(f"{a}.g2") != "") & (F.col(f"{b}.g2") != "")
+    return (agree("1", "1") & agree("2", "2")) | (two & agree("1", "2") & agree("2", "1"))
+
+
+def _initials(df: DataFrame, known: bool) -> DataFrame:
+    """``df`` once for each initial under which given names that agree meet: those of records (``known``) under both initials
+    and under '*', others under the first initial and under none, or under '*' if they have none."""
+    i1, i2 = F.substring("g1", 1, 1), F.substring("g2", 1, 1)
+    keys = F.array(i1, F.when(i2 != "", i2), F.lit("*")) if known else F.when(i1 == "", F.array(F.lit("*"))).otherwise(F.array(i1, F.lit("")))
+    return df.withColumn("initial", F.explode(F.array_distinct(F.array_compact(keys))))
 
 
 def _same_sex(a: str, b: str) -> Column:
@@ -228,27 +257,36 @@ def _close(a: str, b: str, slack: int) -> Column:
     return near("birth") & near("death")
 
 
-def persons_linked(persons: DataFrame, slack: int = 3, bucket: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, forms, neighbours) of person records (row, name, years, text).
-
-    members: row, person (least row), name. forms: what mentions are compared with: sur, given names, sex, birth, death, person.
-    neighbours: family stems (sur, other) one edit apart, each also with itself. Records whose years agree within ``slack``
-    and whose names agree are one person, through others too. A record without years joins the only person its name fits, or,
-    of several, the only one in whose life the years of its text lie. Records without a readable name stand alone.
-    """
+def persons_read(persons: DataFrame) -> DataFrame:
+    """Person records (row, name, years, text) with every reading of the name (``nth`` 0 is the first), birth and death, and
+    ``said``, the years in the text of a record that has neither."""
     birth, death = life(F.col("years"))
     base = persons.select(F.col("row").cast("bigint").alias("row"), "name", birth, death, F.col("text").alias("text")).where("row IS NOT NULL")
     ty = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?<!\d)(\d{3,4}) (?:p\.n\.e\. )?r\."), 1), lambda x: x.cast("int"))
     base = base.withColumn("said", F.when(F.col("birth").isNull() & F.col("death").isNull(), ty)).drop("text")
-    read_ = cut(with_forms(base, "name"))
+    return cut(with_forms(base, "name", every=True))
+
+
+def neighbours_of(read_: DataFrame, seen: DataFrame) -> DataFrame:
+    """(sur, other): family stems of records or mentions, and the recorded stems equal or one edit apart; one trie join for both."""
+    recorded = read_.where("sur IS NOT NULL").select("sur").distinct()
+    every = recorded.withColumn("known", F.lit(True)).union(seen.select("sur", F.lit(False)))
+    near = near_strings(every, "sur", "known").select(F.explode(F.array(F.struct(F.col("a").alias("sur"), F.col("b").alias("other")), F.struct(F.col("b").alias("sur"), F.col("a").alias("other")))).alias("p"))
+    near = near.select("p.*").join(recorded.withColumnRenamed("sur", "other"), "other", "left_semi").select("sur", "other")
+    return cut(near.union(recorded.select("sur", F.col("sur").alias("other"))))
+
+
+def persons_linked(every: DataFrame, neighbours: DataFrame, slack: int = 3, bucket: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(members, forms) of person records as :func:`persons_read` gives them.
+
+    members: row, person (least row), name. forms: what mentions are compared with: every reading (sur, given names, sex, nth), birth, death, person.
+    Records whose years agree within ``slack`` and whose names agree are one person, through others too. A record without
+    years joins the only person its name fits, or, of several, the one in whose life most of the years of its text lie (of
+    these one of the same family stem, of these the least). Records without a readable name stand alone.
+    """
+    read_ = every.where("nth = 0").drop("nth")
     known = ["sur", "g1", "f1", "g2", "f2", "sex", "birth", "death"]
     forms = cut(read_.where("sur IS NOT NULL").groupBy(*known).agg(F.min("row").alias("id")))
-    near = near_strings(read_.select("sur").distinct(), "sur")
-    stems = read_.where("sur IS NOT NULL").select("sur").distinct()
-    neighbours = cut(
-        near.select(F.col("a").alias("sur"), F.col("b").alias("other"))
-        .union(near.select(F.col("b").alias("sur"), F.col("a").alias("other"))).union(stems.select("sur", F.col("sur").alias("other")))
-    )
     dated = forms.where("birth IS NOT NULL OR death IS NOT NULL").withColumn("at", F.coalesce("birth", F.col("death") - 50))
     # years agree within the slack, so births stand in the same or a neighbouring bucket; where only a death is known, the birth
     # may lie in any bucket of the 110 years before
@@ -266,9 +304,10 @@ def persons_linked(persons: DataFrame, slack: int = 3, bucket: int = 16) -> tupl
         dated.drop("at").join(parts, dated.id == parts.node, "left").select(*known, "id", F.coalesce("component", "id").alias("person"))
     )
     undated = forms.where("birth IS NULL AND death IS NULL")
-    loose = undated.join(neighbours.withColumnRenamed("sur", "own"), undated.sur == F.col("own")).alias("a")
+    loose = _initials(undated, False).join(neighbours.withColumnRenamed("sur", "own"), undated.sur == F.col("own")).alias("a")
     fits = (
-        loose.join(dated_persons.alias("b"), F.col("a.other") == F.col("b.sur")).where(_given("a", "b") & _same_sex("a", "b"))
+        loose.join(_initials(dated_persons, True).alias("b"), (F.col("a.other") == F.col("b.sur")) & (F.col("a.initial") == F.col("b.initial")))
+        .where(_given("a", "b") & _same_sex("a", "b"))
         .groupBy(F.col("a.id").alias("id"), F.col("b.person").alias("person"))
         .agg(F.min("b.birth").alias("birth"), F.max("b.death").alias("death"), F.max((F.col("a.sur") == F.col("b.sur")).cast("int")).alias("same"))
     )
@@ -284,8 +323,7 @@ def persons_linked(persons: DataFrame, slack: int = 3, bucket: int = 16) -> tupl
     inside = F.size(F.filter("said", lambda y: (F.abs(y) >= F.least(F.abs("birth"), F.abs("death")) - 5) & (F.abs(y) <= F.greatest(F.abs("birth"), F.abs("death")) + 5)))
     told = (
         lone.join(fits, "id").withColumn("hits", inside).where("hits > 0").groupBy("row")
-        .agg(F.max(F.struct("hits", F.col("same"), F.col("person"))).alias("best"), F.collect_set("person").alias("all"))
-        .select("row", F.col("best.person").alias("told"))
+        .agg((-F.max(F.struct("hits", F.col("same"), (-F.col("person")).alias("least")))["least"]).alias("told"))
     )
     chosen = (
         lone.join(single, "id", "left").join(told, "row", "left")
@@ -307,40 +345,48 @@ def persons_linked(persons: DataFrame, slack: int = 3, bucket: int = 16) -> tupl
     # a person's life as the records give it, for forms that lack it
     span = members.groupBy("person").agg(F.min("birth").alias("b"), F.max("death").alias("d"))
     all_forms = (
-        members.where("sur IS NOT NULL").select("person", *known[:6]).distinct().join(span, "person")
-        .select(*known[:6], F.col("b").alias("birth"), F.col("d").alias("death"), "person")
+        every.where("sur IS NOT NULL").select("row", "nth", *known[:6]).join(members.select("row", "person"), "row")
+        .groupBy("person", *known[:6]).agg(F.min("nth").alias("nth")).join(span, "person")
+        .select(*known[:6], "nth", F.col("b").alias("birth"), F.col("d").alias("death"), "person")
+    )
+    return members.select("row", "person", "name"), cut(all_forms)
+
+
+def mentions_read(mentions: DataFrame) -> DataFrame:
+    """Distinct mentions (name, year) with every reading of the name; a name is read once whatever its years."""
+    names = mentions.where("name IS NOT NULL").groupBy("name").agg(
+        F.collect_set(F.col("year").cast("int")).alias("years"), F.max(F.col("year").isNull()).alias("undated")
     )
-    return members.select("row", "person", "name"), cut(all_forms), neighbours
+    seen = with_forms(names, "name", every=True).where("sur IS NOT NULL")
+    years = F.when(F.col("undated"), F.array_append("years", F.lit(None).cast("int"))).otherwise(F.col("years"))
+    return cut(seen.withColumn("year", F.explode(years)).drop("years", "undated"))
 
 
-def mentions_linked(mentions: DataFrame, forms: DataFrame, slack: int = 12, slot: int = 64) -> DataFrame:
-    """(name, year, person) of distinct mentions (name, year): the person recorded under a fitting form and alive, or nearly, in
-    that year. Of several, the one with the same family stem, alive in the year, with the fuller given names, the least row.
+def mentions_linked(seen: DataFrame, forms: DataFrame, neighbours: DataFrame, slack: int = 12, slot: int = 64) -> DataFrame:
+    """(name, year, person) of mentions as :func:`mentions_read` gives them: the person recorded under a fitting form and alive,
+    or nearly, in that year. Of several, by the longer family name, the one with the same family stem, alive in the year, with the
+    fuller given names, the least row.
     """
-    seen = with_forms(mentions.select("name", F.col("year").cast("int").alias("year")).where("name IS NOT NULL").distinct(), "name")
-    seen = cut(seen.where("sur IS NOT NULL"))
-    recorded = forms.select("sur").distinct()
-    both = near_strings(seen.select("sur").union(recorded), "sur")
-    pairs = both.select(F.col("a").alias("sur"), F.col("b").alias("other")).union(both.select(F.col("b").alias("sur"), F.col("a").alias("other")))
-    pairs = cut(pairs.union(recorded.select("sur", F.col("sur").alias("other"))).join(recorded.withColumnRenamed("sur", "other"), "other", "left_semi"))
     low = F.coalesce("birth", F.col("death") - 100) - slack
     high = F.coalesce("death", F.col("birth") + 100) + slack
     lives = forms.withColumn("low", low).withColumn("high", high)
     slots = F.when(F.col("low").isNotNull(), F.sequence(F.floor(F.col("low") / slot), F.floor(F.col("high") / slot))).otherwise(F.array(F.lit(None).cast("bigint")))
     lives = lives.withColumn("slot", F.explode(slots))
-    named = seen.join(pairs, "sur").withColumn("slot", F.floor(F.col("year") / slot))
+    named = seen.join(neighbours, "sur").withColumn("slot", F.floor(F.col("year") / slot))
     a, b = named.alias("a"), lives.alias("b")
     fit = _given("a", "b") & _same_sex("a", "b")
     in_time = a.join(b, (F.col("a.other") == F.col("b.sur")) & (F.col("a.slot") == F.col("b.slot"))).where(
         fit & F.col("a.year").between(F.col("b.low"), F.col("b.high"))
     )
     # where one side has no years the name must do; such forms are few, a life is taken once
-    once = lives.where("slot IS NULL OR slot = floor(low / {0})".format(slot)).alias("b")
-    undated = a.join(once, F.col("a.other") == F.col("b.sur")).where(fit & (F.col("a.year").isNull() | F.col("b.low").isNull()))
-    pick = ["a.name", "a.year", "a.sur", "b.sur AS bsur", "b.person", "b.birth", "b.death", "a.g1", "b.g1 AS bg1", "a.g2", "b.g2 AS bg2"]
-    found = in_time.selectExpr(*pick).union(undated.selectExpr(*pick))
+    once = _initials(lives.where("slot IS NULL OR slot = floor(low / {0})".format(slot)), True)
+    pick = ["a.name", "a.year", "a.nth + b.nth AS nth", "a.sur", "b.sur AS bsur", "b.person", "b.birth", "b.death", "a.g1", "b.g1 AS bg1", "a.g2", "b.g2 AS bg2"]
+    found = in_time.selectExpr(*pick)
+    for x, y in ((named.where("year IS NULL"), once), (named.where("year IS NOT NULL"), once.where("low IS NULL"))):
+        met = _initials(x, False).alias("a").join(y.alias("b"), (F.col("a.other") == F.col("b.sur")) & (F.col("a.initial") == F.col("b.initial")))
+        found = found.union(met.where(fit).selectExpr(*pick))
     rank = F.struct(
-        (F.col("sur") == F.col("bsur")).cast("int").alias("same"),
+        (-F.col("nth")).alias("reading"), (F.col("sur") == F.col("bsur")).cast("int").alias("same"),
         F.coalesce(F.col("year").between(F.col("birth"), F.col("death")), F.lit(False)).cast("int").alias("alive"),
         (F.col("g1") == F.col("bg1")).cast("int").alias("given"), (F.col("g2") == F.col("bg2")).cast("int").alias("second"),
         (-F.col("person")).alias("least"),
@@ -351,9 +397,11 @@ def mentions_linked(mentions: DataFrame, forms: DataFrame, slack: int = 12, slot
 def variants(persons: DataFrame, mentions: DataFrame) -> DataFrame:
     """(src, src_row, pos, person_row): records of a person other than its first, and mentions (row, pos, name, year) of
     recorded persons under a spelling none of their records has. Null and blank names refer to nobody."""
-    members, forms, _ = persons_linked(persons)
+    read_, seen = persons_read(persons), mentions_read(mentions)
+    neighbours = neighbours_of(read_, seen)
+    members, forms = persons_linked(read_, neighbours)
     records = members.where("row <> person").select(F.lit("persons").alias("src"), F.col("row").alias("src_row"), F.lit(0).alias("pos"), F.col("person").alias("person_row"))
-    linked = mentions_linked(mentions, forms)
+    linked = mentions_linked(seen, forms, neighbours)
     spelled = members.select("person", "name").distinct()
     unlike = cut(linked.join(spelled, ["person", "name"], "left_anti"))
     m = mentions.select("row", "pos", "name", F.col("year").cast("int").alias("year")).alias("m")

@@ -58,8 +58,11 @@ def within(trie: dict, s: str, most: int = 1) -> set[str]:
     return out
 
 
-def near_strings(strings: DataFrame, column: str) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct values of ``column`` one edit apart. Nulls and empty values take part in none."""
+def near_strings(strings: DataFrame, column: str, recorded: str | None = None) -> DataFrame:
+    """(a, b), a < b: all pairs of distinct values of ``column`` one edit apart. Nulls and empty values take part in none.
+
+    With ``recorded``, a boolean column, only pairs that hold a recorded value: only those form the tries, all are looked up.
+    """
     s = F.col("s")
     n = F.length(s)
 
@@ -69,26 +72,27 @@ def near_strings(strings: DataFrame, column: str) -> DataFrame:
         behind = F.concat_ws("\u0001", F.lit(f"s{tag}"), length, F.expr("right(s, 0)") if tag < 0 else F.substring(s, n - (length - half) + 1, length - half))
         return [before, behind]
 
-    distinct = strings.select(F.col(column).alias("s")).where(n > 0).distinct()
+    flag = F.col(recorded) if recorded else F.lit(True)
+    distinct = strings.select(F.col(column).alias("s"), flag.alias("r")).where(n > 0).groupBy("s").agg(F.max("r").alias("r"))
     # as the shorter (or equal) string of a pair, and as the longer one
     keys = [*shard(n, 0), *[F.when(n > 1, k) for k in shard(n - 1, 0)]]
-    shards = distinct.select("s", F.explode(F.array(*keys)).alias("k")).where("k IS NOT NULL").select("s", F.xxhash64("k").alias("key"))
+    shards = distinct.select("s", "r", F.explode(F.array(*keys)).alias("k")).where("k IS NOT NULL").select("s", "r", F.xxhash64("k").alias("key"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in rows_by_key(batches, "key"):
-            keys, names = g["key"].to_numpy(), g["s"].to_pylist()
+            keys, names, base = g["key"].to_numpy(), g["s"].to_pylist(), g["r"].to_numpy(zero_copy_only=False)
             pairs: set[tuple[str, str]] = set()
             i = 0
             while i < len(names):
                 j = i + 1
                 while j < len(names) and keys[j] == keys[i]:
                     j += 1
-                if j - i > 1:
-                    trie = build(names[i:j])
+                if j - i > 1 and base[i:j].any():
+                    trie = build([names[k] for k in range(i, j) if base[k]])
                     for x in names[i:j]:
-                        pairs.update((x, y) for y in within(trie, x) if x < y)
+                        pairs.update((min(x, y), max(x, y)) for y in within(trie, x) if x != y)
                 i = j
             if pairs:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs]), "b": pa.array([b for _, b in pairs])})
 
-    return shards.repartition("key").sortWithinPartitions("key").select("key", "s").mapInArrow(join, "a string, b string").distinct()
+    return shards.repartition("key").sortWithinPartitions("key").select("key", "s", "r").mapInArrow(join, "a string, b string").distinct()

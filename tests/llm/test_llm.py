@@ -145,6 +145,22 @@ def test_people(spark):
     assert got == {("persons", 2, 0, 1), ("persons", 3, 0, 1), ("persons", 6, 0, 5), ("timeline", 1, 1, 1), ("timeline", 1, 2, 4), ("timeline", 3, 1, 5), ("timeline", 6, 1, 9)}
 
 
+def test_people_in_every_order_of_the_parts(spark):
+    p = [(1, "Zdzimir Kowal", "1700–1760", None), (2, "Kowal Zdzimir", "1700–1760", None), (3, "Jan Feliks Nowodworski", "1800–1850", None), (4, "Feliks Jan Nowodworski", "1800–1850", None)]
+    p += [(5, "Ewa Ligocka", "1900–1950", None), (6, "Ewa Ligocka", "1700–1750", None), (7, "E. Ligocka", None, "żyła w 1720 r."), (8, "Ewa Ligocka", None, None)]
+    persons = spark.createDataFrame(p, "row bigint, name string, years string, text string")
+    m = [(1, 1, "Kowal, Zdzimir", 1720), (1, 2, "Nowodworski Jan Feliks", None), (2, 1, "Kowal Z.", 1720), (3, 1, "Ligocka E.", 1910)]
+    mentions = spark.createDataFrame(m, "row bigint, pos int, name string, year int")
+    got = {tuple(r) for r in people.variants(persons, mentions).collect()}
+    assert {g for g in got if g[0] == "persons"} == {("persons", 2, 0, 1), ("persons", 4, 0, 3), ("persons", 7, 0, 6)}
+    assert {g for g in got if g[0] == "timeline"} == {("timeline", 1, 1, 1), ("timeline", 1, 2, 3), ("timeline", 2, 1, 1), ("timeline", 3, 1, 5)}
+
+
+def test_trie_join_of_recorded_strings_only(spark):
+    df = spark.createDataFrame([("abc", True), ("abd", False), ("abe", False), ("zzz", True), ("", True), (None, True)], "s string, k boolean")
+    assert {tuple(r) for r in triejoin.near_strings(df, "s", "k").collect()} == {("abc", "abd"), ("abc", "abe")}
+
+
 def test_people_known_by_death_only(spark):
     p = [(1, "Jan Kowalewski", "1700–1790", None), (2, "Kowalewski, Jan", "zm. 1790", None), (3, "Piotr Dębski", "1800–1815", None), (4, "Dębski, Piotr", "†1815", None), (5, "Jan Kowalewski", "zm. 1500", None)]
     persons = spark.createDataFrame(p, "row bigint, name string, years string, text string")
