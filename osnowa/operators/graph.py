@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
-    """(node, depth): nodes reachable from the seeds (node) over edges (src, dst) in at most ``depth`` steps, with the fewest.
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, most: int | None = None) -> DataFrame:
+    """(node, depth): nodes reachable from the seeds (node) over edges (src, dst), with the fewest steps; in at most ``depth``
+    steps if that is given, else until no node is new.
 
     ``most`` caps the out-edges followed per node, least dst first. Every round joins the new frontier only and is written out.
     """
@@ -22,12 +25,14 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = Non
     e = cut(e)
     seen = cut(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for d in range(1, depth + 1):
+    for d in itertools.count(1):
+        if depth is not None and d > depth:
+            break
         nxt = front.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct()
         front = cut(nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         if not front.take(1):
             break
-        seen = seen.union(front)
+        seen = cut(seen.union(front)) if d % 16 == 0 else seen.union(front)
     return seen
 
 
@@ -35,7 +40,7 @@ def merge_closure(kept: DataFrame, merges: DataFrame) -> DataFrame:
     """(token): kept tokens and, transitively, both parts of every merge (left_part, right_part) that makes a needed token."""
     m = merges.select(F.concat("left_part", "right_part").alias("token"), "left_part", "right_part")
     down = m.select(F.col("token").alias("src"), F.explode(F.array("left_part", "right_part")).alias("dst"))
-    return reach(down, kept.select(F.col("token").alias("node")), 64).select(F.col("node").alias("token"))
+    return reach(down, kept.select(F.col("token").alias("node"))).select(F.col("node").alias("token"))
 
 
 def new_ids(tokens: DataFrame, old_id: str) -> DataFrame:
@@ -45,17 +50,22 @@ def new_ids(tokens: DataFrame, old_id: str) -> DataFrame:
     return in_order(tokens, [old_id]).withColumn("new_id", F.col("position") - 1).drop("position", "before")
 
 
-def ancestors(parent: DataFrame, depth: int = 32) -> DataFrame:
-    """(node, ancestor, distance) along single parents (node, parent), the node itself at 0; cycles end after ``depth`` steps."""
-    p = parent.where("parent IS NOT NULL").select(F.col("node").alias("up"), F.col("parent").alias("above"))
-    out = parent.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    front = out
-    for d in range(1, depth + 1):
-        front = cut(front.join(p, front.ancestor == p.up).select("node", F.col("above").alias("ancestor"), F.lit(d).alias("distance")).where("node <> ancestor"))
-        if not front.take(1):
+def ancestors(parent: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) along single parents (node, parent), the node itself at 0, to the end of every chain.
+
+    Known stretches are doubled in each round, so a chain of n takes log n of them. Nodes of a cycle, and those above which one
+    stands, get each ancestor once, at its least distance.
+    """
+    p = cut(parent.where("parent IS NOT NULL AND node <> parent").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    out, known = p, p.count()
+    while known:
+        up = out.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above"), F.col("distance").alias("more"))
+        far = out.join(up, "ancestor").where("node <> above").select("node", F.col("above").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        out = cut(out.union(far).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        if out.count() == known:
             break
-        out = out.union(front)
-    return out
+        known = out.count()
+    return parent.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).where("node IS NOT NULL").distinct().union(out)
 
 
 def merge_boxes(boxes: DataFrame, page: list[str], slack: float = 6.0) -> DataFrame:

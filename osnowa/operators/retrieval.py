@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -36,18 +36,21 @@ def bm25(queries: DataFrame, qrow: str, qterms: Column, posts: DataFrame, k: int
     return top_k(scored, ["query"], [F.col("score").desc(), F.col("row").desc()], k)
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, row: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, row: str, vector: str, k: int, block: int = 4096, caption: str | None = None, least: float | None = None) -> DataFrame:
     """(query, row, score, rank) by exact cosine; a vector is not its own neighbour; zero vectors score 0.
 
     Queries travel in blocks: every corpus batch is multiplied with every block, only the best k per query and batch leave it.
+    With ``caption``, a corpus column, they are the best k of different captions of the batch, with the caption as a column, so
+    the best of different captions overall are among them, and ranks count all that left a batch. ``least`` is a least score.
     """
     q = queries.select(F.col(row).alias("q"), F.col(vector).cast("array<float>").alias("v")).where("q IS NOT NULL AND v IS NOT NULL")
     groups = q.withColumn("g", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries.count() // block)))))
     blocks = groups.groupBy("g").agg(F.collect_list("q").alias("qs"), F.flatten(F.collect_list("v")).alias("vs"))
-    c = corpus.select(F.col(row).alias("r"), F.col(vector).cast("array<float>").alias("v")).where("r IS NOT NULL AND v IS NOT NULL")
+    mark = F.col(caption) if caption else F.lit(None).cast("int")
+    c = corpus.select(F.col(row).alias("r"), F.col(vector).cast("array<float>").alias("v"), mark.alias("m")).where("r IS NOT NULL AND v IS NOT NULL")
 
     packed = c.withColumn("p", F.pmod(F.xxhash64("r"), F.lit(max(1, -(-corpus.count() // block))))).groupBy("p").agg(
-        F.collect_list("r").alias("rs"), F.flatten(F.collect_list("v")).alias("rv")
+        F.collect_list("r").alias("rs"), F.flatten(F.collect_list("v")).alias("rv"), F.collect_list(F.struct("m")).alias("ms")
     )  # blocks of bounded size on either side; the product of blocks is the work itself
 
     def unit(x: np.ndarray) -> np.ndarray:
@@ -57,16 +60,36 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, row: str, vector: str, k
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for qs, vs, rs, rv in zip(f["qs"], f["vs"], f["rs"], f["rv"]):
+            for qs, vs, rs, rv, ms in zip(f["qs"], f["vs"], f["rs"], f["rv"], f["ms"]):
                 a, b_ = unit(np.asarray(vs, dtype=np.float64).reshape(len(qs), -1)), unit(np.asarray(rv, dtype=np.float64).reshape(len(rs), -1))
                 s = a @ b_.T
                 s[np.asarray(qs)[:, None] == np.asarray(rs)[None, :]] = -np.inf
+                if least is not None:
+                    s[s < least] = -np.inf
+                marks = np.array([x["m"] for x in ms], dtype=object)
+                if caption:  # of each caption the best row, the least of equals
+                    by = np.argsort(np.asarray(rs))
+                    code = pd.factorize(marks[by], use_na_sentinel=False)[0]
+                    of = [by[code == g] for g in range(code.max() + 1)]
+                    best_of = np.stack([g[s[:, g].argmax(axis=1)] for g in of], axis=1)
+                    top = np.take_along_axis(s, best_of, 1)
+                    order = np.lexsort((np.asarray(rs)[best_of], -top), axis=1)[:, :k]
+                    at = np.take_along_axis(best_of, order, 1)
+                    out.append(pd.DataFrame({
+                        "query": np.repeat(qs, at.shape[1]), "row": np.asarray(rs)[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel(), "m": marks[at].ravel(),
+                    }))
+                    continue
                 m = min(k, s.shape[1])
                 at = np.argpartition(-s, m - 1, axis=1)[:, :m]
                 out.append(pd.DataFrame({"query": np.repeat(qs, m), "row": np.asarray(rs)[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel()}))
             got = pd.concat(out)
             yield got[np.isfinite(got["score"])]
 
+    if caption:
+        kind = corpus.schema[caption].dataType.simpleString()
+        found = blocks.crossJoin(packed).mapInPandas(best, f"query bigint, row bigint, score double, m {kind}").withColumnRenamed("m", caption)
+        w = Window.partitionBy("query").orderBy(F.col("score").desc(), "row")
+        return found.withColumn("rank", F.row_number().over(w))
     found = blocks.crossJoin(packed).mapInPandas(best, "query bigint, row bigint, score double")
     return top_k(found, ["query"], [F.col("score").desc(), F.col("row")], k)
 

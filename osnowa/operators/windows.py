@@ -45,6 +45,26 @@ def in_order(df: DataFrame, order: list[str], value: Column | None = None, posit
     )
 
 
+def ranked(df: DataFrame, by: list[str], order: list[str], rank: str = "rank", size: str = "size") -> DataFrame:
+    """``df`` with each row's rank (from 1) in its group and the group's size; no task holds a group.
+
+    ``order`` must be unique within a group. Rows are range-partitioned by group and order, ranked within each part, and moved up
+    by the sizes of the group's earlier parts. A null group is a group like any other.
+    """
+    parted = cut(df.repartitionByRange(*[F.col(c) for c in [*by, *order]]).withColumn("_p", F.spark_partition_id()))
+    counts = parted.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    at = counts.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), F.sum("_n").over(group).alias(size),
+        F.coalesce(F.sum("_n").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"),
+    )
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order))
+    return parted.withColumn("_r", inside).join(at, same).withColumn(rank, F.col("_r") + F.col("_b")).drop("_p", "_q", "_r", "_b", *[f"_k{i}" for i in range(len(by))])
+
+
 def within_cap(df: DataFrame, order: list[str], size: Column, cap: float, exempt: Column | None = None) -> DataFrame:
     """Rows whose predecessors' sizes sum to less than ``cap``; exempt rows are kept and do not count."""
     counted = size if exempt is None else F.when(exempt, 0).otherwise(size)
@@ -78,19 +98,22 @@ def last_n(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame
 
 
 def numbered_ids(df: DataFrame, kind: str, order: list, width: int = 5, name: str = "new_id") -> DataFrame:
-    w = Window.partitionBy(kind).orderBy(*order)
-    return df.withColumn(name, F.concat_ws("-", F.col(kind), F.lpad(F.row_number().over(w).cast("string"), width, "0")))
+    """Adds an id of the kind and a running number of at least ``width`` digits within it."""
+    number = F.col("_rank").cast("string")
+    padded = F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
+    return ranked(df, [kind], order, "_rank", "_size").withColumn(name, F.concat_ws("-", F.col(kind), padded)).drop("_rank", "_size")
 
 
 def one_each_then_fill(df: DataFrame, bucket: str, order: list[str], k: int) -> DataFrame:
     """``k`` rows: the first of every bucket before any bucket's second."""
-    w = Window.partitionBy(bucket).orderBy(*order)
-    return df.withColumn("_more", (F.row_number().over(w) > 1).cast("int")).orderBy("_more", *order).limit(k).drop("_more")
+    first = df.groupBy(bucket).agg(F.min(F.struct(*order)).alias("_f"))
+    joined = df.alias("_d").join(first.alias("_e"), F.col(f"_d.{bucket}").eqNullSafe(F.col(f"_e.{bucket}"))).select("_d.*", "_f")
+    return joined.withColumn("_more", (F.struct(*order) != F.col("_f")).cast("int")).orderBy("_more", *order).limit(k).drop("_more", "_f")
 
 
 def round_robin(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Adds ``turn``: the i-th row of every group comes before any (i+1)-th; sort by (turn, group)."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked(df, [group], order, "turn", "_size").drop("_size")
 
 
 def cyclic(position: Column, slots: list[str]) -> Column:

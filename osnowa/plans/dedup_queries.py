@@ -25,19 +25,15 @@ def dup_profile(t: Tables) -> DataFrame:
     return dedup.profile(t.documents, "text", ["title", "section"])
 
 
-_GRAMS = rf"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents WHERE source = 'terms' OR source = 'persons'),
+_GRAMS = rf"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents),
  s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 3), chr(1)))) AS g FROM w WHERE len(w) > 0),
  e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
- pairs AS (SELECT a, b, shared, shared / (na + nb - shared) AS similarity FROM p WHERE shared / (na + nb - shared) > 0.35)"""
-
-
-def _short_docs(t: Tables) -> DataFrame:
-    return t.documents.where("source = 'terms' OR source = 'persons'")
+ pairs AS MATERIALIZED (SELECT a, b, shared, shared / (na + nb - shared) AS similarity FROM p WHERE shared / (na + nb - shared) > 0.35)"""
 
 
 def _doc_pairs(t: Tables) -> DataFrame:
-    return similarity.jaccard_pairs(similarity.gram_sets(_short_docs(t), "doc_id", text.word_ngrams(F.col("text"), 4)), 0.35)
+    return similarity.jaccard_pairs(similarity.gram_sets(t.documents, "doc_id", text.word_ngrams(F.col("text"), 4)), 0.35)
 
 
 @query(f"WITH {_GRAMS} SELECT a, b, shared, round(similarity, 9) AS similarity FROM pairs")
@@ -49,13 +45,13 @@ def jaccard_pairs_corpus(t: Tables) -> DataFrame:
  walk(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.i, CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE pairs.b = o.doc_id AND list_contains(kept, pairs.a)) THEN kept
  ELSE list_append(kept, o.doc_id) END FROM walk JOIN o ON o.i = walk.i + 1) SELECT unnest(kept) AS doc_id FROM walk WHERE i = (SELECT max(i) FROM o)""")
 def greedy_neardup_kept(t: Tables) -> DataFrame:
-    rows = _short_docs(t).where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
+    rows = t.documents.where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
     return dedup.greedy_first(rows, "doc_id", _doc_pairs(t))
 
 
 @query(f"WITH {_GRAMS} SELECT doc_id FROM s WHERE doc_id NOT IN (SELECT b FROM pairs)")
 def rejected_also_block(t: Tables) -> DataFrame:
-    rows = _short_docs(t).where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
+    rows = t.documents.where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
     return dedup.drop_if_any_earlier(rows, "doc_id", _doc_pairs(t))
 
 
@@ -67,44 +63,11 @@ def kept_by_language(t: Tables) -> DataFrame:
     return rejected_also_block(t).join(t.documents.select("doc_id", "lang"), "doc_id").groupBy(labelled(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _whole_pairs(t: Tables) -> DataFrame:
-    return similarity.jaccard_pairs(similarity.gram_sets(t.documents, "doc_id", text.word_ngrams(F.col("text"), 4)), 0.35)
-
-
-def _worded(t: Tables) -> DataFrame:
-    return t.documents.where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
-
-
-@query()  # these four have no SQL, as it takes minutes over whole documents; tests compare them with brute force
-def jaccard_pairs_documents(t: Tables) -> DataFrame:
-    return _whole_pairs(t).withColumn("similarity", F.round("similarity", 9))
-
-
-@query()
-def greedy_neardup_documents(t: Tables) -> DataFrame:
-    return dedup.greedy_first(_worded(t), "doc_id", _whole_pairs(t))
-
-
-@query()
-def rejected_also_block_documents(t: Tables) -> DataFrame:
-    return dedup.drop_if_any_earlier(_worded(t), "doc_id", _whole_pairs(t))
-
-
-@query()
-def kept_documents_by_language(t: Tables) -> DataFrame:
-    from ..operators.reports import labelled
-
-    kept = rejected_also_block_documents(t).join(t.documents.select("doc_id", "lang"), "doc_id")
-    return kept.groupBy(labelled(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def flagship_dedup_counts(t: Tables) -> DataFrame:
     """Exact 4-gram similarity join of whole documents, keep-first dedup, counts per language."""
     from ..operators.reports import labelled
 
-    docs = t.documents
-    pairs = similarity.jaccard_pairs(similarity.gram_sets(docs, "doc_id", text.word_ngrams(F.col("text"), 4)), 0.35)
-    kept = dedup.greedy_first(docs.select("doc_id", "lang"), "doc_id", pairs)
+    kept = dedup.greedy_first(t.documents.select("doc_id", "lang"), "doc_id", _doc_pairs(t))
     return kept.groupBy(labelled(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -185,15 +148,9 @@ def title_anti(t: Tables) -> DataFrame:
     return dedup.not_in(t.timeline, F.lower(F.trim("title")), t.kompendium, F.lower(F.trim("title"))).select("row_id")
 
 
-@query(r"""WITH e AS (SELECT DISTINCT trim(substring(trim(regexp_replace(lower(question), '[^\p{L}\p{N}_]+', ' ', 'g')), 1, 40)) AS k FROM exam WHERE question IS NOT NULL)
- SELECT row_id FROM synthetic_items WHERE question IS NULL OR trim(substring(trim(regexp_replace(lower(question), '[^\p{L}\p{N}_]+', ' ', 'g')), 1, 40)) NOT IN (SELECT k FROM e)""")
+@query(r"""WITH e AS (SELECT DISTINCT trim(substring(trim(regexp_replace(lower(question), '[^\p{L}\p{N}_]+', ' ', 'g')), 1, 120)) AS k FROM exam WHERE question IS NOT NULL)
+ SELECT row_id FROM synthetic_items WHERE question IS NULL OR trim(substring(trim(regexp_replace(lower(question), '[^\p{L}\p{N}_]+', ' ', 'g')), 1, 120)) NOT IN (SELECT k FROM e)""")
 def contamination_prefix_anti(t: Tables) -> DataFrame:
-    return dedup.not_in(t.synthetic_items, text.norm_prefix(F.col("question"), 40), t.exam, text.norm_prefix(F.col("question"), 40)).select("row_id")
-
-
-@query()
-def contamination_long_prefix_anti(t: Tables) -> DataFrame:
-    """The same with a key of 120 characters, as the reference has it: 40 hold hardly more than command wording."""
     return dedup.not_in(t.synthetic_items, text.norm_prefix(F.col("question")), t.exam, text.norm_prefix(F.col("question"))).select("row_id")
 
 

@@ -14,9 +14,9 @@ from .text_queries import STOP
 _STOP = "['" + "','".join(STOP) + "']"
 
 
-@query("""SELECT doc_id, trim(split_part(text, 'assistant:', 1)) AS prompt, trim(split_part(text, 'assistant:', 2)) AS completion FROM documents WHERE source = 'sft_chat' AND len(string_split(text, 'assistant:')) = 2""")
+@query("""SELECT doc_id, trim(split_part(text, 'assistant:', 1)) AS prompt, trim(split_part(text, 'assistant:', 2)) AS completion FROM documents WHERE len(string_split(text, 'assistant:')) = 2""")
 def conversation_split(t: Tables) -> DataFrame:
-    chat = t.documents.where("source = 'sft_chat'").select("doc_id", F.split("text", "assistant:").alias("p")).where(F.size("p") == 2)
+    chat = t.documents.select("doc_id", F.split("text", "assistant:").alias("p")).where(F.size("p") == 2)
     return chat.select("doc_id", F.trim(F.col("p")[0]).alias("prompt"), F.trim(F.col("p")[1]).alias("completion"))
 
 
@@ -127,10 +127,9 @@ def image_mentions(t: Tables) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN strpos(text, 'Menu | Dzieje | Szukaj') > 0 THEN substring(text, 1, strpos(text, 'Menu | Dzieje | Szukaj') + 21) || ' [x]' || substring(text, strpos(text, 'Menu | Dzieje | Szukaj') + 22) ELSE text || chr(10) || '[x]' END AS text
- FROM documents WHERE source = 'crawl' AND text IS NOT NULL""")
+ FROM documents WHERE text IS NOT NULL""")
 def block_inserted(t: Tables) -> DataFrame:
-    crawl = t.documents.where("source = 'crawl' AND text IS NOT NULL")
-    return crawl.select("doc_id", shapes.insert_after(F.col("text"), "Menu | Dzieje | Szukaj", " [x]", "\n[x]").alias("text"))
+    return t.documents.where("text IS NOT NULL").select("doc_id", shapes.insert_after(F.col("text"), "Menu | Dzieje | Szukaj", " [x]", "\n[x]").alias("text"))
 
 
 @query("""SELECT row_id, array_to_string(list_concat(list_slice(kb_facts, 1, (row_id % (len(kb_facts) + 1))::INT), ['GOLD'], list_slice(kb_facts, (row_id % (len(kb_facts) + 1))::INT + 1, len(kb_facts))), ' | ') AS context FROM e5_items WHERE kb_facts IS NOT NULL""")
@@ -194,8 +193,7 @@ def stratified_probe(t: Tables) -> DataFrame:
 def held_out_tenth(t: Tables) -> DataFrame:
     h = F.md5(F.concat(F.lit("5:"), F.col("row_id").cast("string")))
     k = t.kompendium.select("row_id", "section", h.alias("h"))
-    w = Window.partitionBy("section")
-    return k.select("row_id", F.row_number().over(w.orderBy("h", "row_id")).alias("rn"), F.count(F.lit(1)).over(w).alias("n")).where("rn <= n DIV 10").select("row_id")
+    return windows.ranked(k, ["section"], ["h", "row_id"]).where("rank <= size DIV 10").select("row_id")
 
 
 SPECS = ["a=T1:b:x=r1,r2;y=r3", "c=T2::x=r4"]

@@ -49,11 +49,10 @@ def crosstab_margins(t: Tables) -> DataFrame:
 
 @query("""SELECT o_orderstatus, coalesce(o_orderpriority, 'total') AS priority, round(avg(CASE WHEN o_totalprice > 200000 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus))""")
 def hit_matrix(t: Tables) -> DataFrame:
-    t.orders.createOrReplaceTempView("osnowa_orders")
-    return t.spark.sql(
-        "SELECT o_orderstatus, coalesce(o_orderpriority, 'total') AS priority, round(avg(CASE WHEN o_totalprice > 200000 THEN 1.0D ELSE 0.0D END), 6) AS hit_rate, count(*) AS n "
-        "FROM osnowa_orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus))"
-    )
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    hit = F.avg(F.when(F.col("o_totalprice") > 200000, 1.0).otherwise(0.0))
+    sets = t.orders.groupingSets([[status, priority], [status]], status, priority).agg(F.round(hit, 6).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
+    return sets.select("o_orderstatus", F.coalesce("o_orderpriority", F.lit("total")).alias("priority"), "hit_rate", "n")
 
 
 @query("""WITH a AS (SELECT row_id, verify.judge_points AS points FROM e5_items WHERE verify.judge_points IS NOT NULL), b AS (SELECT row_id, max_points AS points FROM e5_items WHERE verified AND NOT leak)
@@ -149,10 +148,10 @@ def agreement_rate(t: Tables) -> DataFrame:
 
 @query("""SELECT l_shipmode_ AS flag, min(v) AS least, list_sort(list(v))[len(list(v)) // 2 + 1] AS upper_median, max(v) AS most FROM (SELECT l_returnflag AS l_shipmode_, l_extendedprice AS v FROM lineitem) GROUP BY 1""")
 def upper_median(t: Tables) -> DataFrame:
-    # the element in the middle by rank, not a list: a window over the group and its size
-    w = Window.partitionBy("l_returnflag")
-    ranked = t.lineitem.select("l_returnflag", F.col("l_extendedprice").alias("v"), F.row_number().over(w.orderBy("l_extendedprice")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.groupBy(F.col("l_returnflag").alias("flag")).agg(F.min("v").alias("least"), F.max(F.when(F.expr("r = n DIV 2 + 1"), F.col("v"))).alias("upper_median"), F.max("v").alias("most"))
+    # the element in the middle by rank; three groups hold the whole table, so ranks go by parts of a group
+    v = t.lineitem.select("l_returnflag", F.col("l_extendedprice").alias("v"), "l_orderkey", "l_linenumber")
+    r = windows.ranked(v, ["l_returnflag"], ["v", "l_orderkey", "l_linenumber"])
+    return r.groupBy(F.col("l_returnflag").alias("flag")).agg(F.min("v").alias("least"), F.max(F.when(F.expr("rank = size DIV 2 + 1"), F.col("v"))).alias("upper_median"), F.max("v").alias("most"))
 
 
 @query(r"""WITH w AS (SELECT CASE WHEN lower(lang) = 'pl' THEN 1.0 WHEN lower(lang) = 'en' THEN 0.25 ELSE 0.0 END::DOUBLE AS k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents)
@@ -338,9 +337,8 @@ def every_third(t: Tables) -> DataFrame:
 
 @query("""SELECT user_id, list_sort(list(value))[floor((count(*) - 1) * 0.975)::INT + 1] AS p FROM events GROUP BY 1""")
 def nth_percentile(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id")
-    ranked = t.events.select("user_id", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.where("r = floor((n - 1) * 0.975D) + 1").select("user_id", F.col("value").alias("p"))
+    r = windows.ranked(t.events.select("user_id", "value", "event_id"), ["user_id"], ["value", "event_id"])
+    return r.where("rank = floor((size - 1) * 0.975D) + 1").select("user_id", F.col("value").alias("p"))
 
 
 @query("""SELECT user_id, event_type, votes FROM (SELECT user_id, event_type, count(*) AS votes, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS rn FROM events GROUP BY 1, 2) WHERE rn = 1""")
@@ -365,7 +363,7 @@ def clear_winner(t: Tables) -> DataFrame:
 def hash_order_split(t: Tables) -> DataFrame:
     h = t.documents.select("doc_id", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("h"))
     n = max(1, int(t.documents.count() * 0.03))
-    return h.orderBy("h", "doc_id").limit(n).select("doc_id")
+    return windows.in_order(h, ["h", "doc_id"]).where(F.col("position") <= n).select("doc_id")
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")

@@ -15,6 +15,11 @@ _TERMS = (
     "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 3 AND NOT list_contains("
     + _STOP + ", x)), lambda x: substring(x, 1, 6)))"
 )
+_COUNTS = r"""w2 AS (SELECT row_id, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: substring(x, 1, 6)) AS t FROM kompendium), x2 AS (SELECT row_id, len(t) AS dl, unnest(t) AS term FROM w2 WHERE len(t) > 0),
+ p2 AS (SELECT row_id, dl, term, count(*) AS tf FROM x2 GROUP BY 1, 2, 3), q2 AS (SELECT DISTINCT row_id AS query, unnest(list_transform(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+'), lambda x: substring(x, 1, 6))) AS term FROM exam),
+ s2 AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT row_id, dl FROM p2)), f2 AS (SELECT term, count(*) AS df FROM p2 GROUP BY 1),
+ r2 AS (SELECT query, row_id AS row, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score FROM q2 JOIN p2 USING (term) JOIN f2 USING (term) CROSS JOIN s2 GROUP BY 1, 2),
+ k2 AS (SELECT query, row, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, row DESC) AS rank FROM r2)"""
 _BM25 = f"""d AS (SELECT row_id, {_TERMS.format("coalesce(title, '') || ' ' || coalesce(text, '')")} AS t FROM kompendium), p AS (SELECT row_id, len(t) AS dl, unnest(t) AS term FROM d WHERE len(t) > 0),
  q AS (SELECT row_id AS query, unnest({_TERMS.format('question')}) AS term FROM exam), s AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT row_id, dl FROM p)),
  f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
@@ -36,15 +41,14 @@ def bm25_distinct_terms(t: Tables) -> DataFrame:
     return _bm25(t, 10).select("query", "row", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(r"""WITH w AS (SELECT row_id, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: substring(x, 1, 6)) AS t FROM kompendium), x AS (SELECT row_id, len(t) AS dl, unnest(t) AS term FROM w WHERE len(t) > 0),
- p AS (SELECT row_id, dl, term, count(*) AS tf FROM x GROUP BY 1, 2, 3), q AS (SELECT DISTINCT row_id AS query, unnest(list_transform(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+'), lambda x: substring(x, 1, 6))) AS term FROM exam),
- s AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT row_id, dl FROM p)), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
- r AS (SELECT query, row_id AS row, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score FROM q JOIN p USING (term) JOIN f USING (term) CROSS JOIN s GROUP BY 1, 2)
- SELECT query, row, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, row DESC) AS rank FROM r) WHERE rank <= 10""")
-def bm25_term_counts(t: Tables) -> DataFrame:
+def _by_counts(t: Tables, k: int) -> DataFrame:
     posts = retrieval.postings(t.kompendium, "row_id", text.stems(F.col("text")))
-    got = retrieval.bm25(t.exam, "row_id", text.stems(F.col("question")), posts, 10, k1=1.2)
-    return got.select("query", "row", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.bm25(t.exam, "row_id", text.stems(F.col("question")), posts, k, k1=1.2)
+
+
+@query(f"WITH {_COUNTS} SELECT query, row, round(score, 6) AS score, rank FROM k2 WHERE rank <= 10")
+def bm25_term_counts(t: Tables) -> DataFrame:
+    return _by_counts(t, 10).select("query", "row", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _dense(t: Tables, k: int) -> DataFrame:
@@ -63,20 +67,16 @@ def dense_cosine_topk(t: Tables) -> DataFrame:
 @query(f"""WITH {_COS}, o AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, row) AS c FROM r)
  SELECT query, row, rank FROM (SELECT query, row, row_number() OVER (PARTITION BY query ORDER BY score DESC, row) AS rank FROM o WHERE c = 1) WHERE rank <= 3""")
 def knn_distinct_captions(t: Tables) -> DataFrame:
-    hits = _dense(t, 1_000_000).drop("rank").join(t.embeddings.select(F.col("vec_id").alias("row"), "label"), "row")
+    hits = retrieval.cosine_top_k(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 3, caption="label").drop("rank")
     best = dedup.top_without_repeats(hits, "query", "label", "score", "row", 3)
     return best.select("query", "row", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"""WITH {_BM25}, one AS (SELECT query, row, rank FROM k WHERE rank <= 20),
- e AS (SELECT x.query, y.row_id AS row, row_number() OVER (PARTITION BY x.query ORDER BY y.row_id) AS rank FROM (SELECT DISTINCT query FROM one) x JOIN kompendium y ON y.row_id <= 20),
- u AS (SELECT query, row, rank, 0 AS l FROM one UNION ALL SELECT query, row, rank, 1 FROM e WHERE rank <= 20), z AS (SELECT query, row, round(sum(1.0 / (60 + rank)), 12) AS score, min((l, rank)) AS f FROM u GROUP BY 1, 2)
+@query(f"""WITH {_BM25}, {_COUNTS}, u AS (SELECT query, row, rank, 0 AS l FROM k WHERE rank <= 20 UNION ALL SELECT query, row, rank, 1 FROM k2 WHERE rank <= 20),
+ z AS (SELECT query, row, round(sum(1.0 / (60 + rank)), 12) AS score, min((l, rank)) AS f FROM u GROUP BY 1, 2)
  SELECT query, row, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, f, row) AS rank FROM z) WHERE rank <= 10""")
 def reciprocal_rank_fusion(t: Tables) -> DataFrame:
-    lexical = _bm25(t, 20)
-    first = t.kompendium.where("row_id <= 20").select(F.col("row_id").alias("row"), F.col("row_id").alias("rank"))
-    fixed = lexical.select("query").distinct().crossJoin(F.broadcast(first)).select("query", "row", "rank")  # twenty rows: a second, fixed ranking
-    return retrieval.fuse([lexical, fixed], 10).select("query", "row", F.round("score", 9).alias("score"))
+    return retrieval.fuse([_bm25(t, 20), _by_counts(t, 20)], 10).select("query", "row", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {_BM25}, g AS (SELECT e.row_id AS query, k.row_id AS row FROM exam e JOIN kompendium k ON strpos(lower(k.text), lower(substring(e.question, strpos(e.question, ':') + 2, 30))) > 0 WHERE strpos(e.question, ':') > 0),

@@ -49,9 +49,9 @@ def ngram4_sets(t: Tables) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, trim(list_last(string_split(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'), '</think>'))) AS answer
- FROM documents WHERE source = 'sft_chat'""")
+ FROM documents""")
 def strip_think(t: Tables) -> DataFrame:
-    return t.documents.where("source = 'sft_chat'").select("doc_id", text.strip_think(F.col("text")).alias("answer"))
+    return t.documents.select("doc_id", text.strip_think(F.col("text")).alias("answer"))
 
 
 @query(r"""SELECT doc_id, substring(regexp_replace(text, '(?:sk|fh|pk)[-_][A-Za-z0-9_-]{8,}', '[secret]', 'g'), 1, 400) AS masked FROM documents""")
@@ -61,9 +61,9 @@ def secret_mask(t: Tables) -> DataFrame:
 
 @query(r"""SELECT doc_id, substring(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text,
  '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
- '\s+', ' ', 'g')), 1, 2000) AS clean FROM documents WHERE source = 'crawl'""")
+ '\s+', ' ', 'g')), 1, 2000) AS clean FROM documents""")
 def html_clean(t: Tables) -> DataFrame:
-    return t.documents.where("source = 'crawl'").select("doc_id", text.html_clean(F.col("text")).alias("clean"))
+    return t.documents.select("doc_id", text.html_clean(F.col("text")).alias("clean"))
 
 
 @query(r"""SELECT source, count(*) AS n, sum(CASE WHEN regexp_matches(text, 'Ã.|Å.|â€') THEN 1 ELSE 0 END)::BIGINT AS mojibake,
@@ -94,9 +94,9 @@ NOISE = [r"^Menu \|", r"^Strona [0-9]+ z [0-9]+", "^Stopka"]
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?:^Menu \|)|(?:^Strona [0-9]+ z [0-9]+)|(?:^Stopka)')), chr(10)) AS kept
- FROM documents WHERE source = 'crawl'""")
+ FROM documents""")
 def page_noise_removed(t: Tables) -> DataFrame:
-    return t.documents.where("source = 'crawl'").select("doc_id", text.drop_lines(F.col("text"), NOISE).alias("kept"))
+    return t.documents.select("doc_id", text.drop_lines(F.col("text"), NOISE).alias("kept"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
@@ -32,28 +30,48 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; only where that is unset, a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where that is unset, a folder of one's own: in local mode, where all share the machine, a temporary one; on a cluster
+    one in the home folder of the default file system, and an error if that file system is a machine's own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("osnowa.shared.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="osnowa-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("osnowa.shared.dir", folder)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        folder = "file:" + tempfile.mkdtemp(prefix="osnowa-")
+    else:
+        fs, _ = _file_system(spark, ".")
+        if fs.getUri().getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{fs.getHomeDirectory().toString()}/osnowa-{uuid.uuid4().hex}"
+    fs, p = _file_system(spark, folder)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    spark.conf.set("osnowa.shared.dir", folder)
     return folder
 
 
 def cut(df: DataFrame, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Writes ``df`` as a parquet table into the shared folder and reads it back: the lineage ends there.
 
-    Unlike a local checkpoint the result outlives any executor. ``by`` repartitions first, so equal keys share a file.
+    Unlike a local checkpoint the result outlives any executor. ``by`` repartitions first, so equal keys share a file. The table
+    is deleted when the session's file system closes, whatever file system it is.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     if by:
         df = df.repartition(parts, *by) if parts else df.repartition(*by)
     df.write.option("compression", "zstd").parquet(path)
-    if path.startswith("/") or path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 

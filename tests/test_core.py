@@ -148,6 +148,32 @@ def test_bootstrap(spark):
     assert r["n"] == 200 and r["mean"] == pytest.approx(4.5) and r["low"] < 4.5 < r["high"] and r["high"] - r["low"] < 1.2
 
 
+def test_stratified_bootstrap(spark):
+    df = spark.range(300).select((F.col("id") % 3).alias("g"), (F.col("id") % 5).cast("double").alias("v"))
+    r = stats.stratified_bootstrap(df, "g", "v", 200).first()
+    assert r["reps"] == 200 and r["low"] < 600 < r["high"] and r["mean"] == pytest.approx(600, abs=15)
+    assert stats.bootstrap_mean(df.limit(0), "v", 10).first()["n"] == 0
+    a, b = stats.bootstrap_mean(df, "v", 50).first(), stats.bootstrap_mean(df.repartition(7), "v", 50).first()
+    assert a["low"] == pytest.approx(b["low"]) and a["high"] == pytest.approx(b["high"])
+
+
+def test_depths_beyond_any_cap(spark):
+    chain = spark.range(1, 200).select(F.col("id").alias("node"), (F.col("id") - 1).alias("parent"))
+    far = graph.ancestors(chain.union(spark.createDataFrame([(0, None)], "node bigint, parent bigint"))).where("node = 199")
+    assert far.count() == 200 and far.agg(F.max("distance")).first()[0] == 199
+    loop = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "node bigint, parent bigint")
+    assert {tuple(r) for r in graph.ancestors(loop).where("node = 3").collect()} == {(3, 3, 0), (3, 1, 1), (3, 2, 2)}
+    merges = spark.createDataFrame([("a" * i, "a") for i in range(1, 90)], "left_part string, right_part string")
+    assert graph.merge_closure(spark.createDataFrame([("a" * 90,)], "token string"), merges).count() == 90
+
+
+def test_ranks_of_a_hot_group(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.lit("hot")).alias("g"), F.col("id").alias("i"))
+    r = windows.ranked(df.repartition(5), ["g"], ["i"]).groupBy("g").agg(F.max("rank").alias("m"), F.countDistinct("rank").alias("d"), F.max("size").alias("s")).collect()
+    assert all(x["m"] == x["d"] == x["s"] for x in r) and sorted(x["m"] for x in r) == [667, 1333]
+    assert windows.ranked(df.limit(0), ["g"], ["i"]).count() == 0
+
+
 def test_sources(spark, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text('{"id": "x", "o": 1}\n\n{bad\n{"id": "x", "o": 2}\n')

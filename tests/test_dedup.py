@@ -43,7 +43,7 @@ def test_command_wording_is_no_contamination(spark):
     exam = spark.createDataFrame([(command + "Kanał służy załodze.",), (None,)], "question string")
     items = spark.createDataFrame([(1, command + "Poseł przywozi układ."), (2, command.upper() + "kanał, służy załodze"), (3, None)], "row_id bigint, question string")
     t = SimpleNamespace(synthetic_items=items, exam=exam)
-    assert {r["row_id"] for r in dedup_queries.contamination_long_prefix_anti(t).collect()} == {1, 3}
+    assert {r["row_id"] for r in dedup_queries.contamination_prefix_anti(t).collect()} == {1, 3}
 
 
 def test_document_queries_cover_all_sources(spark):
@@ -54,13 +54,13 @@ def test_document_queries_cover_all_sources(spark):
     t = SimpleNamespace(documents=spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string"))
     g = [grams(x) for x in texts]
     near = {(i, j) for i in range(8) for j in range(i + 1, 8) if g[i] and g[j] and len(g[i] & g[j]) / len(g[i] | g[j]) > 0.35}
-    assert {(r["a"], r["b"]) for r in dedup_queries.jaccard_pairs_documents(t).collect()} == near
+    assert {(r["a"], r["b"]) for r in dedup_queries.jaccard_pairs_corpus(t).collect()} == near
     kept = []
     for i in range(8):
         if g[i] and not any((j, i) in near for j in kept):
             kept.append(i)
-    assert sorted(r["doc_id"] for r in dedup_queries.greedy_neardup_documents(t).collect()) == kept
+    assert sorted(r["doc_id"] for r in dedup_queries.greedy_neardup_kept(t).collect()) == kept
     clear = [i for i in range(8) if g[i] and not any(b == i for _, b in near)]
-    assert sorted(r["doc_id"] for r in dedup_queries.rejected_also_block_documents(t).collect()) == clear
-    got = {r["lang"]: r["n"] for r in dedup_queries.kept_documents_by_language(t).collect()}
+    assert sorted(r["doc_id"] for r in dedup_queries.rejected_also_block(t).collect()) == clear
+    got = {r["lang"]: r["n"] for r in dedup_queries.kept_by_language(t).collect()}
     assert got == {k: n for k, n in (("pl", sum(i % 2 for i in clear)), ("—", sum(1 - i % 2 for i in clear))) if n}
