@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +82,27 @@ def clamp(x: Column, low: int, high: int) -> Column:
 
 
 def string_leaves(json_text: Column) -> Column:
-    """All string values in a JSON text, in order of appearance, names left out."""
-    found = F.regexp_extract_all(json_text, F.lit(r'"((?:[^"\\]|\\.)*)"\s*(?=[,\]\}]|$)'), 1)
-    return found
+    """All string values in a JSON text, in order of appearance, names left out, escapes resolved; null for what is no JSON."""
+
+    def leaves(x) -> list:
+        if isinstance(x, str):
+            return [x]
+        return [y for v in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()) for y in leaves(v)]
+
+    def parse(x):
+        try:
+            return leaves(json.loads(x))
+        except (TypeError, ValueError):
+            return None
+
+    def of_batch(texts: pd.Series) -> pd.Series:
+        return texts.map(parse)
+
+    return F.pandas_udf(of_batch, "array<string>")(json_text)
+
+
+def listed(text: Column, most: int = 5) -> Column:
+    """A list from a JSON list or from the lines of a text, without bullets and blanks, ``most`` at most; null gives none."""
+    as_json = F.from_json(text, "array<string>")
+    by_line = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\s•*-]+|\s+$", ""))
+    return F.slice(F.filter(F.coalesce(F.when(F.ltrim(text).startswith("["), as_json), by_line), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), 1, most)

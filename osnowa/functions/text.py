@@ -89,6 +89,61 @@ def strip_think(text: Column) -> Column:
     return F.trim(F.substring_index(x, "</think>", -1))
 
 
+def clean_answer(text: Column) -> Column:
+    """An answer without <think> blocks and bold signs; of a text with a lone closing tag what stands behind the last one, or before
+    it if nothing does."""
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?</think>", "")
+    tail, head = F.substring_index(x, "</think>", -1), F.regexp_replace(x, r"(?s)</think>[^<]*$", "")
+    kept = F.when(F.contains(x, F.lit("</think>")) & (F.trim(F.regexp_replace(tail, r"\s+", " ")) == ""), head).otherwise(tail)
+    return F.regexp_replace(F.regexp_replace(kept, r"\*\*([^\n]+?)\*\*", "$1"), r"^\s+|\s+$", "")
+
+
+def norm_name(text: Column) -> Column:
+    """:func:`norm_text` for names: nothing is taken out but signs."""
+    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(text), r"[–—−]", "-"), r"[^0-9a-ząćęłńóśźż -]", " "))
+
+
+#: Cities that stand before the year of a printed source, and words that open a citation.
+PRINT_CITIES = [
+    "Warszawa", "Kraków", "Wrocław", "Poznań", "Lublin", "Łódź", "Gdańsk", "Katowice", "Toruń", "Olsztyn", "Białystok", "Rzeszów", "Kielce", "Opole", "Londyn", "Paryż", "Berlin",
+    "Wiedeń", "Oxford", "London", "Paris", "New York", "Bydgoszcz", "Częstochowa",
+]
+CITED_BY = ["Za", "Na podstawie", "Źródło"]
+
+
+def strip_citations(text: Column, cities: list[str] = PRINT_CITIES, openers: list[str] = CITED_BY) -> Column:
+    """Blanks in place of citations: from an opener and colon to the line's end, a city with the year of print, page and volume
+    numbers, links, dates of access."""
+    parts = [
+        r"(?:" + "|".join(openers) + r")\s*:[^\n]{0,250}", r"(?:" + "|".join(cities) + r")[\s,]*(?:[0-9]{4}(?:[–-][0-9]{2,4})?)?", r"s\.\s*[0-9]+(?:[–-][0-9]+)?", r"t\.\s*[IVX0-9]+",
+        r"https?://[^\s]+", r"dostęp[^\n]{0,40}",
+    ]
+    return F.regexp_replace(text, "|".join(parts), " ")
+
+
+def scope_of(text: Column, local: list[str], name: str, other: str, cities: list[str] = PRINT_CITIES) -> Column:
+    """``name`` if one of the words of ``local`` stands in the text outside citations, whatever the case, else ``other``."""
+    return F.when(strip_citations(text, cities).rlike("(?i)" + "|".join(local)), name).otherwise(other)
+
+
+def tidy(text: Column, short: int = 60) -> Column:
+    """A wrapped text on one line: broken words joined, single blanks; brackets are dropped from short texts and round in long ones."""
+    x = squeeze(F.regexp_replace(text, r"-\s+([a-ząćęłńóśźż])", "$1"))
+    return F.when(F.length(x) < short, F.translate(x, "[]", "")).otherwise(F.translate(x, "[]", "()"))
+
+
+def dedup_sentences(text: Column) -> Column:
+    """Sentences whose letters and digits repeat an earlier one's are dropped; the first stays as it is."""
+    key = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_]+", " "))
+    pieces = F.filter(F.split(F.regexp_replace(text, r"([.!?…])\s+", "$1\n"), "\n"), lambda x: F.trim(x) != "")
+
+    def keep(xs: Column) -> Column:
+        keys = F.transform(xs, key)
+        return F.filter(xs, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+
+    return F.array_join(let(pieces, keep), " ")
+
+
 def strip_emphasis(text: Column) -> Column:
     return F.regexp_replace(text, r"[*_`#]", "")
 
@@ -165,10 +220,10 @@ def apply_fixes(text: Column, fixes: Column) -> Column:
     return F.aggregate(fixes, text, lambda t, f: F.replace(t, f.getField("old"), f.getField("new")))
 
 
-def drop_alternatives(text: Column, passes: int = 4) -> Column:
-    """``a / b`` becomes ``a``; digits around a slash become a range; repeated until nothing changes, ``passes`` times at most."""
+def drop_alternatives(text: Column) -> Column:
+    """Of words with slashes between them the first stays, however many there are; digits around a slash become a range."""
     x = F.regexp_replace(text, r"(\d)\s*/\s*(\d)", "$1–$2")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), x, lambda t, _: F.regexp_replace(t, r"([\p{L}\p{N}]+) / [\p{L}\p{N}]+", "$1"))
+    return F.regexp_replace(x, r"([\p{L}\p{N}]+)(?: / [\p{L}\p{N}]+)+", "$1")
 
 
 def leak_flags(text: Column) -> dict[str, Column]:
@@ -220,17 +275,89 @@ def content_stems(text: Column, stop: list[str], least: int = 5, size: int = 6)
     return F.transform(kept, lambda w: F.substring(w, 1, size))
 
 
-def proper_stems(text: Column, size: int = 6) -> Column:
-    """Stems of capitalised words that do not begin a sentence."""
+def proper_stems(text: Column, size: int = 6, general: list[str] | None = None) -> Column:
+    """Stems of capitalised words that do not begin a sentence and are no ``general`` words (in lower case)."""
     found = F.regexp_extract_all(text, F.lit(r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}{2,})"), 1)
+    if general:
+        found = F.filter(found, lambda w: ~F.lower(w).isin(general))
     return F.array_distinct(F.transform(found, lambda w: F.lower(F.substring(w, 1, size))))
 
 
+def cited_terms(text: Column, stop: list[str], cities: list[str] = PRINT_CITIES, openers: list[str] = CITED_BY, stem: int = 6, least: int = 3) -> Column:
+    """:func:`distinct_terms` of the lines that are no citations: lines that begin with an opener and colon, or hold a city before a
+    year, are dropped whole."""
+    bad = r"^\s*(?:" + "|".join(openers) + r")\s*:|(?:" + "|".join(cities) + r")[\s,]+[0-9]{4}"
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(bad)), "\n")
+    return distinct_terms(kept, stop, stem, least)
+
+
+def key_terms(text: Column, stop: list[str], n: int = 3, least: int = 4, size: int = 5) -> Column:
+    """Stems of the first ``n`` words of at least ``least`` characters that are no stop words."""
+    kept = F.filter(words(text), lambda w: (F.length(w) >= least) & ~F.array_contains(F.array(*map(F.lit, stop)), w))
+    return F.slice(F.transform(kept, lambda w: F.substring(w, 1, size)), 1, n)
+
+
+def entity_query(text: Column) -> Column:
+    """A query from a question: its runs of capitalised words, its years, then the question itself."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"), 1)
+    years = F.regexp_extract_all(text, F.lit(r"(?:^|[^0-9])([0-9]{3,4})(?:[^0-9]|$)"), 1)
+    return squeeze(F.concat_ws(" ", F.array_distinct(runs), F.array_distinct(years), text))
+
+
 # --- dates and keys -----------------------------------------------------------------------------------------------------------
-def years_in(text: Column) -> Column:
-    """Years 1000-2025 in order, not followed by a digit or a unit of money, weight or people."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![0-9])(1[0-9]{3}|20[01][0-9]|202[0-5])(?![0-9])(?! (?:talar|grzywien|ludzi|osad|mil|rodzin))"), 1)
-    return F.transform(found, lambda x: x.cast("int"))
+#: Roman numerals of centuries, and what stands behind a number that is no year.
+CENTURIES = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX XXI".split()
+NO_YEAR = ["zł", "km", "osób", "tys", "mln", "%"]
+
+
+def years_in(text: Column, units: list[str] = NO_YEAR, first: int = 1000, last: int = 2025) -> Column:
+    """Years in a text: numbers from ``first`` to ``last`` without one of the units behind them, then-numbers of any size before our
+    era as negative years, then centuries in Roman numerals by their middle."""
+    number = r"(?<![\p{L}\p{N}_])([0-9]{1,4})(?![0-9\p{L}_])\s*+(?:r\.|roku|rok)?+\s*+(p\.\s?n\.\s?e\.)?+(?!\s*+(?:" + "|".join(units) + "))"
+    numbers, eras = F.regexp_extract_all(text, F.lit(number), 1), F.regexp_extract_all(text, F.lit(number), 2)
+    both = F.transform(numbers, lambda x, i: F.when(F.get(eras, i) != "", -x.cast("int")).when(x.cast("int").between(first, last), x.cast("int")))
+    romans = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([IVX]{1,5})\s*(?:[–-])?\s*(?:[IVX]{1,5}\s*)?w(?:iek\p{L}*|\.)"), 1)
+    table = F.create_map(*[F.lit(v) for i, c in enumerate(CENTURIES) for v in (c, i * 100 + 50)])
+    return F.array_compact(F.concat(both, F.transform(romans, lambda r: F.try_element_at(table, r))))
+
+
+def median_year(text: Column, keywords: list[tuple[str, int]] = (), **kinds) -> Column:
+    """The median of the years in a text without its citations; if there are none, that of the years of the keyword patterns that it
+    meets; null if it meets none."""
+    hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(y)) for p, y in keywords])) if keywords else F.array().cast("array<int>")
+
+    def middle(xs: Column) -> Column:
+        return let(F.sort_array(xs), lambda s: F.when(F.size(s) > 0, (F.element_at(s, F.floor((F.size(s) + 1) / 2).cast("int")) + F.element_at(s, F.floor(F.size(s) / 2 + 1).cast("int"))) / 2))
+
+    return F.coalesce(middle(years_in(strip_citations(text), **kinds)), middle(hits))
+
+
+def stable_number(text: Column, below: int = 100_000_000) -> Column:
+    """A number below ``below`` that depends on the text alone."""
+    return F.pmod(F.xxhash64(text), F.lit(below))
+
+
+def nearest_above(text: Column, marker: str, back: int = 6, least: int = 3) -> Column:
+    """The nearest non-blank line of at least ``least`` characters among the ``back`` lines above the first line that holds the marker;
+    '' if there is none."""
+
+    def pick(rows: Column) -> Column:
+        at = F.coalesce(F.array_position(F.transform(rows, lambda x: F.contains(x, F.lit(marker))), True), F.lit(0)).cast("int")
+        above = F.slice(rows, F.greatest(at - back, F.lit(1)), F.greatest(F.least(at - 1, F.lit(back)), F.lit(0)))
+        long = F.filter(F.transform(above, lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+        return F.coalesce(F.try_element_at(long, F.lit(-1)), F.lit(""))
+
+    return let(F.split(text, "\n"), pick)
+
+
+def before_last_paragraph(text: Column, paragraph: Column) -> Column:
+    """The text with a paragraph put in before its last one; of a text of one paragraph, behind it."""
+
+    def put(ps: Column) -> Column:
+        n = F.size(ps)
+        return F.array_join(F.when(n > 1, F.concat(F.slice(ps, F.lit(1), n - 1), F.array(paragraph), F.slice(ps, n, F.lit(1)))).otherwise(F.concat(ps, F.array(paragraph))), "\n\n")
+
+    return let(F.split(text, r"\n\s*\n"), put)
 
 
 def has_date(text: Column) -> Column:

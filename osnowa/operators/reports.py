@@ -124,6 +124,13 @@ def in_ranges(df: DataFrame, value: Column, ranges: DataFrame) -> DataFrame:
     return df.withColumn("_x", value).join(r, (F.col("_x") >= F.col("low")) & (F.col("_x") < F.col("high")), "left").drop("_x", "low", "high")
 
 
+def inflation(df: DataFrame, label: str, base: str, tokens: Column, chars: Column) -> DataFrame:
+    """(label, per_kchar, inflation): tokens per thousand characters, and how many per cent more than the label ``base`` has."""
+    counted = df.groupBy(label).agg((F.sum(tokens) / F.sum(chars)).alias("r"))
+    of_base = F.max(F.when(F.col(label) == base, F.col("r"))).over(Window.partitionBy())
+    return counted.select(label, F.round(F.col("r") * 1000.0, 6).alias("per_kchar"), F.round((F.col("r") / of_base - 1) * 100.0, 6).alias("inflation"))
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table; more than ``most`` rows are refused."""
     rows = df.limit(most + 1).collect()

@@ -221,3 +221,111 @@ def prompt_blocks(t: Tables) -> DataFrame:
 @query(r"""SELECT row_id, len(kb_facts)::BIGINT AS n_facts, array_to_string(list_slice(kb_facts, 1, 2), '; ') AS head FROM e5_items WHERE kb_facts IS NOT NULL""")
 def fact_lists(t: Tables) -> DataFrame:
     return t.e5_items.where("kb_facts IS NOT NULL").select("row_id", F.size("kb_facts").cast("bigint").alias("n_facts"), F.array_join(F.slice("kb_facts", 1, 2), "; ").alias("head"))
+
+
+# --- normalisers, dates, names ------------------------------------------------------------------------------------------------
+@query(r"""SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[–—−]', '-', 'g'), '[^0-9a-ząćęłńóśźż -]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM persons WHERE name IS NOT NULL""")
+def normal_names(t: Tables) -> DataFrame:
+    return t.persons.where("name IS NOT NULL").select("row_id", text.norm_name(F.col("name")).alias("name"))
+
+
+_CITED = "(?:Za|Na podstawie|Źródło)\\s*:[^\\n]{0,250}|(?:" + "|".join(text.PRINT_CITIES) + ")[\\s,]*(?:[0-9]{4}(?:[–-][0-9]{2,4})?)?|s\\.\\s*[0-9]+(?:[–-][0-9]+)?|t\\.\\s*[IVX0-9]+|https?://[^\\s]+|dostęp[^\\n]{0,40}"
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(text, '{_CITED}', ' ', 'g')) AS h, CASE WHEN regexp_matches(regexp_replace(text, '{_CITED}', ' ', 'g'), '(?i)unii|sejm|szlacht') THEN 'home' ELSE 'abroad' END AS scope FROM documents WHERE text IS NOT NULL""")
+def scopes_without_citations(t: Tables) -> DataFrame:
+    x = F.col("text")
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.md5(text.strip_citations(x)).alias("h"), text.scope_of(x, ["unii", "sejm", "szlacht"], "home", "abroad").alias("scope"))
+
+
+@query(r"""WITH x AS (SELECT row_id, trim(regexp_replace(regexp_replace(title, '-\s+([a-ząćęłńóśźż])', '\1', 'g'), '\s+', ' ', 'g')) AS x FROM timeline WHERE title IS NOT NULL)
+ SELECT row_id, CASE WHEN length(x) < 60 THEN translate(x, '[]', '') ELSE translate(x, '[]', '()') END AS title FROM x""")
+def tidy_titles(t: Tables) -> DataFrame:
+    return t.timeline.where("title IS NOT NULL").select("row_id", text.tidy(F.col("title")).alias("title"))
+
+
+@query(r"""WITH p AS (SELECT row_id, list_filter(string_split(regexp_replace(text, '([.!?…])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x) <> '') AS s FROM kompendium WHERE text IS NOT NULL),
+ k AS (SELECT row_id, s, list_transform(s, lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS k FROM p) SELECT row_id, array_to_string(list_filter(s, lambda x, i: list_position(k, k[i]) = i), ' ') AS kept FROM k""")
+def sentences_deduplicated(t: Tables) -> DataFrame:
+    return t.kompendium.where("text IS NOT NULL").select("row_id", text.dedup_sentences(F.col("text")).alias("kept"))
+
+
+@query(rf"""SELECT row_id, array_to_string(list_slice(list_transform(list_filter(regexp_extract_all(lower(question), '{W}'), lambda x: length(x) >= 4 AND NOT list_contains({_STOP}, x)), lambda x: substring(x, 1, 5)), 1, 3), ' ') AS terms FROM exam WHERE question IS NOT NULL""")
+def first_key_terms(t: Tables) -> DataFrame:
+    return t.exam.where("question IS NOT NULL").select("row_id", F.array_join(text.key_terms(F.col("question"), STOP), " ").alias("terms"))
+
+
+@query(r"""WITH x AS (SELECT row_id, question, list_distinct(regexp_extract_all(question, '(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)', 1)) AS r FROM exam WHERE question IS NOT NULL) SELECT row_id, len(r)::BIGINT AS runs FROM x""")
+def entity_runs(t: Tables) -> DataFrame:
+    runs = F.array_distinct(F.regexp_extract_all("question", F.lit(r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"), 1))
+    return t.exam.where("question IS NOT NULL").select("row_id", F.size(runs).cast("bigint").alias("runs"))
+
+
+@query()
+def entity_queries(t: Tables) -> DataFrame:
+    return t.exam.where("question IS NOT NULL").select("row_id", text.entity_query(F.col("question")).alias("query"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(?:Za|Na podstawie|Źródło)\s*:|(?:{"|".join(text.PRINT_CITIES)})[\s,]+[0-9]{{4}}')), chr(10)) AS x FROM documents WHERE text IS NOT NULL)
+ SELECT doc_id, len(list_distinct(list_transform(list_filter(regexp_extract_all(lower(regexp_replace(x, 'https?://[^\s]+', ' ', 'g')), '{W}'), lambda x: length(x) >= 3 AND NOT list_contains({_STOP}, x)), lambda x: substring(x, 1, 6))))::BIGINT AS terms FROM l""")
+def terms_of_uncited_lines(t: Tables) -> DataFrame:
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.size(text.cited_terms(F.col("text"), STOP)).cast("bigint").alias("terms"))
+
+
+@query()
+def years_of_entries(t: Tables) -> DataFrame:
+    """Years in the texts with those before our era and centuries, and their median; the pattern needs look-ahead, so no SQL."""
+    x = F.col("text")
+    return t.timeline.where("text IS NOT NULL").select("row_id", F.array_join(F.transform(text.years_in(x), lambda y: y.cast("string")), ",").alias("years"), text.median_year(x, KEYWORD_YEARS).alias("median"))
+
+
+#: Word stems of an age and a year that stands for it.
+KEYWORD_YEARS = [("starożyt|faraon|polis", 0), ("średniow|krucj|rycer|feudal", 1100), ("szlacht|sejmik|reformac|oświeceni", 1650), ("zabor|powstani", 1860), ("okupac|wojn.{1,12} światow", 1930)]
+
+
+@query(r"""SELECT row_id, md5('k:' || id) AS m, sha256('k:' || id) AS s2 FROM persons WHERE id IS NOT NULL""")
+def content_keys(t: Tables) -> DataFrame:
+    key = F.concat(F.lit("k:"), F.col("id"))
+    return t.persons.where("id IS NOT NULL").select("row_id", F.md5(key).alias("m"), F.sha2(key, 256).alias("s2"))
+
+
+@query(r"""WITH t AS (SELECT category, trim(regexp_replace(translate(lower(category), 'ąćęłńóśźż', 'acelnoszz'), '[^\p{L}\p{N}]+', ' ', 'g')) AS k, upper(regexp_extract(category, '^\s*([IVXLCDMivxlcdm]+)\s*(?:\.|$)', 1)) AS h FROM e5_targets WHERE dim = 'section'),
+ s AS (SELECT DISTINCT section, trim(regexp_replace(translate(lower(section), 'ąćęłńóśźż', 'acelnoszz'), '[^\p{L}\p{N}]+', ' ', 'g')) AS k, upper(regexp_extract(section, '^\s*([IVXLCDMivxlcdm]+)\s*(?:\.|$)', 1)) AS h FROM e5_items WHERE section IS NOT NULL),
+ p AS (SELECT *, CASE WHEN regexp_matches(section, '(?:…|\.\.\.)\s*$') THEN k WHEN length(k) >= 24 THEN substring(k, 1, 24) END AS p FROM s),
+ c AS (SELECT section, coalesce((SELECT min(category) FROM t WHERE t.k = p.k), (SELECT min(category) FROM t WHERE t.h = p.h AND p.h <> '' HAVING count(*) = 1), (SELECT min(category) FROM t WHERE starts_with(t.k, p.p) AND p.p <> '' HAVING count(*) = 1)) AS canonical FROM p)
+ SELECT row_id, canonical FROM e5_items LEFT JOIN c USING (section)""")
+def canonical_sections(t: Tables) -> DataFrame:
+    from ..functions.names import canonical
+
+    known = [r["category"] for r in t.e5_targets.where("dim = 'section'").orderBy("category").collect()]  # the fixed list of categories
+    return t.e5_items.select("row_id", canonical(F.col("section"), known).alias("canonical"))
+
+
+@query(rf"""WITH w AS (SELECT source, len(regexp_extract_all(text, '{W}')) AS w, length(text) AS c, CASE WHEN source = 'passages' THEN 1 ELSE 0 END AS base FROM documents WHERE text IS NOT NULL),
+ b AS (SELECT sum(w) / sum(c) AS r FROM w WHERE base = 1) SELECT source, round(1000.0 * sum(w) / sum(c), 6) AS per_kchar, round(100.0 * (sum(w) / sum(c) / (SELECT r FROM b) - 1), 6) AS inflation FROM w GROUP BY source""")
+def token_inflation(t: Tables) -> DataFrame:
+    from ..operators.reports import inflation
+
+    d = t.documents.where("text IS NOT NULL").select("source", text.count_words(F.col("text")).alias("w"), F.length("text").cast("bigint").alias("c"))
+    return inflation(d, "source", "passages", F.col("w"), F.col("c"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE strpos(text, '[Obraz:') > 0), p AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: strpos(x, '[Obraz:') > 0), true) AS i FROM x),
+ a AS (SELECT doc_id, list_filter(list_transform(CASE WHEN i > 1 THEN list_slice(l, greatest(i - 6, 1), i - 1) ELSE [] END, lambda x: trim(x)), lambda x: length(x) >= 3) AS a FROM p) SELECT doc_id, coalesce(a[-1], '') AS title FROM a""")
+def titles_above_images(t: Tables) -> DataFrame:
+    return t.documents.where(F.contains("text", F.lit("[Obraz:"))).select("doc_id", text.nearest_above(F.col("text"), "[Obraz:").alias("title"))
+
+
+@query(r"""WITH p AS (SELECT row_id, regexp_split_to_array(text, '\n\s*\n') AS p FROM kompendium WHERE text IS NOT NULL) SELECT row_id, array_to_string(CASE WHEN len(p) > 1 THEN list_concat(list_slice(p, 1, len(p) - 1), ['[note]'], [p[-1]]) ELSE list_append(p, '[note]') END, chr(10) || chr(10)) AS text FROM p""")
+def paragraph_inserted(t: Tables) -> DataFrame:
+    return t.kompendium.where("text IS NOT NULL").select("row_id", text.before_last_paragraph(F.col("text"), F.lit("[note]")).alias("text"))
+
+
+@query("""SELECT section, string_agg('=== ' || row_id || ' ===' || chr(10) || title, chr(10) || chr(10) ORDER BY row_id) AS block FROM (SELECT section, row_id, title, row_number() OVER (PARTITION BY section ORDER BY row_id) AS rn FROM kompendium WHERE section IS NOT NULL AND title IS NOT NULL) WHERE rn <= 20 GROUP BY section""")
+def page_blocks(t: Tables) -> DataFrame:
+    """The first twenty notes of a section under headers, in order."""
+    from ..operators import windows
+
+    rows = windows.top_k(t.kompendium.where("section IS NOT NULL AND title IS NOT NULL").select("section", "row_id", "title"), ["section"], ["row_id"], 20)
+    part = F.struct("row_id", F.concat(F.lit("=== "), F.col("row_id").cast("string"), F.lit(" ===\n"), "title").alias("x"))
+    return rows.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["x"]), "\n\n").alias("block"))

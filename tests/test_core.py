@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from osnowa.functions import parsing, text
+from osnowa.functions import names, parsing, text
 from osnowa.functions.bags import as_set, words
 from osnowa.operators import dedup, graph, reports, retrieval, similarity, stats, windows
 from osnowa.sources import files
@@ -34,7 +34,8 @@ def test_score(spark, ok, n, most, points):
 
 
 def test_years_and_dates(spark):
-    assert one(spark, text.years_in(F.col("t")), t="W 1410 r. i 1525 talarów, 2031, 966") == [1410]
+    assert one(spark, text.years_in(F.col("t"), ["talar"]), t="W 1410 r. i 1525 talarów, 2031, 966") == [1410]
+    assert one(spark, text.years_in(F.col("t")), t="W 44 r. p.n.e. i 1500 zł, 1683 roku, XVII–XVIII w., 12345") == [-44, 1683, 1650]
     assert one(spark, text.has_date(F.col("t")), t="w XIX wieku") is True
 
 
@@ -108,6 +109,25 @@ def test_total_order_over_partitions(spark):
     assert windows.in_order(spark.range(0), ["id"]).count() == 0
 
 
+def test_text_normalisers(spark):
+    t = F.col("t")
+    assert one(spark, text.clean_answer(t), t="<think>x</think>**Tak**, bo") == "Tak, bo"
+    assert one(spark, text.clean_answer(t), t="szkic</think> Odp") == "Odp" and one(spark, text.clean_answer(t), t="całość</think>  ") == "całość"
+    assert one(spark, text.strip_citations(t), t="Fakt. Źródło: Kronika, Kraków 1901\nDalej s. 12").split() == ["Fakt.", "Dalej"]
+    assert one(spark, text.scope_of(t, ["Polsk"], "a", "b"), t="Na podstawie: Historia Polski\nRzym") == "b" and one(spark, text.scope_of(t, ["Polsk"], "a", "b"), t="polski król") == "a"
+    assert one(spark, text.tidy(t), t="prze-\nniesienie [x]") == "przeniesienie x" and "(x)" in one(spark, text.tidy(t), t="słowo " * 20 + "[x]")
+    assert one(spark, text.dedup_sentences(t), t="Ala ma kota. ALA MA KOTA! Pies.") == "Ala ma kota. Pies."
+    assert one(spark, text.key_terms(t, ["oraz"]), t="Jaki oraz wielki pożar miasta wybuchł") == ["jaki", "wielk", "pożar"]
+    assert one(spark, text.entity_query(t), t="kiedy Jan Sobieski wygrał w 1683 roku") == "Jan Sobieski 1683 kiedy Jan Sobieski wygrał w 1683 roku"
+    assert one(spark, text.cited_terms(t, []), t="Za: Kronika dawna\nMury miejskie\nDruk, Kraków 1901") == ["mury", "miejsk"]
+    assert one(spark, text.median_year(t), t="W 1410 r. i 1600 r.") == 1505.0 and one(spark, text.median_year(t, [("rycer", 1100)]), t="bitwa rycerska") == 1100.0 and one(spark, text.median_year(t), t="nic") is None
+    assert one(spark, text.nearest_above(t, "[Obraz"), t="Tytuł ryciny\n\n[Obraz: a]") == "Tytuł ryciny" and one(spark, text.nearest_above(t, "[Obraz"), t="[Obraz: a]") == ""
+    assert one(spark, text.before_last_paragraph(t, F.lit("N")), t="a\n\nb\n\nc") == "a\n\nb\n\nN\n\nc" and one(spark, text.before_last_paragraph(t, F.lit("N")), t="a") == "a\n\nN"
+    assert one(spark, parsing.string_leaves(t), t='{"a": ["x", {"b": "y\\n"}], "c": 1}') == ["x", "y\n"] and one(spark, parsing.string_leaves(t), t="x") is None
+    assert one(spark, parsing.listed(t), t='["a", " ", "b"]') == ["a", "b"] and one(spark, parsing.listed(t), t="- a\n\n• b") == ["a", "b"] and one(spark, parsing.listed(t), t=None) == []
+    assert one(spark, names.canonical(t, ["I. Osady", "II. Miasta"]), t="ii") == "II. Miasta" and one(spark, names.canonical(t, ["I. Osady"]), t="x") is None
+
+
 def test_reports(spark):
     a = spark.createDataFrame([("x", 1)], "id string, p int")
     b = spark.createDataFrame([("x", 2), ("y", 3)], "id string, p int")
