@@ -74,3 +74,17 @@ def top_without_repeats(hits: DataFrame, query: str, caption: str, score: str, r
     rank = Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(row))
     once = hits.withColumn("_c", F.row_number().over(best)).where("_c = 1").drop("_c")
     return once.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+
+def greedy_among(rows: DataFrame, key: str, pairs: DataFrame, takes_part) -> DataFrame:
+    """:func:`greedy_first` among the rows for which ``takes_part`` holds; the others are always kept and never block."""
+    part = rows.where(F.coalesce(takes_part, F.lit(False))).select(key)
+    inside = pairs.join(part.withColumnRenamed(key, "a"), "a", "left_semi").join(part.withColumnRenamed(key, "b"), "b", "left_semi")
+    kept = greedy_first(part, key, inside)
+    return rows.where(~F.coalesce(takes_part, F.lit(False))).select(key).union(kept.select(key))
+
+
+def blocked_by_rejected(rows: DataFrame, key: str, pairs: DataFrame, reason: str, no_block: list[str]) -> DataFrame:
+    """Rows without a similar earlier one; rejected rows block too, except those rejected for one of the reasons of ``no_block``."""
+    blocks = rows.where(~F.coalesce(F.col(reason), F.lit("")).isin(no_block)).select(F.col(key).alias("a"))
+    return drop_if_any_earlier(rows.select(key), key, pairs.join(blocks, "a", "left_semi"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -36,6 +36,42 @@ def bm25(queries: DataFrame, qrow: str, qterms: Column, posts: DataFrame, k: int
     return top_k(scored, ["query"], [F.col("score").desc(), F.col("row").desc()], k)
 
 
+def save_index(posts: DataFrame, path: str) -> None:
+    """Writes postings sorted by term, so a reader skips to its terms, with document frequencies, and the totals, last: an index
+    without totals is not finished. An existing index is an error."""
+    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    posts.join(df, "term").repartition("term").sortWithinPartitions("term").write.mode("errorifexists").parquet(f"{path}/postings")
+    totals = posts.select("row", "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"))
+    totals.coalesce(1).write.mode("errorifexists").parquet(f"{path}/totals")
+
+
+def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, totals) of a finished index; an unfinished one is an error."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals")
+
+
+def bm25_indexed(queries: DataFrame, qrow: str, qterms: Column, index: tuple[DataFrame, DataFrame], k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """:func:`bm25` over a saved index: nothing is counted anew."""
+    posts, totals = index
+    q = queries.select(F.col(qrow).alias("query"), F.explode(F.array_distinct(qterms)).alias("term"))
+    hit = q.join(posts, "term").crossJoin(F.broadcast(totals))  # one row of totals
+    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
+    scored = hit.groupBy("query", "row").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    return top_k(scored, ["query"], [F.col("score").desc(), F.col("row").desc()], k)
+
+
+def save_vectors(df: DataFrame, row: str, vector: str, path: str, keep: tuple[str, ...] = ()) -> None:
+    """Writes vectors of length 1 with their rows and further columns; null and zero vectors are left out."""
+    norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+    unit = df.where(F.col(vector).isNotNull()).withColumn("_n", norm).where("_n > 0")
+    unit.select(F.col(row), *keep, F.transform(vector, lambda x: (x / F.col("_n")).cast("float")).alias(vector)).write.mode("errorifexists").parquet(path)
+
+
+def open_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def cosine_top_k(queries: DataFrame, corpus: DataFrame, row: str, vector: str, k: int, block: int = 4096, caption: str | None = None, least: float | None = None) -> DataFrame:
     """(query, row, score, rank) by exact cosine; a vector is not its own neighbour; zero vectors score 0.
 
@@ -139,4 +175,4 @@ def union_top(rankings: list[tuple[str, DataFrame, int]]) -> DataFrame:
     return out
 
 
-__all__ = ["postings", "bm25", "cosine_top_k", "fuse", "recall_at", "rarest_terms", "own_terms", "union_top"]
+__all__ = ["postings", "bm25", "cosine_top_k", "fuse", "recall_at", "rarest_terms", "own_terms", "union_top", "save_index", "open_index", "bm25_indexed", "save_vectors", "open_vectors"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,11 +35,42 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return seen[0]
 
 
-def once_per_id(stream: DataFrame, key: str, time: str, late: str = "7 days") -> DataFrame:
-    """The first row of each id; ids are remembered as long as rows may be late."""
+def once_per_id(stream: DataFrame, key: str, time: str | None = None, late: str | None = None) -> DataFrame:
+    """The first row of each id, for good; with ``late``, ids are remembered only as long as rows may be late by ``time``."""
+    if late is None:
+        return stream.dropDuplicates([key])
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def drain_counted(stream: DataFrame, reason, each: Callable[[DataFrame, int], None], checkpoint: str, most: float = 0.25) -> list[dict]:
+    """:func:`drain` with counts: of every wave its number, rows, rejected rows (``reason`` not null) and whether the rejected are
+    more than the share ``most``."""
+    waves: list[dict] = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        r = batch.agg(F.count(F.lit(1)).alias("n"), F.count(reason).alias("rejected")).first()
+        waves.append({"wave": number, "rows": r["n"], "rejected": r["rejected"], "warning": r["n"] > 0 and r["rejected"] > most * r["n"]})
+        each(batch, number)
+        batch.unpersist()
+
+    drain(stream, step, checkpoint)
+    return waves
+
+
+def follow(start: Callable[[], DataFrame], each: Callable[[DataFrame, int], None], checkpoint: str, done: Callable[[], bool], pause: float = 1.0) -> int:
+    """Drains a source again and again until ``done`` says its writer has finished, and once more after that; returns the waves."""
+    import time
+
+    waves = 0
+    while True:
+        last = done()
+        waves += drain(start(), each, checkpoint)
+        if last:
+            return waves
+        time.sleep(pause)
+
+
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:
     """Counts per tumbling window and key (an extension: the batch form is the same expression without the watermark)."""
     timed = stream.withWatermark(time, late) if stream.isStreaming else stream
@@ -77,9 +108,16 @@ def reservations(stream: DataFrame, key: str, limit_ms: int = 360_000) -> DataFr
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, usd double, state string", "usd double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def admitted(requests: DataFrame, order: list[str], cost: str, limit: float) -> DataFrame:
-    """Requests whose running total, themselves included, stays within the limit."""
-    return in_order(requests, order, F.col(cost)).where(F.col("before") + F.col(cost) <= limit + 1e-9)
+def admitted(requests: DataFrame, order: list[str], cost: str, limit: float, in_flight: float = 0.0) -> DataFrame:
+    """Requests whose running total, themselves and what is under way included, stays within the limit."""
+    return in_order(requests, order, F.col(cost)).where(F.col("before") + F.col(cost) + in_flight <= limit + 1e-9)
+
+
+def admitted_by_stage(requests: DataFrame, stage: str, order: list[str], cost: str, limits: DataFrame, total: float) -> DataFrame:
+    """Requests within the limit of their stage (stage, stage_limit), and of these the ones within the total, each in order."""
+    w = Window.partitionBy(stage).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    staged = requests.withColumn("_s", F.sum(cost).over(w)).join(limits, stage).where(F.col("_s") <= F.col("stage_limit") + 1e-9).drop("_s", "stage_limit")
+    return admitted(staged, order, cost, total)
 
 
 def draws_needed(first: str, second: str, k: int):
