@@ -2,9 +2,10 @@
 
 The word overlap of two texts is the size of their common bag over the size of the larger bag. If it is at least ``t``,
 then under ANY order of all words the two prefixes of length n - ceil(t n) + 1 share a word. Candidates must share a prefix
-word under a first order, which sorts words from rare to frequent and gives the join keys, and their prefixes under a second
-and a third order, held as 64-bit maps, must meet too. A bit map of the whole bag bounds the overlap from above. All
-four filters are necessary conditions, so nothing similar is lost; what passes is verified on the texts.
+word under a first order, which sorts words from rare to frequent and gives the join keys, and prefix words under a second
+and under a third order too. Within a group 64-bit maps of these prefixes and a bit map of the whole bag bound a pair; before
+verification the prefixes themselves are intersected (:func:`met_in_all_orders`), however long they are. All filters are
+necessary conditions, so nothing similar is lost; what passes is verified on the bags.
 
 Word frequencies come from a count sketch over all texts (2^BITS buckets, broadcast, fixed size). Any function of the word
 is a valid order, so a collision in the sketch costs selectivity, never a result. Texts with the same bag are one class with
@@ -33,7 +34,7 @@ BLOCK = 1 << 15
 LEVELS = [128, 256, 512, 2048]
 LEVEL_WORDS = [48, 80, 256]
 _SALTS = [np.uint64(0x51ED270B9C4D3A77), np.uint64(0xA24BAED4963EE407)]
-_SIG = "kind int, row bigint, n int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, meta array<bigint>"
+_SIG = "kind int, row bigint, n int, fp1 bigint, fp2 bigint, map binary, pre2 binary, pre3 binary, keys array<bigint>, meta array<bigint>"
 
 
 def bag_sets(texts: list, kinds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +96,21 @@ def _lists(values: np.ndarray, text: np.ndarray, count: int, kind: pa.DataType)
     return pa.ListArray.from_arrays(pa.array(spans(text, count).astype(np.int32)), pa.array(values, kind))
 
 
+def _binaries(values: np.ndarray, text: np.ndarray, count: int) -> pa.Array:
+    """Values sorted by text as one binary per text."""
+    off = (spans(text, count) * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _flat_binaries(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of :func:`_binaries`."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    off = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[off[0] : off[-1]] if len(column) and off[-1] > off[0] else np.zeros(0, dtype=np.uint8)
+    return data.view(kind), np.diff(off) // size
+
+
 def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int) -> DataFrame:
     """Of each text: bag size, fingerprint, bit maps, and its join keys (block pairs of its prefix words)."""
     bits = int(np.log2(len(freq.value)))
@@ -111,11 +127,12 @@ def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int)
             nth = np.arange(len(h)) - off[t]
             bag = _maps(h, t, count, LEVELS[-1])
             level = np.searchsorted(LEVEL_WORDS, n)
-            sides = []
+            sides, prefixes = [], []
             for salt in _SALTS:  # second and third order: rarity classes, each shuffled anew
                 o = in_order(t, np.log2(c + 1).astype(np.uint64), mix64(h ^ salt))
                 keep = o[nth < prefix[t]]
                 sides.append(_maps(h[keep], t[keep], count, 64))
+                prefixes.append(_binaries((h[keep] >> np.uint64(48)).astype(np.uint16), t[keep], count))
             folded = [fold_map(bag, w) for w in LEVELS]
             sides = np.hstack(sides)
             maps = [sides[r].tobytes() + folded[k][r].tobytes() for r, k in enumerate(level)]
@@ -139,10 +156,10 @@ def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int)
                 [
                     b["kind"], b["row"], pa.array(n.astype(np.int32)),
                     pa.array(_sums(h, off).view(np.int64)), pa.array(_sums(mix64(h + np.uint64(1)), off).view(np.int64)),
-                    pa.array(maps, pa.binary()),
+                    pa.array(maps, pa.binary()), *prefixes,
                     _lists(keys.view(np.int64), kt[rep], count, pa.int64()), _lists(meta, kt[rep], count, pa.int64()),
                 ],
-                ["kind", "row", "n", "fp1", "fp2", "map", "keys", "meta"],
+                ["kind", "row", "n", "fp1", "fp2", "map", "pre2", "pre3", "keys", "meta"],
             )
 
     return df.select("kind", "row", "text").mapInArrow(sign, _SIG)
@@ -280,6 +297,29 @@ def _common(ha: np.ndarray, na: np.ndarray, hb: np.ndarray, nb: np.ndarray) -> t
     return np.bincount(twice.astype(np.int64), minlength=len(na)), np.maximum(na, nb)
 
 
+def _meet(a, b) -> np.ndarray:
+    """Which pairs of prefixes (16 bits of each word) have a value in common."""
+    (va, na), (vb, nb) = _flat_binaries(a, np.uint16), _flat_binaries(b, np.uint16)
+    once = lambda v, n: np.unique((np.repeat(np.arange(len(n)), n).astype(np.uint64) << np.uint64(16)) | v)
+    x = np.concatenate([once(va, na), once(vb, nb)])
+    x.sort()
+    out = np.zeros(len(na), dtype=bool)
+    out[(x[1:][x[1:] == x[:-1]] >> np.uint64(16)).astype(np.int64)] = True
+    return out
+
+
+def met_in_all_orders(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs (kind, a, b) whose prefixes meet under the second and the third order too."""
+    pick = lambda c: sig.select("kind", F.col("row").alias(c), F.col("pre2").alias(f"p2{c}"), F.col("pre3").alias(f"p3{c}"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            yield b.select(["kind", "a", "b"]).filter(pa.array(_meet(b["p2a"], b["p2b"]) & _meet(b["p3a"], b["p3b"])))
+
+    both = pairs.join(pick("a"), ["kind", "a"]).join(pick("b"), ["kind", "b"]).select("kind", "a", "b", "p2a", "p2b", "p3a", "p3b")
+    return both.mapInArrow(check, "kind int, a bigint, b bigint")
+
+
 def bags(df: DataFrame, least: int) -> DataFrame:
     """(kind, row, bag) of texts; the bag as a set of hashes."""
 
@@ -339,7 +379,7 @@ def similar_classes(
         posts.repartition("key").sortWithinPartitions("key")
         .mapInArrow(near_pairs(num, den), "kind int, a bigint, b bigint").distinct()
     )
-    links = cut(verified(cut(found), texts, least, num, den))
+    links = cut(verified(cut(met_in_all_orders(found, sig.join(reps, ["kind", "row"], "left_semi")).distinct()), texts, least, num, den))
     members = sig.select("kind", "row", "fp1", "fp2").join(classes, ["kind", "fp1", "fp2"]).select("kind", "row", "rep", "size")
     return members.distinct(), links
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from osnowa.functions import names
 from osnowa.llm import components, leaks, mixing, neardup, overlap, packing, people, quota, residue, splits, triejoin
 
 POLISH = str.maketrans("ąćęłńóśźż", "acelnoszz")
@@ -70,6 +71,20 @@ def test_long_texts_use_wide_maps(spark):
     assert {(r["a"], r["b"]) for r in links.collect()} == {(0, 1), (3, 4)}
 
 
+def test_further_orders_reject_unrelated_long_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "w" + "".join(chr(97 + int(c)) for c in f"{rng.randrange(10**7):07d}")
+    texts_ = [[word() for _ in range(200)] for _ in range(60)]
+    near = texts_[0][:180] + [word() for _ in range(20)]
+    rows = [(0, i, " ".join(x)) for i, x in enumerate([*texts_, near])]
+    df = spark.createDataFrame(rows, "kind int, row bigint, text string")
+    freq = spark.sparkContext.broadcast(neardup.word_counts(df, 4, 21))
+    sig = neardup.signatures(df, freq, 4, 7, 10, 1 << 15)
+    pairs = spark.createDataFrame([(0, i, j) for i in range(60) for j in range(i + 1, 60)] + [(0, 0, 60)], "kind int, a bigint, b bigint")
+    left = {(r["a"], r["b"]) for r in neardup.met_in_all_orders(pairs, sig).collect()}
+    assert (0, 60) in left and len(left) < 0.05 * pairs.count()
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)]
@@ -291,11 +306,11 @@ def test_categories_in_any_spelling(spark):
     said = {"i. osady i grody": 0, "II": 1, "II – Miasta starozytnego wybrzeza": 1, "ii.": 1, "II. Miasta star…": 1, "II. Miasta starożytnego wybrzeże inne": 1,
             "XX": 2, "XX. Oświec…": 2, "XXI.": 3, "X": None, "XX…": 2, "Closed-TF.": 4, "closed…": None, "clo": None, "": None, None: None, "…": None}
     df = spark.createDataFrame([(x,) for x in said], "v string")
-    got = {r["v"]: r["c"] for r in df.select("v", quota.canonical(F.col("v"), cats).alias("c")).collect()}
+    got = {r["v"]: r["c"] for r in df.select("v", names.canonical(F.col("v"), cats).alias("c")).collect()}
     want = {k: (None if i is None else cats[i]) for k, i in said.items()}
     want["XX…"] = None  # its beginning is that of two categories
     assert got == want
-    assert df.select(quota.canonical(F.col("v"), []).alias("c")).where("c IS NOT NULL").count() == 0
+    assert df.select(names.canonical(F.col("v"), []).alias("c")).where("c IS NOT NULL").count() == 0
 
 
 def test_shortfalls_are_the_flow_over_slack_arcs():
