@@ -4,7 +4,8 @@ Every source gets the same multiple of its target: the largest total that no sou
 source is used floor(f) times and once more with probability f - floor(f), where f is the source's factor. Which records get the
 extra use is drawn by the cube method: probabilities move within the null space of the constraints (number of records and number
 of tokens) until they are 0 or 1. The flight runs in shards; each leaves at most two records undecided, whose probabilities
-go on to a second flight per source, and only what that leaves, two records at most, is drawn outright.
+go on to a second flight per source, and what that leaves, two records at most, is a landing problem solved outright: of the
+draws that keep both probabilities the one that keeps the number of records best.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .sketch import few
 
 #: Records of a shard, about.
 SHARD_ROWS = 50_000
@@ -52,6 +54,21 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.nd
     return p
 
 
+def landing(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """0 or 1 for the two records at most that a flight leaves open: each is drawn with its probability, and of all such draws the
+    one whose number of records stays next to the sum of the probabilities."""
+    out = p.copy()
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    if len(open_) == 1:
+        out[open_[0]] = float(rng.random() < p[open_[0]])
+    elif len(open_) == 2:
+        a, b = open_
+        x, both = rng.random(), max(p[a] + p[b] - 1, 0.0)
+        out[a] = float(x < p[a])
+        out[b] = float(x < both or p[a] <= x < p[a] + p[b] - both)
+    return out
+
+
 def _seed(*parts) -> np.random.Generator:
     import xxhash
 
@@ -67,6 +84,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 5, total: float | None
     records of 0 tokens are not drawn. A target source without records is reported with 0 and does not bound the total.
     """
     spark = sizes.sparkSession
+    targets = few(targets.select("source", "share", "max_repeats"))
     goal = {r["source"]: r for r in targets.where("source IS NOT NULL AND share > 0").collect()}
     slim = cut(sizes.where("tokens > 0 AND source IS NOT NULL").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").select("id", "source", "tokens"))
     held = {r["source"]: (r["n"], r["t"]) for r in slim.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).collect()}
@@ -92,7 +110,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 5, total: float | None
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
         rng = _seed(seed, "landing", *key)
         p = flight(pdf["p"].to_numpy(), pdf["tokens"].to_numpy(), rng)
-        p = (rng.random(len(p)) < p).astype(np.float64)  # whatever is still open: two records at most
+        p = landing(p, rng)
         return pdf[["id", "source", "tokens", "base"]].assign(p=p)
 
     flown = cut(units.groupBy("source", "shard").applyInPandas(first, shape))

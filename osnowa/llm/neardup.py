@@ -3,9 +3,9 @@
 The word overlap of two texts is the size of their common bag over the size of the larger bag. If it is at least ``t``,
 then under ANY order of all words the two prefixes of length n - ceil(t n) + 1 share a word. Candidates must share a prefix
 word under a first order, which sorts words from rare to frequent and gives the join keys, and prefix words under a second
-and under a third order too. Within a group 64-bit maps of these prefixes and a bit map of the whole bag bound a pair; before
-verification the prefixes themselves are intersected (:func:`met_in_all_orders`), however long they are. All filters are
-necessary conditions, so nothing similar is lost; what passes is verified on the bags.
+and under a third order too (:func:`met_in_all_orders`). Within a group sizes, the place of the shared word and a bit map of the
+whole bag bound a pair first. All filters are necessary conditions, so nothing similar is lost; what passes is verified on the
+bags.
 
 Word frequencies come from a count sketch over all texts (2^BITS buckets, broadcast, fixed size). Any function of the word
 is a valid order, so a collision in the sketch costs selectivity, never a result. Texts with the same bag are one class with
@@ -127,15 +127,13 @@ def signatures(df: DataFrame, freq, least: int, num: int, den: int, block: int)
             nth = np.arange(len(h)) - off[t]
             bag = _maps(h, t, count, LEVELS[-1])
             level = np.searchsorted(LEVEL_WORDS, n)
-            sides, prefixes = [], []
+            prefixes = []
             for salt in _SALTS:  # second and third order: rarity classes, each shuffled anew
                 o = in_order(t, np.log2(c + 1).astype(np.uint64), mix64(h ^ salt))
                 keep = o[nth < prefix[t]]
-                sides.append(_maps(h[keep], t[keep], count, 64))
                 prefixes.append(_binaries((h[keep] >> np.uint64(48)).astype(np.uint16), t[keep], count))
             folded = [fold_map(bag, w) for w in LEVELS]
-            sides = np.hstack(sides)
-            maps = [sides[r].tobytes() + folded[k][r].tobytes() for r, k in enumerate(level)]
+            maps = [folded[k][r].tobytes() for r, k in enumerate(level)]
             o = in_order(t, c, h)
             chosen = (nth < prefix[t]) & (c[o] > 1)  # a word of one text joins nothing
             keep, before = o[chosen], nth[chosen]
@@ -188,26 +186,24 @@ def fold_map(maps: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_or.reduce(maps.reshape(len(maps), -1, bits // 64), axis=1)
 
 
-def decode_maps(column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(prefix maps of the second and third order, width level of each row, bag maps of all rows at each level's width).
+def decode_maps(column) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(width level of each row, bag maps of all rows at each level's width).
 
     A row's map at a level wider than its own is left 0; it is compared only at its own level or a narrower one.
     """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
-    level = np.searchsorted([16 + w // 8 for w in LEVELS], np.diff(offsets))
-    side = np.empty((len(column), 2), dtype=np.uint64)
+    level = np.searchsorted([w // 8 for w in LEVELS], np.diff(offsets))
     folded = [np.zeros((len(column), w // 64), dtype=np.uint64) for w in LEVELS]
     for k, w in enumerate(LEVELS):
         at = np.flatnonzero(level == k)
         if not len(at):
             continue
-        raw = data[offsets[at][:, None] + np.arange(16 + w // 8)].view(np.uint64)
-        side[at] = raw[:, :2]
+        raw = data[offsets[at][:, None] + np.arange(w // 8)].view(np.uint64)
         for narrower in range(k + 1):
-            folded[narrower][at] = fold_map(raw[:, 2:], LEVELS[narrower])
-    return side, level, folded
+            folded[narrower][at] = fold_map(raw, LEVELS[narrower])
+    return level, folded
 
 
 def near_pairs(num: int, den: int):
@@ -223,7 +219,7 @@ def near_pairs(num: int, den: int):
             key, row, meta = g["key"].to_numpy(), g["row"].to_numpy(), meta[order]
             kind, n, rest, part = meta >> 52, (meta >> 27) & ((1 << 25) - 1), (meta >> 2) & ((1 << 25) - 1), meta & 3
             rest = n - rest
-            side, level, folded = decode_maps(g["map"])
+            level, folded = decode_maps(g["map"])
             at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             end = np.repeat(np.append(at[1:], len(key)), np.diff(np.append(at, len(key))))
             me = np.arange(len(key))
@@ -242,7 +238,7 @@ def near_pairs(num: int, den: int):
             def passed(i: np.ndarray, j: np.ndarray) -> None:
                 ok = (n[j] * num <= rest[i] * den) & ((part[i] == 0) | (part[i] != part[j])) & (kind[i] == kind[j])
                 i, j = i[ok], j[ok]
-                ok = (side[i] & side[j] != 0).all(axis=1)
+                ok = np.ones(len(i), dtype=bool)
                 for k, m in enumerate(folded):
                     at = np.flatnonzero(level[i] == k)
                     if len(at):
@@ -310,6 +306,8 @@ def _meet(a, b) -> np.ndarray:
 
 def met_in_all_orders(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     """The pairs (kind, a, b) whose prefixes meet under the second and the third order too."""
+    ids = pairs.select("kind", F.explode(F.array("a", "b")).alias("row")).select(F.struct("kind", "row").alias("id"))
+    sig = sig.where(sketch.in_members(pairs.sparkSession, sketch.members(ids, "id"))(F.struct("kind", "row")))
     pick = lambda c: sig.select("kind", F.col("row").alias(c), F.col("pre2").alias(f"p2{c}"), F.col("pre3").alias(f"p3{c}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +377,7 @@ def similar_classes(
         posts.repartition("key").sortWithinPartitions("key")
         .mapInArrow(near_pairs(num, den), "kind int, a bigint, b bigint").distinct()
     )
-    links = cut(verified(cut(met_in_all_orders(found, sig.join(reps, ["kind", "row"], "left_semi")).distinct()), texts, least, num, den))
+    links = cut(verified(cut(met_in_all_orders(cut(found), sig)).distinct(), texts, least, num, den))
     members = sig.select("kind", "row", "fp1", "fp2").join(classes, ["kind", "fp1", "fp2"]).select("kind", "row", "rep", "size")
     return members.distinct(), links
 

@@ -9,10 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .sketch import few
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every function that counts tokens.
 TOKENIZERS = "/opt/tokenizers"
@@ -23,7 +25,7 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s
 SHARD_TOKENS = 2_000_000
 #: Cost of a document of n tokens: LINEAR * n + n * n / QUADRATIC_SPAN, the share of attention growing with its length.
 LINEAR, QUADRATIC_SPAN = 1.0, 2048.0
-#: Longest run of characters given to the tokenizer at once; longer texts are cut at white space before it.
+#: About the longest run of characters given to the tokenizer at once.
 RUN = 100_000
 
 _loaded: dict = {}
@@ -41,13 +43,20 @@ def encoding(folder: str = TOKENIZERS, name: str = VOCABULARY):
     return _loaded[path]
 
 
+#: Between two signs that are no white space a single blank always begins a piece: a cut before it changes no piece.
+_SAFE = regex.compile(r"(?<=\S) (?=\S)")
+
+
 def _runs(text: str) -> list[str]:
+    """A long text in runs of about RUN characters whose token counts add up to the whole text's; where no safe cut follows, the
+    rest is one run."""
     out, i = [], 0
     while len(text) - i > RUN:
-        j = text.rfind(" ", i + RUN // 2, i + RUN)
-        j = i + RUN if j < 0 else j
-        out.append(text[i:j])
-        i = j
+        cut_ = _SAFE.search(text, i + RUN // 2)
+        if cut_ is None:
+            break
+        out.append(text[i : cut_.start()])
+        i = cut_.start()
     return [*out, text[i:]]
 
 
@@ -107,7 +116,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, shard_tokens: int = SHARD_TOKE
     slim = cut(sizes.where("tokens > 0").select("id", "tokens"))
     total = slim.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-int(total) // shard_tokens))
-    caps = F.broadcast(capacities.where("capacity >= 1 AND size_name IS NOT NULL").select("size_name", F.col("capacity").cast("bigint").alias("capacity")).distinct())
+    caps = F.broadcast(few(capacities.where("capacity >= 1 AND size_name IS NOT NULL").select("size_name", F.col("capacity").cast("bigint").alias("capacity")).distinct()))
     each = slim.crossJoin(caps)  # a handful of capacities
     full = F.floor(F.col("tokens") / F.col("capacity")).cast("bigint")
     whole = (
@@ -138,7 +147,7 @@ def packing_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     each = packed.groupBy("size_name", "container").agg(
         F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"), F.sum(price).alias("cost")
     )
-    caps = capacities.select("size_name", F.col("capacity").cast("bigint").alias("capacity")).distinct()
+    caps = few(capacities.select("size_name", F.col("capacity").cast("bigint").alias("capacity")).distinct())
     return (
         each.join(F.broadcast(caps), "size_name").groupBy("size_name", "capacity")
         .agg(

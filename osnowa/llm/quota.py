@@ -22,6 +22,7 @@ from pyspark.sql import Window
 
 from ..functions.names import canonical
 from ..session import cut
+from .sketch import few
 
 class Flow:
     """Min-cost flow by successive shortest paths with potentials; capacities are integers, costs are not negative."""
@@ -207,7 +208,7 @@ def quota_sample(
     keys are left out, null or unknown categories fit no target. An empty table gives an empty sample and a report of shortfalls.
     """
     spark = records.sparkSession
-    wanted = [r.asDict() for r in targets.where("dim IS NOT NULL AND category IS NOT NULL").select("dim", "category", "share", "min_rows").collect()]
+    wanted = [r.asDict() for r in targets.where("dim IS NOT NULL AND category IS NOT NULL").transform(lambda t: few(t.select("dim", "category", "share", "min_rows"))).collect()]
     named = [[r["category"] for r in wanted if r["dim"] == d] for d in dims]
     slim = records.where(F.length(F.trim(F.col(key).cast("string"))) > 0).select(
         F.col(key).alias("key"), *[canonical(F.col(d), c).alias(f"d{i}") for i, (d, c) in enumerate(zip(dims, named))]

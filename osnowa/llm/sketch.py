@@ -41,6 +41,14 @@ def counts(df: DataFrame, bits: int) -> np.ndarray:
     return out[: 1 << bits]
 
 
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table of settings (targets, capacities) that may be broadcast: at most ``most`` rows, more are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of settings")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def members(df: DataFrame, column: str, bits: int = 23) -> np.ndarray:
     """A bit set of 2^bits bits of the hashed values of ``column``: every value is in it, few others are."""
     bucket = F.shiftrightunsigned(F.xxhash64(column), 64 - bits).cast("int").alias("bucket")

@@ -342,6 +342,35 @@ def test_token_counts_agree_with_pieces(spark):
     assert got[2] == got[3] == 0 and got[1] == len(packing.encoding().encode_ordinary("Zażółć gęślą jaźń."))
 
 
+def test_long_texts_have_the_size_of_the_whole(monkeypatch):
+    pytest.importorskip("tiktoken")
+    rng = random.Random(9)
+    text_ = "".join(rng.choice(["słowo", " ", "  ", "\n", " 123", ",", "x" * 40, " dom"]) for _ in range(6000))
+    whole = len(packing.encoding().encode_ordinary(text_))
+    monkeypatch.setattr(packing, "RUN", 500)
+    runs = packing._runs(text_)
+    assert len(runs) > 20 and "".join(runs) == text_ and sum(len(packing.encoding().encode_ordinary(r)) for r in runs) == whole
+    assert packing._runs("a" * 2000) == ["a" * 2000] and packing._runs("") == [""]
+
+
+def test_landing_keeps_probabilities_and_number():
+    rng = np.random.default_rng(4)
+    for p in ([0.3, 0.5], [0.7, 0.8], [0.5, 0.5]):
+        got = np.array([mixing.landing(np.array([1.0, *p, 0.0]), rng) for _ in range(4000)])
+        assert np.abs(got[:, 1:3].mean(axis=0) - p).max() < 0.03 and (got[:, 0] == 1).all() and (got[:, 3] == 0).all()
+        assert np.abs(got[:, 1:3].sum(axis=1) - sum(p)).max() < 1
+    with pytest.raises(ValueError):
+        sketch_few_refuses()
+
+
+def sketch_few_refuses():
+    from pyspark.sql import SparkSession
+
+    from osnowa.llm.sketch import few
+
+    few(SparkSession.getActiveSession().range(20), most=10)
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(rng.integers(20, 400)), "big" if i < 3000 else ("mid" if i < 3500 else "small")) for i in range(3600)] + [(9000, 5, None), (9001, 0, "big"), (9002, 7, "other")]
