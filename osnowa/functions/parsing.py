@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,3 +107,53 @@ def listed(text: Column, most: int = 5) -> Column:
     as_json = F.from_json(text, "array<string>")
     by_line = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\s•*-]+|\s+$", ""))
     return F.slice(F.filter(F.coalesce(F.when(F.ltrim(text).startswith("["), as_json), by_line), lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), 1, most)
+
+
+def labelled_sections(text: Column, labels: list[str], example: str = "Przykład") -> Column:
+    """array<struct<label, body>> of a solution: a line that begins with one of the labels and a colon opens a section, as does a line that
+    begins with the word for 'example', under the section's label or none. Of the wordings a section gives, one per bullet or
+    example, only the first is kept, its lines joined. Text before the first label has the label ''. Null gives no sections."""
+    opens = re.compile(r"^(" + "|".join(labels) + r")\s*[:–-]\s*(.*)$", re.I)
+    shows = re.compile(r"^" + example + r"\w*\s+\w+\s*:?\s*(.*)$", re.I)
+
+    def sections(body: str | None) -> list[tuple[str, str]]:
+        out: list[list] = []  # label, wordings
+        for line in filter(None, map(str.strip, (body or "").splitlines())):
+            named, shown = opens.match(line), shows.match(line)
+            if named:
+                out.append([named.group(1), [[]]])
+                line = named.group(2)
+            elif shown:
+                if not out or any(out[-1][1][-1]):
+                    out.append([out[-1][0] if out else "", [[]]])
+                line = shown.group(1)
+            elif not out:
+                out.append(["", [[]]])
+            if line[:1] in "•–" and line[:1]:
+                if any(out[-1][1][-1]):
+                    out[-1][1].append([])
+                line = line[1:].strip()
+            if line:
+                out[-1][1][-1].append(line)
+        kept: dict[str, str] = {}
+        for label, wordings in out:
+            first = next((w for w in wordings if w), None)
+            if first:
+                kept.setdefault(label, " ".join(first))
+        return list(kept.items())
+
+    def of_batch(texts: pd.Series) -> pd.DataFrame:
+        return texts.map(lambda x: [{"label": a, "body": b} for a, b in sections(x)])
+
+    of_batch.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(of_batch, "array<struct<label string, body string>>")(text)
+
+
+def error_kind(lost: Column, automatic: Column, answer: Column, reason: Column, rules: list[tuple[str, str, str | None]], other: str) -> Column:
+    """Why points were lost: null if none were, 'no answer' for a blank one, 'form' where a machine graded and the answer was lenient to
+    the key, else the first rule (name, pattern, pattern that must not occur) the judge's reason meets, else ``other``."""
+    out = F.when(F.coalesce(lost, F.lit(0.0)) <= 0, None).when(F.coalesce(F.trim(answer), F.lit("")) == "", "no answer").when(automatic, "form")
+    for name, pattern, without in rules:
+        hit = reason.rlike("(?i)" + pattern)
+        out = out.when(hit if without is None else hit & ~reason.rlike("(?i)" + without), name)
+    return out.otherwise(other)

@@ -35,8 +35,9 @@ def jaccard_pairs(sets: DataFrame, threshold: float, block: list[str] | None = N
         p = s.select("row", "n", *block, F.explode("grams").alias("g")).join(df_, [*block, "g"]).withColumn("rn", F.row_number().over(w))
         return p.where((F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1)).select("row", "n", *block, "g")
 
-    left = postings(sets).select(F.col("row").alias("a"), F.col("n").alias("na"), *block, "g")
-    rght = (postings(right) if other is not None else postings(sets)).select(F.col("row").alias("b"), F.col("n").alias("nb"), *block, "g")
+    posted = cut(postings(sets))  # read twice where both sides are one table
+    left = posted.select(F.col("row").alias("a"), F.col("n").alias("na"), *block, "g")
+    rght = (posted if other is None else postings(right)).select(F.col("row").alias("b"), F.col("n").alias("nb"), *block, "g")
     near = left.join(rght, [*block, "g"]).where(
         (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (F.col("a") < F.col("b") if other is None else F.lit(True))
     )

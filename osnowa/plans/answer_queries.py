@@ -159,3 +159,26 @@ def built_records(t: Tables) -> DataFrame:
         "row_id", text.squeeze(F.col("question")).alias("question"), F.least(F.lit(3), F.greatest(F.lit(1), F.coalesce("max_points", F.lit(1)))).alias("points"),
         F.coalesce(F.nullif(F.split_part("id", F.lit("."), F.lit(1)), F.lit("")), F.lit("?")).alias("task"), image.alias("image"),
     )
+
+
+LABELS = ["Rozstrzygnięcie", "Uzasadnienie", "Podobieństwo", "Różnica", "Przyczyna", "Skutek"]
+
+
+@query(r"""WITH l AS (SELECT row_id, list_filter(list_transform(string_split(solution, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM exam WHERE solution IS NOT NULL AND starts_with(solution, 'Rozstrzygnięcie:') AND len(string_split(solution, chr(10))) = 2)
+ SELECT row_id, trim(regexp_extract(l[1], '^Rozstrzygnięcie:\s*(.*)$', 1)) AS ruling, trim(regexp_extract(l[2], '^Uzasadnienie:\s*(.*)$', 1)) AS grounds FROM l WHERE starts_with(l[2], 'Uzasadnienie:')""")
+def solution_sections(t: Tables) -> DataFrame:
+    two = F.col("solution").startswith("Rozstrzygnięcie:") & (F.size(F.split("solution", "\n")) == 2) & F.col("solution").rlike(r"\n\s*Uzasadnienie:")
+    s = t.exam.where(two).select("row_id", parsing.labelled_sections(F.col("solution"), LABELS).alias("s"))
+    body = lambda name: F.try_element_at(F.filter("s", lambda x: x["label"] == name), F.lit(1))["body"]
+    return s.select("row_id", body("Rozstrzygnięcie").alias("ruling"), body("Uzasadnienie").alias("grounds"))
+
+
+REASONS = [("incomplete", "niepełn|brak", "błędn"), ("fact", "błąd|nieprawd", None)]
+
+
+@query("""SELECT row_id, CASE WHEN coalesce(verify.judge_max - verify.judge_points, 0) <= 0 THEN NULL WHEN trim(coalesce(verify.blind_answer, '')) = '' THEN 'no answer' WHEN type LIKE 'closed%' THEN 'form' WHEN regexp_matches(rationale, '(?i)niepełn|brak') AND NOT regexp_matches(rationale, '(?i)błędn') THEN 'incomplete'
+ WHEN regexp_matches(rationale, '(?i)błąd|nieprawd') THEN 'fact' ELSE 'reasoning' END AS error FROM e5_items WHERE type IS NOT NULL AND rationale IS NOT NULL""")
+def error_kinds(t: Tables) -> DataFrame:
+    lost = F.col("verify.judge_max") - F.col("verify.judge_points")
+    kind = parsing.error_kind(lost, F.col("type").like("closed%"), F.col("verify.blind_answer"), F.col("rationale"), REASONS, "reasoning")
+    return t.e5_items.where("type IS NOT NULL AND rationale IS NOT NULL").select("row_id", kind.alias("error"))

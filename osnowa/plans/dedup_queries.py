@@ -177,6 +177,11 @@ def leak_terms_ratio(t: Tables) -> DataFrame:
     return items.select("row_id", F.round(share, 9).alias("share"))
 
 
-@query()
+_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[–—−]', '-', 'g'), '\\[obraz:[^\\]]*\\]', ' ', 'g'), '[^0-9a-ząćęłńóśźż -]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH a AS (SELECT row_id, {_NORM.format('source_text')} AS src, string_split(regexp_replace(model_answer, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS c, regexp_extract_all({_NORM.format('model_answer')}, '[^ ]+') AS w FROM synthetic_items),
+ b AS (SELECT row_id, src, w, list_filter(list_transform(c, lambda x: {_NORM.format('x')}), lambda x: length(x) >= 12) AS c, list_filter(list_transform(range(1, greatest(len(w) - 5, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 5), ' ')), lambda x: length(x) >= 25) AS r FROM a)
+ SELECT row_id, coalesce((len(list_filter(c, lambda x: strpos(src, x) > 0)) > 0 OR (len(list_filter(r, lambda x: strpos(src, x) > 0)) > 0 AND len(w) >= 6)) AND length(src) >= 12, false) AS leak FROM b""")
 def literal_leak(t: Tables) -> DataFrame:
     return t.synthetic_items.select("row_id", similarity.literal_leak(F.col("source_text"), F.col("model_answer")).alias("leak"))

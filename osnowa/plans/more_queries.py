@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import retrieval, shapes, windows
 from .registry import Tables, query
-from .retrieval_queries import _BM25, _bm25
+from .retrieval_queries import _BM25, _TERMS, _bm25
 from .text_queries import STOP
 
 _STOP = "['" + "','".join(STOP) + "']"
@@ -162,14 +162,18 @@ def best_covered_item(t: Tables) -> DataFrame:
     return cover.groupBy("type").agg(F.max_by("query", F.struct(F.round("cover", 4), (-F.col("query")).alias("q"))).alias("query"))
 
 
-@query()
+_TOPICS = _BM25.replace(_BM25[_BM25.index(" q AS (") : _BM25.index(", s AS (")], " e AS (SELECT row_id, regexp_extract_all(question, '(?m)^[0-9]+\\. (.+)$', 1) AS t FROM exam WHERE type = 'essay'), y AS (SELECT row_id * 100 + i - 1 AS query, t[i] AS topic FROM (SELECT row_id, t, unnest(range(1, len(t) + 1)) AS i FROM e)), q AS (SELECT query, unnest(" + _TERMS.format("topic") + ") AS term FROM y)")
+
+
+@query(f"WITH {_TOPICS} SELECT query, row, round(score, 6) AS score, rank FROM k WHERE rank <= 4")
 def topics_retrieved(t: Tables) -> DataFrame:
     """One query per numbered topic of an essay item, the first four notes each."""
     topics = t.exam.where("type = 'essay'").select("row_id", F.posexplode(F.regexp_extract_all("question", F.lit(r"(?m)^[0-9]+\. (.+)$"), 1)).alias("pos", "topic"))
     asked = topics.select((F.col("row_id") * 100 + F.col("pos")).alias("query"), "topic")
     both = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
     posts = retrieval.postings(t.kompendium, "row_id", text.distinct_terms(both, STOP))
-    return retrieval.bm25(asked, "query", text.distinct_terms(F.col("topic"), STOP), posts, 4)
+    found = retrieval.bm25(asked, "query", text.distinct_terms(F.col("topic"), STOP), posts, 4)
+    return found.select("query", "row", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("""WITH e AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS second, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)

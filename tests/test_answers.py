@@ -89,3 +89,13 @@ def test_contents_and_keys(spark):
 def test_filled(spark):
     f = lambda t, a: value(spark, answers.filled(C("t"), C("a")), t=t, a=a)
     assert f("Wydarzenie 1.:\nWydarzenie 2.:", "Wydarzenie 1.: unia\nWydarzenie 2.: -") == 1 and f("Nazwa:\nRok:", "Rok: 1410") == 1 and f("Nazwa:", None) == 0
+
+
+def test_labelled_sections(spark):
+    from osnowa.functions import parsing
+
+    s = lambda x: [tuple(r) for r in value(spark, parsing.labelled_sections(C("t"), ["Podobieństwo", "Różnica"]), t=x)]
+    assert s("Podobieństwo:\nPrzykładowe rozwiązania:\n• oba leżą\nnad rzeką\n• inne\nRóżnica: wiek") == [("Podobieństwo", "oba leżą nad rzeką"), ("Różnica", "wiek")]
+    assert s("tekst bez etykiet") == [("", "tekst bez etykiet")] and s(None) == [] and s("") == []
+    k = lambda lost, auto, a, r: value(spark, parsing.error_kind(C("l").cast("double"), C("auto") == 1, C("a"), C("r"), [("x", "błęd", "nie")], "rest"), l=lost, auto=auto, a=a, r=r)
+    assert [k("0", 0, "a", "r"), k("1", 0, " ", "r"), k("1", 1, "a", "r"), k("1", 0, "a", "Błędna"), k("1", 0, "a", "nie błędna")] == [None, "no answer", "form", "x", "rest"]
