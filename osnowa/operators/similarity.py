@@ -1,62 +1,90 @@
 """Similarity joins over sets of hashed n-grams, exact, without a nested loop.
 
 Postings are pruned by the prefix filter: a pair of similarity above t shares one of the rarest size - ceil(t size) + 1 elements
-of each set. Grams that only one row has are dropped, sizes are compared before anything is verified, and the overlap is counted
-on the sets themselves. Blocks, where given, are part of the join key.
+of each set. What the postings leave (see :mod:`.postings`) is verified on the sets themselves. Sets are never written out: they
+are computed for the frequencies, for the postings, and for the rows of candidate pairs. Blocks, where given, are hashed into
+the elements.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .postings import candidates
 
 
 def gram_sets(df: DataFrame, row: str, grams: Column, block: list[str] | None = None) -> DataFrame:
-    """(row, block columns, grams as sorted hashes, n), written out so the arrays are computed once."""
-    block = block or []
-    hashed = F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))))
-    return cut(df.select(F.col(row).alias("row"), *block, hashed.alias("grams")).withColumn("n", F.size("grams")).where("n > 0"))
+    """(row, block columns, grams as sorted hashes); a row without grams has an empty or null array."""
+    hashed = F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))))
+    return df.select(F.col(row).alias("row"), *(block or []), hashed.alias("grams"))
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float, block: list[str] | None = None, strict: bool = True, other: DataFrame | None = None) -> DataFrame:
     """(a, b, shared, similarity) of pairs of rows with similarity above (or, if not strict, at least) the threshold.
 
-    Within one table a < b; with ``other``, a comes from ``sets`` and b from ``other``. Rows without grams are in no pair.
+    Within one table a < b; with ``other``, a comes from ``sets`` and b from ``other``. Rows are numbered by whole numbers. Rows
+    without grams are in no pair, nor are rows with a null in a block column.
     """
     block = block or []
-    right = sets if other is None else other
-    every = sets if other is None else sets.unionByName(other)
-    df_ = every.select(*block, F.explode("grams").alias("g")).groupBy(*block, "g").agg(F.count(F.lit(1)).alias("df"))
-
-    def postings(s: DataFrame) -> DataFrame:
-        w = Window.partitionBy("row").orderBy("df", "g")
-        p = s.select("row", "n", *block, F.explode("grams").alias("g")).join(df_, [*block, "g"]).withColumn("rn", F.row_number().over(w))
-        return p.where((F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1)).select("row", "n", *block, "g")
-
-    posted = cut(postings(sets))  # read twice where both sides are one table
-    left = posted.select(F.col("row").alias("a"), F.col("n").alias("na"), *block, "g")
-    rght = (posted if other is None else postings(right)).select(F.col("row").alias("b"), F.col("n").alias("nb"), *block, "g")
-    near = left.join(rght, [*block, "g"]).where(
-        (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (F.col("a") < F.col("b") if other is None else F.lit(True))
-    )
-    pairs = near.select("a", "b").distinct()
-    full = pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("ga")), "a").join(
-        right.select(F.col("row").alias("b"), F.col("grams").alias("gb")), "b"
-    )
+    hashed = F.xxhash64(*block) if block else F.lit(0).cast("bigint")
+
+    def side(s: DataFrame, i: int) -> DataFrame:
+        if s.schema["row"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+            raise ValueError("rows are numbered by whole numbers")
+        s = s.dropna(subset=["row", *block])
+        return s.select(F.col("row").cast("bigint").alias("row"), F.lit(i).alias("side"), hashed.alias("block"), "grams")
+
+    every = side(sets, 0) if other is None else side(sets, 0).union(side(other, 1))
+    near = cut(candidates(every, threshold, other is not None))
+    full = with_sets(near, sets, sets if other is None else other).where("a < b" if other is None else "true")
     shared = F.size(F.array_intersect("ga", "gb"))
-    scored = full.select("a", "b", shared.cast("bigint").alias("shared"), (shared / (F.size("ga") + F.size("gb") - shared)).alias("similarity"))
+    scored = full.withColumn("shared", shared.cast("bigint"))
+    scored = scored.select("a", "b", "shared", (F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared"))).alias("similarity"))
     return scored.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 
+def with_sets(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with the grams of both rows as ga and gb; of other rows no grams are computed, or next to none."""
+
+    either = _in(pairs, ["a", "b"]) if left is right else None
+    wanted = {c: either or _in(pairs, [c]) for c in ("a", "b")}
+
+    def pick(s: DataFrame, c: str) -> DataFrame:
+        return s.where(wanted[c]("row")).select(F.col("row").alias(c), F.col("grams").alias(f"g{c}"))
+
+    return pairs.join(pick(left, "a"), "a").join(pick(right, "b"), "b")
+
+
+def _in(df: DataFrame, columns: list[str], bits: int = 24):
+    """A filter column function: True for every value of the columns and, by a bit set of fixed size, for few others."""
+    bucket = lambda c: F.shiftrightunsigned(F.xxhash64(F.col(c).cast("bigint")), 64 - bits)
+    at = df.select(F.explode(F.array(*map(bucket, columns))).alias("x")).select((F.col("x") + 1).alias("x"))
+    rows = at.groupBy(F.expr("bitmap_bucket_number(x)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m")).collect()
+    held = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in rows:
+        held[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def check(x: pd.Series) -> pd.Series:
+        at = x.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda c: check(bucket(c))
+
+
 def drop_common(sets: DataFrame, share: float) -> DataFrame:
     """Sets without the elements that more than ``share`` of the rows hold."""
+    sets = cut(sets.where("size(grams) > 0"))
     total = sets.count()
     hot = sets.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > share * total).select("g")
-    exploded = sets.drop("grams", "n").join(sets.select("row", F.explode("grams").alias("g")).join(hot, "g", "left_anti"), "row")
-    keys = [c for c in sets.columns if c not in ("grams", "n")]
-    return cut(exploded.groupBy(*keys).agg(F.array_sort(F.collect_list("g")).alias("grams")).withColumn("n", F.size("grams")))
+    exploded = sets.drop("grams").join(sets.select("row", F.explode("grams").alias("g")).join(hot, "g", "left_anti"), "row")
+    keys = [c for c in sets.columns if c != "grams"]
+    return cut(exploded.groupBy(*keys).agg(F.array_sort(F.collect_list("g")).alias("grams")))
 
 
 def key_overlap(left: DataFrame, lrow: str, lkeys: Column, right: DataFrame, rrow: str, rkeys: Column) -> DataFrame:

@@ -95,10 +95,8 @@ def jaccard_pairs_eval(t: Tables) -> DataFrame:
  SELECT a, b, shared FROM j WHERE (qj > 0.35 AND shared >= 6) OR (aj > 0.35 AND shared >= 4)""")
 def jaccard_two_rule_pairs(t: Tables) -> DataFrame:
     q = similarity.jaccard_pairs(similarity.gram_sets(t.synthetic_items, "row_id", text.word_ngrams(F.col("question"), 4)), 0.28)
-    answers = cut(t.synthetic_items.select("row_id", F.coalesce(text.word_ngrams(F.col("model_answer"), 4), F.array().cast("array<string>")).alias("g")))
-    a = answers.select(F.col("row_id").alias("a"), F.col("g").alias("ga"))
-    b = answers.select(F.col("row_id").alias("b"), F.col("g").alias("gb"))
-    scored = q.join(a, "a").join(b, "b").withColumn("aj", text.jaccard(F.col("ga"), F.col("gb")))
+    answers = similarity.gram_sets(t.synthetic_items, "row_id", text.word_ngrams(F.col("model_answer"), 4))
+    scored = similarity.with_sets(cut(q), answers, answers).withColumn("aj", text.jaccard(F.col("ga"), F.col("gb")))
     return scored.where("(similarity > 0.35 AND shared >= 6) OR (aj > 0.35 AND shared >= 4)").select("a", "b", "shared")
 
 
