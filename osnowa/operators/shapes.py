@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def first_route(items: DataFrame, match: dict[str, tuple[str, str]], rules: list[tuple], fields: list[str]) -> DataFrame:
     """``items`` with the route of the first rule that fits; a rule's null field fits everything.
@@ -51,6 +53,29 @@ def within_box(boxes: DataFrame, blocks: DataFrame, dx: float, up: float, down:
     return a.join(b, ["_cx", "_cy"]).where(near).drop("_cx", "_cy", "_bx", "_by")
 
 
+def counts_within_box(boxes: DataFrame, blocks: DataFrame, box: str, block: str, dx: float, up: float, down: float, most: int = 1 << 20) -> DataFrame:
+    """(box, blocks, first_block): number and least of the blocks :func:`within_box` pairs with a box, which are not paired one by one.
+
+    Blocks of one point are one row first. Where the boxes' x and the blocks' y make at most ``most`` combinations, points are
+    summed up to those and then over y, else distinct points are paired on the grid. Boxes without blocks have no row.
+    """
+    total = (F.sum("n").alias("n"), F.min("least").alias("least"))
+    points = blocks.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(block).alias("least"))
+    points, boxes = cut(points), boxes.select(box, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    at = boxes.select("x").distinct()
+    if at.count() * points.select("y").distinct().count() <= most:
+        cell = lambda x: F.floor(x / (dx / 4))
+        a = at.select(F.col("x").alias("_bx"), F.explode(F.sequence(cell(F.col("x") - dx), cell(F.col("x") + dx))).alias("_c"))
+        near = a.join(points.withColumn("_c", cell(F.col("x"))), "_c").where(F.col("x").between(F.col("_bx") - dx, F.col("_bx") + dx))
+        strips = near.groupBy("_bx", F.col("y").alias("_y")).agg(*total)
+        got = boxes.join(strips, F.col("x") == F.col("_bx")).where(F.col("_y").between(F.col("y") - up, F.col("y") + down))
+    else:
+        places = boxes.select("x", "y").distinct().withColumns({"_px": F.col("x"), "_py": F.col("y")})
+        near = within_box(places, points, dx, up, down).groupBy("_px", "_py").agg(*total)
+        got = boxes.join(near, (F.col("x") == F.col("_px")) & (F.col("y") == F.col("_py")))
+    return got.groupBy(box).agg(F.sum("n").alias("blocks"), F.min("least").alias("first_block"))
+
+
 def first_or_else(first: DataFrame, other: DataFrame) -> DataFrame:
     """The first frame if it has rows, else the other; decided within the plan, from a one-row count."""
     n = first.agg(F.count(F.lit(1)).alias("_n"))
@@ -99,4 +124,4 @@ def fill_deficits(wanted: dict[str, int], have: dict[str, int], free: int) -> di
     return out
 
 
-__all__ = ["first_route", "contains_any", "merge_known", "within_box", "first_or_else", "caption", "insert_after", "sentences", "parse_specs", "fill_deficits"]
+__all__ = ["first_route", "contains_any", "merge_known", "within_box", "counts_within_box", "first_or_else", "caption", "insert_after", "sentences", "parse_specs", "fill_deficits"]

@@ -73,8 +73,7 @@ def stems_overlap(t: Tables) -> DataFrame:
 def spatial_range_join(t: Tables) -> DataFrame:
     blocks = t.part.select(F.col("p_partkey").alias("block"), (F.col("p_partkey") * 13 % 1000).cast("double").alias("x"), (F.col("p_size") * 20).cast("double").alias("y"))
     boxes = t.supplier.select(F.col("s_suppkey").alias("box"), (F.col("s_suppkey") * 7 % 1000).cast("double").alias("x"), (F.col("s_nationkey") * 40).cast("double").alias("y"))
-    near = shapes.within_box(boxes, blocks, dx=150, up=140, down=70)
-    return near.groupBy("box").agg(F.count(F.lit(1)).alias("blocks"), F.min("block").alias("first_block"))
+    return shapes.counts_within_box(boxes, blocks, "box", "block", dx=150, up=140, down=70)
 
 
 @query("""WITH g AS (SELECT DISTINCT section FROM timeline WHERE section IS NOT NULL AND section NOT IN (SELECT section FROM kompendium WHERE section IS NOT NULL)),
