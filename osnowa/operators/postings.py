@@ -94,7 +94,7 @@ def _maps(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view("<u8")
 
 
-def _packed(sets: DataFrame, freq, share: Fraction, parts: int, block: int) -> DataFrame:
+def _packed(sets: DataFrame, freq, share: Fraction, common: int, parts: int, block: int) -> DataFrame:
     """(part, rows, posts): packed postings of one batch for one part.
 
     Elements are ordered by frequency; one that a single row has joins nothing. An element of more than about ``block`` rows is
@@ -109,7 +109,7 @@ def _packed(sets: DataFrame, freq, share: Fraction, parts: int, block: int) -> D
             # text, frequency and 40 bits of the hash in one number; those equal in all stay in the order of the set
             o = np.argsort((t.astype(np.uint64) << np.uint64(48)) | (level.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)), kind="stable")
             nth = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            prefix = n + (-n * share.numerator) // share.denominator + 1
+            prefix = n - np.maximum(-(-n * share.numerator // share.denominator), common) + 1
             keep = (nth < prefix[t]) & (level[o] > 1)
             key, at, nth, pieces = h[o][keep], t[keep], nth[keep], 1 + (_most(level[o][keep]) - 1) // block
             rows = np.zeros(len(n), dtype=_ROW)
@@ -139,7 +139,7 @@ def _packed(sets: DataFrame, freq, share: Fraction, parts: int, block: int) -> D
     return sets.mapInArrow(pack, "part int, rows binary, posts binary")
 
 
-def _pairs_of(rows: np.ndarray, posts: np.ndarray, at: np.ndarray, share: Fraction, two: bool) -> np.ndarray:
+def _pairs_of(rows: np.ndarray, posts: np.ndarray, at: np.ndarray, share: Fraction, common: int, two: bool) -> np.ndarray:
     """(a, b) of the rows of a part that may be similar; within one table in order of the row."""
     num, den = share.numerator, share.denominator
     n_of = rows["n"].astype(np.int64)
@@ -164,7 +164,7 @@ def _pairs_of(rows: np.ndarray, posts: np.ndarray, at: np.ndarray, share: Fracti
         j = np.repeat(here[lo:hi], c)
         i = np.arange(len(j)) + np.repeat(begin[lo:hi] - np.cumsum(c) + c, c)
         size = n[i] + n[j]
-        least = (size * num + num + den - 1) // (num + den)
+        least = np.maximum((size * num + num + den - 1) // (num + den), common)
         ok = rest[i] >= least
         if two:
             ok &= rows["side"][at[i]] != rows["side"][at[j]]
@@ -188,8 +188,8 @@ def _pairs_of(rows: np.ndarray, posts: np.ndarray, at: np.ndarray, share: Fracti
     return np.unique(np.concatenate(got, axis=1), axis=1)
 
 
-def candidates(sets: DataFrame, threshold: float, two: bool, block: int = 1 << 15) -> DataFrame:
-    """Distinct (a, b) of rows of ``sets`` (row, side, block, grams) that may reach the threshold, no pair that does left out.
+def candidates(sets: DataFrame, threshold: float, two: bool, block: int = 1 << 15, common: int = 1) -> DataFrame:
+    """Distinct (a, b) of rows of ``sets`` (row, side, block, grams) that may reach the threshold with ``common`` elements, no pair that does left out.
 
     Within one table a < b; with ``two`` tables a is of side 0, b of side 1. ``block`` is a hash of what both must agree in.
     """
@@ -209,9 +209,9 @@ def candidates(sets: DataFrame, threshold: float, two: bool, block: int = 1 << 1
             at = np.concatenate([x["at"].astype(np.int64) + s for (_, x), s in zip(got, shift)])
             rows, posts = np.concatenate([r for r, _ in got]), np.concatenate([x for _, x in got])
             del got
-            a, b = _pairs_of(rows, posts, at, share, two)
+            a, b = _pairs_of(rows, posts, at, share, common, two)
             for i in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["a", "b"])
 
-    packed = _packed(sets, spark.sparkContext.broadcast(freq), share, parts, block)
+    packed = _packed(sets, spark.sparkContext.broadcast(freq), share, common, parts, block)
     return packed.repartitionById(parts, "part").mapInArrow(meet, "a bigint, b bigint").distinct()

@@ -23,11 +23,11 @@ def gram_sets(df: DataFrame, row: str, grams: Column, block: list[str] | None =
     return df.select(F.col(row).alias("row"), *(block or []), hashed.alias("grams"))
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float, block: list[str] | None = None, strict: bool = True, other: DataFrame | None = None) -> DataFrame:
+def jaccard_pairs(sets: DataFrame, threshold: float, block: list[str] | None = None, strict: bool = True, other: DataFrame | None = None, common: int = 1) -> DataFrame:
     """(a, b, shared, similarity) of pairs of rows with similarity above (or, if not strict, at least) the threshold.
 
     Within one table a < b; with ``other``, a comes from ``sets`` and b from ``other``. Rows are numbered by whole numbers. Rows
-    without grams are in no pair, nor are rows with a null in a block column.
+    without grams are in no pair, nor are rows with a null in a block column. ``common`` is the least number of grams to share.
     """
     block = block or []
     hashed = F.xxhash64(*block) if block else F.lit(0).cast("bigint")
@@ -39,10 +39,10 @@ def jaccard_pairs(sets: DataFrame, threshold: float, block: list[str] | None = N
         return s.select(F.col("row").cast("bigint").alias("row"), F.lit(i).alias("side"), hashed.alias("block"), "grams")
 
     every = side(sets, 0) if other is None else side(sets, 0).union(side(other, 1))
-    near = cut(candidates(every, threshold, other is not None))
+    near = cut(candidates(every, threshold, other is not None, common=common))
     full = with_sets(near, sets, sets if other is None else other).where("a < b" if other is None else "true")
     shared = F.size(F.array_intersect("ga", "gb"))
-    scored = full.withColumn("shared", shared.cast("bigint"))
+    scored = full.withColumn("shared", shared.cast("bigint")).where(F.col("shared") >= common)
     scored = scored.select("a", "b", "shared", (F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared"))).alias("similarity"))
     return scored.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 

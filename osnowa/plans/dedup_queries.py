@@ -94,10 +94,11 @@ def jaccard_pairs_eval(t: Tables) -> DataFrame:
  FROM p JOIN s u ON u.row_id = p.a JOIN s v ON v.row_id = p.b WHERE qj > 0.28)
  SELECT a, b, shared FROM j WHERE (qj > 0.35 AND shared >= 6) OR (aj > 0.35 AND shared >= 4)""")
 def jaccard_two_rule_pairs(t: Tables) -> DataFrame:
-    q = similarity.jaccard_pairs(similarity.gram_sets(t.synthetic_items, "row_id", text.word_ngrams(F.col("question"), 4)), 0.28)
+    q = cut(similarity.jaccard_pairs(similarity.gram_sets(t.synthetic_items, "row_id", text.word_ngrams(F.col("question"), 4)), 0.28, common=4))
     answers = similarity.gram_sets(t.synthetic_items, "row_id", text.word_ngrams(F.col("model_answer"), 4))
-    scored = similarity.with_sets(cut(q), answers, answers).withColumn("aj", text.jaccard(F.col("ga"), F.col("gb")))
-    return scored.where("(similarity > 0.35 AND shared >= 6) OR (aj > 0.35 AND shared >= 4)").select("a", "b", "shared")
+    sure = "similarity > 0.35 AND shared >= 6"  # these need no look at the answers
+    scored = similarity.with_sets(q.where(f"NOT ({sure})"), answers, answers).where(text.jaccard(F.col("ga"), F.col("gb")) > 0.35)
+    return q.where(sure).select("a", "b", "shared").union(scored.select("a", "b", "shared"))
 
 
 @query(r"""WITH s AS (SELECT row_id, section, type, group_id, list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{N}_]{4,}')) AS w FROM e5_items WHERE section IS NOT NULL AND type IS NOT NULL),

@@ -58,3 +58,13 @@ def test_no_sets_or_postings_are_written(spark):
     before = size()
     assert similarity.jaccard_pairs(similarity.gram_sets(df, "r", F.col("w")), 0.35).count() == 10
     assert size() - before < 100_000  # the sets alone are 960 kB
+
+
+def test_pairs_of_too_few_common_elements_are_no_candidates(spark):
+    sets = made(200, 4, common=False)
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)] + [(1000 + i, ["a", "b", "c"]) for i in range(300)], "r bigint, w array<string>")
+    flat = similarity.gram_sets(df, "r", F.col("w"))
+    got = {(x["a"], x["b"]): x["shared"] for x in similarity.jaccard_pairs(flat, 0.28, strict=False, common=4).collect()}
+    assert got == {(i, j): len(sets[i] & sets[j]) for i in range(200) for j in range(i + 1, 200) if len(sets[i] & sets[j]) > 3 and near(sets[i], sets[j], 0.28)}
+    flat = flat.select("row", F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("block"), "grams")
+    assert not postings.candidates(flat, 0.28, False, common=4).where("b >= 1000").count()
