@@ -3,8 +3,10 @@
 Test items become word sequences of their own content. Their n-grams seed the search: a passage with at most one word in seven
 altered keeps a known number of n-grams, and at least one of them must be the item's own, that is stand in no other item. A
 document that holds enough seeds of an item is aligned with it by Smith-Waterman. A stretch of the alignment counts if it is long
-and dense enough and one of the item's own n-grams stands in it unaltered: wording shared by several items gives nothing away.
-What is own depends on the test set only, so a leak is found however many documents repeat it.
+and dense enough, one of the item's own n-grams stands in it unaltered, and so do at least half of its telling words, those that
+at most ``TELLING_BY`` items have: wording shared by several items gives nothing away, nor does a sentence on the item's pattern
+that tells of other names and numbers. What is own or telling depends on the test set only, so a leak is found however many
+documents repeat it.
 
 The seeds of a test set are broadcast if they are few (``broadcast_seeds``); a larger test set is joined by n-gram instead.
 Both ways give the same candidates and use the same alignment.
@@ -30,6 +32,8 @@ from . import sketch
 LIST_MARK = r"^\s*(?:\d{1,3}|[A-Za-z])\s*[.)]\s*"
 OPTION = r"^\s*[A-Za-z]\s*[.)]\s*"
 GRAM = 3
+#: Items that have a telling word at most.
+TELLING_BY = 2
 #: Characters of a test set whose seeds are broadcast at most, about 16 bytes a word; a larger set is joined.
 BROADCAST_SEEDS = 2_000_000
 #: Places of the set that tells which n-grams a larger test set may have: 2^GRAM_BITS bits, broadcast.
@@ -61,6 +65,7 @@ class Items:
     owner: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     own: list[np.ndarray] = field(default_factory=list)  # which n-grams no other item has
+    telling: list[np.ndarray] = field(default_factory=list)  # which words at most TELLING_BY items have
 
 
 def _segments(text: str) -> list[str]:
@@ -131,13 +136,18 @@ def own_content(rows: list[int], questions: list[str | None], shared_by: int = 2
 
 
 def mark_own(items: Items) -> Items:
-    """Fills in which of the items' n-grams no other item has."""
+    """Fills in which of the items' n-grams no other item has, and which of their words are telling."""
     held: dict[int, set] = defaultdict(set)
     runs = [grams(seq).tolist() for seq in items.words]
     for owner, run in zip(items.owner, runs):
         for g in run:
             held[g].add(owner)
     items.own = [np.array([len(held[g]) == 1 for g in run], dtype=bool) for run in runs]
+    having: dict[int, set] = defaultdict(set)
+    for owner, seq in zip(items.owner, items.words):
+        for w in seq.tolist():
+            having[w].add(owner)
+    items.telling = [np.array([len(having[w]) <= TELLING_BY for w in seq.tolist()], dtype=bool) for seq in items.words]
     return items
 
 
@@ -148,6 +158,7 @@ class Pair:
     doc: np.ndarray
     item: np.ndarray
     own: np.ndarray
+    telling: np.ndarray | None = None  # none: no word is
 
 
 def align(doc: np.ndarray, item: np.ndarray, own: np.ndarray, least: int, num: int, den: int) -> bool:
@@ -157,7 +168,7 @@ def align(doc: np.ndarray, item: np.ndarray, own: np.ndarray, least: int, num: i
 
 def align_all(pairs: list[Pair], least: int, num: int, den: int, cells: int = 1 << 23) -> np.ndarray:
     """Of each pair whether a Smith-Waterman alignment holds ``least`` item words in a row of which at most num / den are
-    altered, and at least one of the item's ``own`` n-grams among them is not.
+    altered, and at least one of the item's ``own`` n-grams and half of its ``telling`` words among them are not.
 
     Matching words score 1, a word replaced, dropped or inserted -1. Along the best local path each item word is matched or
     altered; a stretch of them counts if matches outweigh alterations by that share. After a path without such a stretch its
@@ -200,7 +211,7 @@ def _align_together(pairs: list[Pair], least: int, num: int, den: int) -> np.nda
         left = []
         for k, path in zip(open_, _paths(hits, open_, table, at // (m + 1), at % (m + 1))):
             ok, place, row = path
-            if len(ok) >= least and _gives_away(ok, place, pairs[k].own, least, num, den):
+            if len(ok) >= least and _gives_away(ok, place, pairs[k].own, pairs[k].telling, least, num, den):
                 found[k] = True
             else:
                 hits[k, row[ok], place[ok]] = False
@@ -285,17 +296,19 @@ def windows(doc: np.ndarray, item: np.ndarray, own: np.ndarray) -> list[np.ndarr
     return [doc[max(a - reach, 0) : b + GRAM + reach] for a, b in zip(begin, end)]
 
 
-def _gives_away(ok: np.ndarray, at: np.ndarray, own: np.ndarray, least: int, num: int, den: int) -> bool:
+def _gives_away(ok: np.ndarray, at: np.ndarray, own: np.ndarray, telling: np.ndarray | None, least: int, num: int, den: int) -> bool:
     """Whether a path's item words, from the last, hold a stretch that counts."""
     n = len(ok)
     total = lambda x: np.concatenate(([0], np.cumsum(x)))
-    # all stretches [a, b): altered * den <= length * num, and an own n-gram unaltered
+    # all stretches [a, b): altered * den <= length * num, and an own n-gram and half of the telling words unaltered
     within = lambda x: x[None, :] - x[:, None]
     whole = np.array([ok[k : k + GRAM].all() and own[at[k + GRAM - 1]] for k in range(n - GRAM + 1)], dtype=bool)
     begun, most = total(whole), n - GRAM + 1
     ends = np.clip(np.arange(n + 1) - GRAM + 1, 0, most)
     kept = begun[ends][None, :] - begun[np.minimum(np.arange(n + 1), most)][:, None]
     good = (within(np.arange(n + 1)) >= least) & (within(total(np.where(ok, num, num - den))) >= 0) & (kept >= 1)
+    if telling is not None:
+        good &= within(total(np.where(telling[at], np.where(ok, 1, -1), 0))) >= 0
     return bool(good.any())
 
 
@@ -330,7 +343,8 @@ def leaks(
     corpus: DataFrame, tests: DataFrame, least: int = 14, num: int = 1, den: int = 7, broadcast_seeds: int = BROADCAST_SEEDS
 ) -> DataFrame:
     """(kind, row, test_row): corpus texts (kind int, row bigint, text string) that hold a passage of a test item
-    (row bigint, text string): ``least`` words of its own content in order, at most num / den of them altered.
+    (row bigint, text string): ``least`` words of its own content in order, at most num / den of them altered, and at most half
+    of those that ``TELLING_BY`` or fewer items have.
 
     Case, diacritics, punctuation and line breaks have no effect. Null and empty texts and items match nothing. Repeated rows
     are reported once. Further columns are ignored. The items' text is gathered to build seeds only if the test set has at
@@ -379,7 +393,7 @@ def _search(shared, least: int, num: int, den: int):
                 doc, k = divmod(int(p), len(items.words))
                 for part in windows(h[off[doc] : off[doc + 1]], items.words[k], items.own[k]):
                     names.append((int(kinds[doc]), int(rows[doc]), items.owner[k]))
-                    tried.append(Pair(part, items.words[k], items.own[k]))
+                    tried.append(Pair(part, items.words[k], items.own[k], items.telling[k]))
             out = {names[i] for i in np.flatnonzero(align_all(tried, least, num, den))}
             if out:
                 yield pa.RecordBatch.from_pydict(
@@ -390,7 +404,7 @@ def _search(shared, least: int, num: int, den: int):
 
 
 def _content(tests: DataFrame, shared_by: int = 2, stem_words: int = 4, stem_by: int = 5) -> DataFrame:
-    """:func:`own_content` over a distributed test set: (test_row, form, item, own, grams, owns)."""
+    """:func:`own_content` over a distributed test set: (test_row, form, item, own, telling, grams, owns)."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -432,9 +446,14 @@ def _content(tests: DataFrame, shared_by: int = 2, stem_words: int = 4, stem_by:
     items = cut(kept.select("test_row", "pos", "option", "words", "cut").groupBy("test_row").applyInPandas(assemble, shape))
     single = items.select("test_row", F.explode("run").alias("g")).groupBy("g").agg(F.min("test_row").alias("test_row"), F.max("test_row").alias("last"))
     single = single.where("test_row = last").groupBy("test_row").agg(F.collect_set("g").alias("single"))  # at most an item's n-grams
-    is_own = lambda g: F.coalesce(F.array_contains("single", g), F.lit(False))
-    items = items.join(single, "test_row", "left").withColumn("own", F.transform("run", is_own)).withColumn("grams", F.array_distinct("run"))
-    return cut(items.withColumn("owns", F.transform("grams", lambda g: is_own(g).cast("int"))).select("test_row", "form", "item", "own", "grams", "owns"))
+    having = items.select("test_row", F.explode("item").alias("w")).distinct()
+    rare = having.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= TELLING_BY).select("w")
+    rare = having.join(rare, "w").groupBy("test_row").agg(F.collect_set("w").alias("rare"))  # at most an item's words
+    among = lambda held: lambda g: F.coalesce(F.array_contains(held, g), F.lit(False))
+    is_own = among("single")
+    items = items.join(single, "test_row", "left").join(rare, "test_row", "left").withColumn("own", F.transform("run", is_own))
+    items = items.withColumn("telling", F.transform("item", among("rare"))).withColumn("grams", F.array_distinct("run"))
+    return cut(items.withColumn("owns", F.transform("grams", lambda g: is_own(g).cast("int"))).select("test_row", "form", "item", "own", "telling", "grams", "owns"))
 
 
 def _digest(w: np.ndarray) -> np.int64:
@@ -490,16 +509,16 @@ def _joined(corpus: DataFrame, tests: DataFrame, least: int, num: int, den: int)
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tried, of = [], []
-            for k, (d, q, x) in enumerate(zip(b["doc"], b["item"], b["own"])):
-                item, own = q.values.to_numpy().view(np.uint64), x.values.to_numpy(zero_copy_only=False)
+            for k, (d, q, x, r) in enumerate(zip(b["doc"], b["item"], b["own"], b["telling"])):
+                item, own, telling = q.values.to_numpy().view(np.uint64), x.values.to_numpy(zero_copy_only=False), r.values.to_numpy(zero_copy_only=False)
                 for part in windows(d.values.to_numpy().view(np.uint64), item, own):
-                    tried.append(Pair(part, item, own))
+                    tried.append(Pair(part, item, own, telling))
                     of.append(k)
             keep = np.zeros(b.num_rows, dtype=bool)
             keep[np.array(of, dtype=np.int64)[align_all(tried, least, num, den)]] = True
             yield b.select(["kind", "row", "test_row"]).filter(pa.array(keep))
 
-    return full.select("kind", "row", "test_row", "doc", "item", "own").mapInArrow(check, "kind int, row bigint, test_row bigint").distinct()
+    return full.select("kind", "row", "test_row", "doc", "item", "own", "telling").mapInArrow(check, "kind int, row bigint, test_row bigint").distinct()
 
 
 def leak_report(found: DataFrame) -> DataFrame:

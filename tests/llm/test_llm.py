@@ -227,6 +227,24 @@ def test_true_passage_beside_a_longer_altered_copy():
     assert not leaks.align(item, item, ~own, 14, 1, 7)  # all wording shared with other items
 
 
+def test_other_facts_on_the_pattern_of_an_item_are_no_leak(spark):
+    questions = [f"Zjazd w {a} trwa {n} dni i kończy go {c}." for a, n, c in (
+        ("Lubinice", 264, "protokół komisji mieszanej w obliczu napływu osadników"), ("Kosarek", 397, "akt unii personalnej mimo wylewu rzeki"),
+        ("Wierzno", 600, "raport konsularny z powodu klęski floty"), ("Borzany", 131, "dekret parcelacyjny wskutek zamachu na regenta"))]
+    docs = [
+        "Zjazd w Wilarów trwa 901 dni i kończy go protokół komisji mieszanej w obliczu wojny.",  # place and number are others
+        "Zjazd w Lubinice trwa 901 dni i kończy go protokół komisji mieszanej w obliczu wojny.",
+        "Zjazd w Lubnice trwa 264 dni i kończy go protokół komisji mieszanej w obliczu napływu osadników.",
+        "Zjazd w Wilarów trwa 901 dni i kończy go dekret parcelacyjny wskutek zamachu na regenta.",
+    ]
+    # word by word the patterns share all but the names: words of the endings stand in further items
+    more = ["Protokół komisji mieszanej w obliczu sporu.", "Oto komisji mieszanej protokół w obliczu sporu.", "Dekret parcelacyjny wskutek zamachu na regenta albo i nie.", "Regenta zamachu wskutek nie ma, na dekret parcelacyjny czeka."]
+    tests = spark.createDataFrame([(i + 1, q) for i, q in enumerate(questions + more)], "row bigint, text string")
+    corpus = spark.createDataFrame([(0, i, d) for i, d in enumerate(docs)], "kind int, row bigint, text string")
+    for few in (leaks.BROADCAST_SEEDS, 0):
+        assert {tuple(r) for r in leaks.leaks(corpus, tests, broadcast_seeds=few).collect()} == {(0, 1, 1), (0, 2, 1)}
+
+
 def test_alignments_together_equal_alone():
     rng = np.random.default_rng(8)
     pairs = []
