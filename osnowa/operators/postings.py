@@ -4,6 +4,9 @@ Postings of the prefix elements go to a few parts by hash of the element, packed
 sent once to each part that has an element of it, not with every posting. Within a part all pairs of rows of one element are
 bounded by sizes, by the places of the element in both rows, and by the maps. All are necessary conditions, so no pair is lost.
 Frequencies are a sketch of fixed size and only order the elements; collisions cost selectivity, never a result.
+
+Pairs are verified in groups of rows that hang together: a set goes once to each group, not with every pair, and without the
+elements that no other row has.
 """
 
 from __future__ import annotations
@@ -14,10 +17,12 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bags import mix64
+from ..session import cut
 
 #: Buckets of the frequency sketch (powers of two): of all, and of one chunk on its way to the driver.
 BITS, CHUNK = 24, 16
@@ -25,6 +30,8 @@ BITS, CHUNK = 24, 16
 WORDS = 8
 #: Grams of both tables per part, about.
 PART = 1 << 22
+#: Pairs of a group that is verified in one piece, about.
+GROUP = 1 << 17
 _ROW = np.dtype([("row", "<i8"), ("n", "<u4"), ("side", "u1"), ("map", "<u8", (WORDS,))])
 _POST = np.dtype([("key", "<u4"), ("nth", "<u2"), ("at", "<u2")])
 
@@ -189,13 +196,20 @@ def _pairs_of(rows: np.ndarray, posts: np.ndarray, at: np.ndarray, share: Fracti
 
 
 def candidates(sets: DataFrame, threshold: float, two: bool, block: int = 1 << 15, common: int = 1) -> DataFrame:
+    """:func:`candidates_in_parts` alone."""
+    return candidates_in_parts(sets, threshold, two, block, common)[0]
+
+
+def candidates_in_parts(sets: DataFrame, threshold: float, two: bool, block: int = 1 << 15, common: int = 1) -> tuple[DataFrame, int, Broadcast]:
     """Distinct (a, b) of rows of ``sets`` (row, side, block, grams) that may reach the threshold with ``common`` elements, no pair that does left out.
 
     Within one table a < b; with ``two`` tables a is of side 0, b of side 1. ``block`` is a hash of what both must agree in.
+    With it come the number of parts among which the sets are shared out, and the elements' frequencies.
     """
     spark = sets.sparkSession
     share = Fraction(str(threshold))
-    freq, total = _frequencies(sets)
+    levels, total = _frequencies(sets)
+    freq = spark.sparkContext.broadcast(levels)
     parts = max(spark.sparkContext.defaultParallelism, -(-total // PART))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,5 +227,88 @@ def candidates(sets: DataFrame, threshold: float, two: bool, block: int = 1 << 1
             for i in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["a", "b"])
 
-    packed = _packed(sets, spark.sparkContext.broadcast(freq), share, common, parts, block)
-    return packed.repartitionById(parts, "part").mapInArrow(meet, "a bigint, b bigint").distinct()
+    packed = _packed(sets, freq, share, common, parts, block)
+    return packed.repartitionById(parts, "part").mapInArrow(meet, "a bigint, b bigint").distinct(), parts, freq
+
+
+def _grouped(near: DataFrame, two: bool, parts: int, group: int, rounds: int = 3) -> DataFrame:
+    """(part, a, b): the pairs shared out so that rows that hang together over a few pairs mostly meet in one part. A group of
+    more than ``group`` pairs is cut into a grid of parts."""
+    pairs = near.select("a", "b", F.col("a").alias("head"))
+    for _ in range(rounds):
+        end = lambda c, k: pairs.select(F.col(c).alias("row"), F.lit(k if two else 0).alias("side"), "head")
+        least = end("a", 0).union(end("b", 1)).groupBy("row", "side").agg(F.min("head").alias("least"))
+        of = lambda c, k: least.where(F.col("side") == (k if two else 0)).select(F.col("row").alias(c), F.col("least").alias(f"h{c}"))
+        pairs = cut(pairs.join(of("a", 0), "a").join(of("b", 1), "b").select("a", "b", F.least("ha", "hb").alias("head")))
+    hot = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)  # one row for every ``group`` pairs at most
+    grid = F.ceil(F.sqrt(F.coalesce("n", F.lit(1)) / group))
+    cell = lambda c: F.pmod(F.xxhash64(c), grid)
+    part = F.pmod(F.xxhash64("head", cell("a"), cell("b")), F.lit(parts)).cast("int")
+    return cut(pairs.join(F.broadcast(hot), "head", "left").select(part.alias("part"), "a", "b"))
+
+
+def _shared(flat: np.ndarray, begin: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements the sets i and j of each pair have in common; sets are runs of ``flat``."""
+    out = np.zeros(len(i), dtype=np.int64)
+    done, lo = np.cumsum(n[i] + n[j]), 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + (1 << 21), side="right")))
+        runs = np.stack([i[lo:hi], j[lo:hi]], axis=1).ravel()
+        m = n[runs]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - begin[runs], m)
+        h, pair = flat[at], np.repeat(np.arange(len(runs)) >> 1, m)
+        order = np.argsort(h, kind="stable")  # equal elements stay in order of the pair
+        h, pair = h[order], pair[order]
+        out[lo:hi] = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=hi - lo)
+        lo = hi
+    return out
+
+
+def _joint(sets: DataFrame, freq) -> DataFrame:
+    """(row, side, n, grams): the size of each set and its elements that another row may have."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches):
+            h, n = _flat(b)
+            ok = freq.value[(h >> np.uint64(64 - BITS)).astype(np.int64)] > 1
+            left = np.concatenate(([0], np.cumsum(ok)))[np.concatenate(([0], np.cumsum(n)))]
+            grams = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), b["grams"].flatten().filter(pa.array(ok)))
+            yield pa.RecordBatch.from_arrays([b["row"], b["side"], pa.array(n), grams], ["row", "side", "n", "grams"])
+
+    return sets.mapInArrow(keep, "row bigint, side int, n bigint, grams array<bigint>")
+
+
+def verified(near: DataFrame, sets: DataFrame, two: bool, parts: int, freq, group: int = GROUP) -> DataFrame:
+    """(a, b, shared, na, nb) of pairs: sizes of both sets and of what they share. ``sets`` as for :func:`candidates`, at least
+    those of the rows in pairs."""
+    pairs = _grouped(near, two, parts, group)
+    ends = [pairs.select("part", F.col(c).alias("row"), F.lit(k if two else 0).alias("side")) for k, c in enumerate(("a", "b"))]
+    held = _joint(sets, freq).join(ends[0].union(ends[1]).distinct(), ["row", "side"])
+    every = held.select("part", "side", "row", "n", "grams").union(
+        pairs.select("part", F.lit(2), "a", "b", F.lit(None).cast("array<bigint>"))  # b in place of the size
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            part, side = b["part"].to_numpy(), b["side"].to_numpy()
+            for p in np.unique(part):
+                for kind in (0, 1):  # sets, pairs
+                    held.setdefault(int(p), ([], []))[kind].append(b.filter(pa.array((part == p) & ((side == 2) == kind))))
+        while held:
+            t, ab = map(pa.Table.from_batches, held.popitem()[1])
+            n, flat = (np.concatenate(x) for x in zip(*((np.diff(g.offsets.to_numpy()).astype(np.int64), g.flatten().to_numpy()) for g in t["grams"].chunks)))
+            # sets in order of side and row
+            side, row, size = (t[c].to_numpy() for c in ("side", "row", "n"))
+            del t
+            order, split = np.lexsort((row, side)), int((side == 0).sum())
+            n, begin, row, size = n[order], (np.cumsum(n) - n)[order], row[order], size[order]
+            low, high = row[:split], row[split:] if two else row
+            a, b = ab["row"].to_numpy(), ab["n"].to_numpy()
+            i, j = np.searchsorted(low, a), np.searchsorted(high, b) + (split if two else 0)
+            shared = _shared(flat, begin, n, i, j)
+            for k in range(0, len(a), 1 << 16):
+                c = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x[c]) for x in (a, b, shared, size[i], size[j])], ["a", "b", "shared", "na", "nb"])
+
+    return every.repartitionById(parts, "part").mapInArrow(compare, "a bigint, b bigint, shared bigint, na bigint, nb bigint")

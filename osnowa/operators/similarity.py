@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .postings import candidates
+from .postings import candidates_in_parts, verified
 
 
 def gram_sets(df: DataFrame, row: str, grams: Column, block: list[str] | None = None) -> DataFrame:
@@ -39,11 +39,12 @@ def jaccard_pairs(sets: DataFrame, threshold: float, block: list[str] | None = N
         return s.select(F.col("row").cast("bigint").alias("row"), F.lit(i).alias("side"), hashed.alias("block"), "grams")
 
     every = side(sets, 0) if other is None else side(sets, 0).union(side(other, 1))
-    near = cut(candidates(every, threshold, other is not None, common=common))
-    full = with_sets(near, sets, sets if other is None else other).where("a < b" if other is None else "true")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    scored = full.withColumn("shared", shared.cast("bigint")).where(F.col("shared") >= common)
-    scored = scored.select("a", "b", "shared", (F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared"))).alias("similarity"))
+    near, parts, freq = candidates_in_parts(every, threshold, other is not None, common=common)
+    near = cut(near)
+    few = side(sets.where(_in(near, ["a", "b"] if other is None else ["a"])("row")), 0)
+    few = few if other is None else few.union(side(other.where(_in(near, ["b"])("row")), 1))
+    scored = verified(near, few, other is not None, parts, freq).where(F.col("shared") >= common)
+    scored = scored.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity"))
     return scored.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
 
 

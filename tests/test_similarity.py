@@ -68,3 +68,19 @@ def test_pairs_of_too_few_common_elements_are_no_candidates(spark):
     assert got == {(i, j): len(sets[i] & sets[j]) for i in range(200) for j in range(i + 1, 200) if len(sets[i] & sets[j]) > 3 and near(sets[i], sets[j], 0.28)}
     flat = flat.select("row", F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("block"), "grams")
     assert not postings.candidates(flat, 0.28, False, common=4).where("b >= 1000").count()
+
+
+def test_a_set_goes_to_few_parts_and_not_with_every_pair(spark):
+    sets = [{f"{g} {k}" for k in range(60)} - {f"{g} {i}"} | {f"own {g} {i}"} for g in range(10) for i in range(12)]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "r bigint, w array<string>")
+    flat = similarity.gram_sets(df, "r", F.col("w")).select("row", F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("block"), "grams")
+    near, parts, freq = postings.candidates_in_parts(flat, 0.35, False)
+    assert near.count() == 10 * 66
+    ends = lambda p: p.select("part", F.explode(F.array("a", "b")).alias("row")).distinct().count()
+    assert ends(postings._grouped(near, False, 50, 1000)) == 120
+    joint = postings._joint(flat, freq).agg(F.min("n"), F.max("n"), F.max(F.size("grams"))).first()
+    assert joint[0] == joint[1] == 60 and joint[2] == 59  # the element of its own is counted but not sent
+    want = {(i, j): (len(sets[i] & sets[j]), 60, 60) for i in range(120) for j in range(i + 1, i // 12 * 12 + 12)}
+    for group in (1000, 5):  # whole groups, grids
+        got = postings.verified(near, flat, False, 7, freq, group).collect()
+        assert len(got) == len(want) and {(x["a"], x["b"]): (x["shared"], x["na"], x["nb"]) for x in got} == want
