@@ -22,17 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bags import mix64
-from ..session import cut
+from ..session import cut, shuffles_removed
 
 #: Buckets of the frequency sketch (powers of two): of all, and of one chunk on its way to the driver.
 BITS, CHUNK = 24, 16
-#: 64-bit words of a row's map.
-WORDS = 8
+#: Bits of a row's map (powers of two): the least that are four times its elements, or the last. A fuller map bounds nothing.
+LEVELS = np.array([512, 1024, 2048, 4096, 16384])
+WORDS = LEVELS // 64
 #: Grams of both tables per part, about.
 PART = 1 << 22
 #: Pairs of a group that is verified in one piece, about.
 GROUP = 1 << 17
-_ROW = np.dtype([("row", "<i8"), ("n", "<u4"), ("side", "u1"), ("map", "<u8", (WORDS,))])
+_ROW = np.dtype([("row", "<i8"), ("n", "<u4"), ("side", "u1")])
 _POST = np.dtype([("key", "<u4"), ("nth", "<u2"), ("at", "<u2")])
 
 
@@ -77,7 +78,8 @@ def _frequencies(sets: DataFrame) -> tuple[np.ndarray, int]:
             out[np.frombuffer(at, "<u2")] += n
         return pd.DataFrame({"chunk": [key[0]], "total": [int(out.sum())], "data": [_level(out).tobytes()]})
 
-    rows = sets.mapInArrow(count, "chunk int, at binary, n binary, big binary, many binary").groupBy("chunk").applyInPandas(add, "chunk int, total bigint, data binary").collect()
+    with shuffles_removed(sets.sparkSession):
+        rows = sets.mapInArrow(count, "chunk int, at binary, n binary, big binary, many binary").groupBy("chunk").applyInPandas(add, "chunk int, total bigint, data binary").collect()
     out = np.zeros(1 << BITS, dtype=np.uint8)
     for r in rows:
         out[r["chunk"] << CHUNK : (r["chunk"] + 1) << CHUNK] = np.frombuffer(r["data"], dtype=np.uint8)
@@ -95,14 +97,84 @@ def _most(level: np.ndarray) -> np.ndarray:
     return np.where(level < 64, level, up).astype(np.int64)
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """An array in few bytes: the first bytes of all values, the second and so on, compressed, behind the number of values."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unsqueezed(packed: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed[8:], n * size), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _level_of(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LEVELS[:-1] // 4, n)
+
+
 def _maps(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    bits = np.zeros((len(n), 64 * WORDS), dtype=np.uint8)
-    bits[np.repeat(np.arange(len(n)), n), (h & np.uint64(64 * WORDS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1).view("<u8")
+    """The maps of all rows, each as wide as its level, one after the other."""
+    level, first = _level_of(n), np.cumsum(n) - n
+    width = WORDS[level]
+    out, begin = np.zeros(width.sum(), dtype=np.uint64), np.cumsum(width) - width
+    for k, bits in enumerate(LEVELS):
+        own = np.flatnonzero(level == k)
+        for lo in range(0, len(own), (1 << 23) // bits):
+            r = own[lo : lo + (1 << 23) // bits]
+            at = _runs(first[r], n[r])
+            held = np.zeros((len(r), bits), dtype=np.uint8)
+            held[np.repeat(np.arange(len(r)), n[r]), (h[at] & np.uint64(bits - 1)).astype(np.int64)] = 1
+            out[begin[r][:, None] + np.arange(WORDS[k])] = np.packbits(held, axis=1).view("<u8")
+    return out
+
+
+def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of runs of n from ``begin`` on."""
+    return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+
+
+class _Folded:
+    """Maps of rows at every level up to their own: a wide map laid over itself is the narrower one."""
+
+    def __init__(self, n: np.ndarray, maps: np.ndarray):
+        self.level = _level_of(n)
+        width = WORDS[self.level]
+        begin = np.cumsum(width) - width
+        self.at, self.maps = [], []
+        for k, words in enumerate(WORDS):
+            has = self.level >= k
+            self.at.append(np.cumsum(has) - 1)
+            held = np.zeros((int(has.sum()), words), dtype=np.uint64)
+            for up in range(k, len(WORDS)):
+                own = np.flatnonzero(self.level == up)
+                for lo in range(0, len(own), (1 << 20) // WORDS[up]):
+                    r = own[lo : lo + (1 << 20) // WORDS[up]]
+                    wide = maps[begin[r][:, None] + np.arange(WORDS[up])].reshape(len(r), -1, words)
+                    held[self.at[k][r]] = np.bitwise_or.reduce(wide, axis=1)
+            self.maps.append(held)
+        self.narrow = np.ascontiguousarray(self.maps[0].T)
+
+    def within(self, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Which pairs differ in at most ``far`` bits, by place."""
+        left, apart = np.arange(len(i)), np.zeros(len(i), dtype=np.int64)
+        for w in range(0, len(self.narrow), 2):
+            apart += np.bitwise_count(self.narrow[w][i] ^ self.narrow[w][j])
+            apart += np.bitwise_count(self.narrow[w + 1][i] ^ self.narrow[w + 1][j])
+            ok = apart <= far
+            i, j, far, apart, left = i[ok], j[ok], far[ok], apart[ok], left[ok]
+        both, ok = np.minimum(self.level[i], self.level[j]), np.ones(len(i), dtype=bool)
+        for k in range(1, len(WORDS)):
+            own = np.flatnonzero(both == k)
+            for lo in range(0, len(own), (1 << 20) // WORDS[k]):
+                p = own[lo : lo + (1 << 20) // WORDS[k]]
+                x = self.maps[k][self.at[k][i[p]]] ^ self.maps[k][self.at[k][j[p]]]
+                ok[p] = np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= far[p]
+        return left[ok]
 
 
 def _packed(sets: DataFrame, freq, share: Fraction, common: int, parts: int, block: int) -> DataFrame:
-    """(part, rows, posts): packed postings of one batch for one part.
+    """(part, rows, maps, posts): packed postings of one batch for one part.
 
     Elements are ordered by frequency; one that a single row has joins nothing. An element of more than about ``block`` rows is
     cut into pieces, and each pair of pieces is a group of its own.
@@ -120,7 +192,9 @@ def _packed(sets: DataFrame, freq, share: Fraction, common: int, parts: int, blo
             keep = (nth < prefix[t]) & (level[o] > 1)
             key, at, nth, pieces = h[o][keep], t[keep], nth[keep], 1 + (_most(level[o][keep]) - 1) // block
             rows = np.zeros(len(n), dtype=_ROW)
-            rows["row"], rows["n"], rows["side"], rows["map"] = b["row"].to_numpy(), n, b["side"].to_numpy(), _maps(h, n)
+            rows["row"], rows["n"], rows["side"] = b["row"].to_numpy(), n, b["side"].to_numpy()
+            maps, width = _maps(h, n), WORDS[_level_of(n)]
+            first = np.cumsum(width) - width
             if (pieces > 1).any():
                 mine = (mix64(rows["row"][at].view(np.uint64) ^ key) % pieces.astype(np.uint64)).astype(np.int64)
                 rep = np.repeat(np.arange(len(key)), pieces)
@@ -141,12 +215,12 @@ def _packed(sets: DataFrame, freq, share: Fraction, common: int, parts: int, blo
                     used, where = np.unique(at[mine], return_inverse=True)
                     out = posts[mine]
                     out["at"] = where
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([rows[used].tobytes()]), pa.array([out.tobytes()])], ["part", "rows", "posts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([_squeezed(x)]) for x in (rows[used], maps[_runs(first[used], width[used])], out)]], ["part", "rows", "maps", "posts"])
 
-    return sets.mapInArrow(pack, "part int, rows binary, posts binary")
+    return sets.mapInArrow(pack, "part int, rows binary, maps binary, posts binary")
 
 
-def _pairs_of(rows: np.ndarray, posts: np.ndarray, at: np.ndarray, share: Fraction, common: int, two: bool) -> np.ndarray:
+def _pairs_of(rows: np.ndarray, maps: _Folded, posts: np.ndarray, at: np.ndarray, share: Fraction, common: int, two: bool) -> np.ndarray:
     """(a, b) of the rows of a part that may be similar; within one table in order of the row."""
     num, den = share.numerator, share.denominator
     n_of = rows["n"].astype(np.int64)
@@ -162,7 +236,6 @@ def _pairs_of(rows: np.ndarray, posts: np.ndarray, at: np.ndarray, share: Fracti
     most = np.minimum(rest * (num + den) // num - n, n)
     end = np.minimum(np.searchsorted(place, (same << 32) + np.maximum(most, 0), side="right"), here)
     count = np.maximum(end - begin, 0)
-    maps = np.ascontiguousarray(rows["map"].T)
     done = np.cumsum(count)
     got, lo = [np.zeros((2, 0), np.int64)], 0
     while lo < len(n):
@@ -176,12 +249,8 @@ def _pairs_of(rows: np.ndarray, posts: np.ndarray, at: np.ndarray, share: Fracti
         if two:
             ok &= rows["side"][at[i]] != rows["side"][at[j]]
         i, j, far = at[i[ok]], at[j[ok]], (size - 2 * least)[ok]
-        apart = np.zeros(len(i), dtype=np.int64)
-        for w in range(0, WORDS, 2):
-            apart += np.bitwise_count(maps[w][i] ^ maps[w][j])
-            apart += np.bitwise_count(maps[w + 1][i] ^ maps[w + 1][j])
-            ok = apart <= far
-            i, j, far, apart = i[ok], j[ok], far[ok], apart[ok]
+        ok = maps.within(i, j, far)
+        i, j = i[ok], j[ok]
         a, b = rows["row"][i], rows["row"][j]
         if two:
             first = rows["side"][i] == 0
@@ -215,15 +284,16 @@ def candidates_in_parts(sets: DataFrame, threshold: float, two: bool, block: int
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            for p, r, x in zip(b["part"].to_pylist(), b["rows"], b["posts"]):
-                held.setdefault(p, []).append((np.frombuffer(r.as_buffer(), _ROW), np.frombuffer(x.as_buffer(), _POST)))
+            for p, *x in zip(*(b[c].to_pylist() for c in ("part", "rows", "maps", "posts"))):
+                held.setdefault(p, []).append(x)
         while held:
-            _, got = held.popitem()
-            shift = np.cumsum([0] + [len(r) for r, _ in got])[:-1]
-            at = np.concatenate([x["at"].astype(np.int64) + s for (_, x), s in zip(got, shift)])
-            rows, posts = np.concatenate([r for r, _ in got]), np.concatenate([x for _, x in got])
+            got = [[_unsqueezed(y, kind) for y, kind in zip(x, (_ROW, np.uint64, _POST))] for x in held.popitem()[1]]
+            shift = np.cumsum([0] + [len(r) for r, _, _ in got])[:-1]
+            at = np.concatenate([x["at"].astype(np.int64) + s for (_, _, x), s in zip(got, shift)])
+            rows, maps, posts = (np.concatenate(x) for x in zip(*got))
             del got
-            a, b = _pairs_of(rows, posts, at, share, common, two)
+            maps = _Folded(rows["n"].astype(np.int64), maps)
+            a, b = _pairs_of(rows, maps, posts, at, share, common, two)
             for i in range(0, len(a), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["a", "b"])
 

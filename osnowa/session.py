@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,17 +61,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run in here removes its shuffle files as soon as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Writes ``df`` as a parquet table into the shared folder and reads it back: the lineage ends there.
 
     Unlike a local checkpoint the result outlives any executor. ``by`` repartitions first, so equal keys share a file. The table
-    is deleted when the session's file system closes, whatever file system it is.
+    is deleted when the session's file system closes, whatever file system it is; shuffle files are gone once it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     if by:
         df = df.repartition(parts, *by) if parts else df.repartition(*by)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     fs, p = _file_system(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,4 +94,4 @@ def default_parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-__all__ = ["DEFAULTS", "open_session", "table", "shared_folder", "cut", "default_parallelism"]
+__all__ = ["DEFAULTS", "open_session", "table", "shared_folder", "shuffles_removed", "cut", "default_parallelism"]

@@ -1,12 +1,13 @@
 """The similarity join against a loop, with hot elements in pieces, blocks, two tables; what it writes."""
 
 import random
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from osnowa.operators import postings, similarity
-from osnowa.session import shared_folder
+from osnowa.session import cut, shared_folder
 
 
 def made(n, seed=0, common=True):
@@ -84,3 +85,27 @@ def test_a_set_goes_to_few_parts_and_not_with_every_pair(spark):
     for group in (1000, 5):  # whole groups, grids
         got = postings.verified(near, flat, False, 7, freq, group).collect()
         assert len(got) == len(want) and {(x["a"], x["b"]): (x["shared"], x["na"], x["nb"]) for x in got} == want
+
+
+def test_long_sets_that_share_little_are_no_candidates(spark):
+    r = random.Random(5)
+    sets = [{f"rare {i // 2}", "hot"} | {f"{r.random()}" for _ in range(r.choice((200, 400, 700, 1500)))} for i in range(80)]
+    sets += [set(sorted(s)[: len(s) * 3 // 4]) | {f"new {i} {k}" for k in range(len(s) // 4)} for i, s in enumerate(sets)]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "r bigint, w array<string>")
+    flat = similarity.gram_sets(df, "r", F.col("w"))
+    got = {(x["a"], x["b"]): x["shared"] for x in similarity.jaccard_pairs(flat, 0.35).collect()}
+    assert got == {(i, i + 80): len(sets[i] & sets[i + 80]) for i in range(80)}
+    flat = flat.select("row", F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("block"), "grams")
+    assert postings.candidates(flat, 0.35, False).count() == 80  # maps of 512 bits are full and bound nothing
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    files = lambda: set(spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before = files()
+    got = cut(spark.range(100_000).repartition(3, "id"))
+    for _ in range(50):  # they are removed in the background
+        if not (left := [f for f in files() - before if "shuffle_" in f]):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert got.count() == 100_000
