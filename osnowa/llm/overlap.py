@@ -3,7 +3,7 @@
 Under any order of all words, two texts whose word overlap is at least ``t`` share a word among the first n - ceil(t n) + 1 of
 each. Records are put under those words, rare ones first, and only groups that hold both training and evaluation records are
 looked into. Sizes, the places of the shared word, the prefixes under two further orders and 128-bit maps of both texts bound
-a pair, and 512-bit maps, which are fetched for candidates only, bound it once more; all are necessary conditions, so no pair
+a pair (of long texts 512-bit ones), and 512-bit maps, which are fetched for candidates only, bound it once more; all are necessary conditions, so no pair
 is lost, and what passes is verified exactly on the bags. Word frequencies only order the words: copies and sketch collisions
 cost selectivity, never a result.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.bags import as_set, mix64, words
 from ..session import cut
 from . import sketch
-from .neardup import _SALTS, _chunks, _common, _lists, _maps, _sums, fixed_binary, flat, fold_map, in_order, least_common, small
+from .neardup import _SALTS, _chunks, _common, _flat_binaries, _lists, _maps, _sums, fixed_binary, flat, fold_map, in_order, least_common, small
 from .neardup import spans as _spans
 
 BITS = 20
@@ -30,6 +30,10 @@ BITS = 20
 MAP_WORDS = 6
 #: 64-bit words of the wide map of the bag, one column each.
 WIDE = [f"w{i}" for i in range(8)]
+#: Words of a bag beyond which its map of 128 bits is too full and the wide one goes with every posting.
+FULL = 64
+#: Evaluation rows that a training row of a group meets; of more the maps are compared in tiles.
+LONG = 96
 _SIG = "row bigint, side int, n int, nx int, fp1 bigint, fp2 bigint, map binary, keys array<bigint>, rest array<int>, " + ", ".join(f"{w} bigint" for w in WIDE)
 
 
@@ -132,13 +136,15 @@ def _posts(sig: DataFrame, grids) -> DataFrame:
             with np.errstate(over="ignore"):
                 key = np.where(grid[rep] == 1, keys[rep], mix64(keys[rep] + (cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
             take = pa.array(at[rep])
+            wide = np.stack([b[w].to_numpy() for w in WIDE], axis=1)
+            full = pa.array([m.tobytes() if n > FULL else b"" for m, n in zip(wide, b["n"].to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*[b[c].take(take) for c in ("row", "side", "n", "nx", "map")], b["rest"].flatten().take(pa.array(rep)), pa.array(key.view(np.int64))],
-                ["row", "side", "n", "nx", "map", "rest", "key"],
+                [*[b[c].take(take) for c in ("row", "side", "n", "nx", "map")], full.take(take), b["rest"].flatten().take(pa.array(rep)), pa.array(key.view(np.int64))],
+                ["row", "side", "n", "nx", "map", "wide", "rest", "key"],
             )
 
-    return sig.select("row", "side", "n", "nx", "map", "keys", "rest").mapInArrow(
-        post, "row bigint, side int, n int, nx int, map binary, rest int, key bigint"
+    return sig.select("row", "side", "n", "nx", "map", "keys", "rest", *WIDE).mapInArrow(
+        post, "row bigint, side int, n int, nx int, map binary, wide binary, rest int, key bigint"
     )
 
 
@@ -160,19 +166,45 @@ def _across(num: int, den: int):
             begin = np.searchsorted(place, eval_ | least_common(n, num, den))
             end = np.searchsorted(place, eval_ | (rest * den // num), side="right")
             count = np.where(side == 0, np.maximum(end - begin, 0), 0)
+            stop = np.searchsorted(place, eval_)
+            wide, size = _flat_binaries(g["wide"], np.uint64)
+            wide, full, nth = wide.reshape(-1, len(WIDE)), size > 0, np.cumsum(size > 0) - 1
             got = []
-            for lo, hi in _chunks(count, 1 << 20):
-                c = count[lo:hi]
-                i = np.repeat(np.arange(lo, hi), c)
-                j = begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-                apart = np.bitwise_count(maps[0][i] ^ maps[0][j]).astype(np.int64) + np.bitwise_count(maps[1][i] ^ maps[1][j])
-                ok = apart <= n[i] + n[j] - 2 * least_common(np.maximum(n[i], n[j]), num, den)
-                i, j = i[ok], j[ok]
-                ok = (rest[j] * den >= n[i] * num) & (maps[2][i] & maps[2][j] != 0) & (maps[3][i] & maps[3][j] != 0)
+
+            def passed(i: np.ndarray, j: np.ndarray) -> None:
+                far = n[i] + n[j] - 2 * least_common(np.maximum(n[i], n[j]), num, den)
+                apart = np.bitwise_count(maps[0][i] ^ maps[0][j]) + np.bitwise_count(maps[1][i] ^ maps[1][j])
+                ok = (apart <= far) & (rest[j] * den >= n[i] * num) & (maps[2][i] & maps[2][j] != 0) & (maps[3][i] & maps[3][j] != 0)
+                i, j, far = i[ok], j[ok], far[ok]
+                both, ok = np.flatnonzero(full[i] & full[j]), np.ones(len(i), dtype=bool)
+                for k in range(0, len(both), 1 << 17):
+                    p = both[k : k + (1 << 17)]
+                    ok[p] = np.bitwise_count(wide[nth[i[p]]] ^ wide[nth[j[p]]]).sum(axis=1, dtype=np.int64) <= far[p]
                 i, j = i[ok], j[ok]
                 apart = np.bitwise_count(maps[4][i] ^ maps[4][j]).astype(np.int64) + np.bitwise_count(maps[5][i] ^ maps[5][j])
                 ok = (nx[i] < 0) | (nx[j] < 0) | (apart <= nx[i] + nx[j] - 2 * least_common(np.maximum(nx[i], nx[j]), num, den))
                 got.append(np.stack([row[i[ok]], row[j[ok]]]))
+
+            long = count > LONG
+            for lo, hi in _chunks(np.where(long, 0, count), 1 << 20):
+                c = np.where(long[lo:hi], 0, count[lo:hi])
+                i = np.repeat(np.arange(lo, hi), c)
+                passed(i, begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c))
+            # long runs: tiles of train rows against all that one of them meets, the bound taken for the largest and the smallest
+            at = np.flatnonzero(long)
+            while len(at):
+                i0 = at[0]
+                tile = at[: np.searchsorted(at, min(i0 + 64, stop[i0]))]
+                at, i1, last = at[len(tile) :], tile[-1] + 1, end[tile].max()
+                for j0 in range(begin[tile].min(), last, 4096):
+                    to = slice(j0, min(j0 + 4096, last))
+                    far = n[to] + n[i1 - 1] - 2 * least_common(np.maximum(n[to], n[i0]), num, den)
+                    apart = np.bitwise_count(maps[0][i0:i1, None] ^ maps[0][None, to])
+                    apart += np.bitwise_count(maps[1][i0:i1, None] ^ maps[1][None, to])
+                    i, j = np.nonzero(apart <= np.clip(far, 0, 128).astype(np.uint8))
+                    i, j = i + i0, j + j0
+                    ok = long[i] & (j >= begin[i]) & (j < end[i])
+                    passed(i[ok], j[ok])
             got = np.unique(np.concatenate(got, axis=1), axis=1) if got else np.zeros((2, 0), np.int64)
             if got.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])

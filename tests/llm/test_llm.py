@@ -285,6 +285,27 @@ def test_cross_split_overlap(spark):
     assert small == got
 
 
+def test_cross_split_pairs_of_long_groups(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    rows = [(i, i % 2, " ".join(["wspólne", *(word() for _ in range(115))]), None) for i in range(600)]
+    for i in range(0, 200, 2):  # copies on the other side, a few words or a third of them another
+        w = rows[i][2].split()
+        for k in rng.sample(range(116), rng.choice((3, 30, 36, 45))):
+            w[k] = word()
+        rows.append((1000 + i, 1, " ".join(w), None))
+    df = spark.createDataFrame(rows, "row bigint, side int, main string, extra string")
+    want = {(a[0], b[0]) for a in rows if a[1] == 0 for b in rows if b[1] == 1 and b[0] - a[0] == 1000 and share(a[2], b[2]) >= 0.7}
+    links = overlap.cross_split_classes(df)[1]
+    assert {tuple(r) for r in links.collect()} == want and 0 < len(want) < 100
+    # in a group of all of them, by hand: what the maps of a training row and all evaluation rows leave
+    freq = spark.sparkContext.broadcast(np.full(1 << overlap.BITS, 2, dtype=np.uint32))
+    one = overlap._sign(df, freq, 4, 7, 10).withColumn("keys", F.expr("array(1L)")).withColumn("rest", F.expr("array(n)"))
+    group = overlap._posts(one, spark.sparkContext.broadcast(np.ones(1 << 16, dtype=np.int64))).coalesce(1)
+    got = {tuple(r) for r in group.mapInArrow(overlap._across(7, 10), "a bigint, b bigint").collect()}
+    assert want <= got and len(got) <= 110
+
+
 def test_cross_split_overlap_loses_no_edited_copy_of_stock_wording(spark):
     rng = random.Random(7)
     abc = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
