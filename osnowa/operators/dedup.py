@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import WORD
 from ..session import cut
+from .similarity import _in
 from .windows import first_of
 
 
@@ -29,6 +31,19 @@ def not_in(df: DataFrame, key: Column, seen: DataFrame, seen_key: Column) -> Dat
     return df.withColumn("_k", key).join(seen.select(seen_key.alias("_k")).where("_k IS NOT NULL").distinct(), "_k", "left_anti").drop("_k")
 
 
+def copies_apart(df: DataFrame, row: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` without later copies of a text, and the rows (``row``) of all later copies; case makes no difference.
+
+    The first row is the least ``row``, which is unique. Few copies may stay in ``df``: what goes is told by a bit set of fixed size. A
+    text without words is a copy of none. Both keep-first rules drop every later copy: its first row, or an earlier row that drops
+    that one, is as similar to it. So they need pairs of the rows left only.
+    """
+    low = F.lower(text)
+    own = df.where(low.rlike(WORD)).where(F.col(row).isNotNull())
+    firsts = cut(own.groupBy(F.unhex(F.sha2(low, 256)).alias("_k")).agg(F.min(row).alias(row)).select(row))
+    return df.where(_in(firsts, [row], 26)(row)), own.select(row).join(firsts, row, "left_anti")
+
+
 def greedy_first(rows: DataFrame, row: str, pairs: DataFrame) -> DataFrame:
     """Rows a keep-first pass would keep: in order of ``row``, a row is dropped if it is similar to an earlier KEPT row.
 

@@ -32,13 +32,13 @@ _GRAMS = rf"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w F
  pairs AS MATERIALIZED (SELECT a, b, shared, shared / (na + nb - shared) AS similarity FROM p WHERE shared / (na + nb - shared) > 0.35)"""
 
 
-def _doc_pairs(t: Tables) -> DataFrame:
-    return similarity.jaccard_pairs(similarity.gram_sets(t.documents, "doc_id", text.word_ngrams(F.col("text"), 4)), 0.35)
+def _doc_pairs(docs: DataFrame) -> DataFrame:
+    return similarity.jaccard_pairs(similarity.gram_sets(docs, "doc_id", text.word_ngrams(F.col("text"), 4)), 0.35)
 
 
 @query(f"WITH {_GRAMS} SELECT a, b, shared, round(similarity, 9) AS similarity FROM pairs")
 def jaccard_pairs_corpus(t: Tables) -> DataFrame:
-    return _doc_pairs(t).withColumn("similarity", F.round("similarity", 9))
+    return _doc_pairs(t.documents).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"""WITH RECURSIVE {_GRAMS}, o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM s),
@@ -46,13 +46,14 @@ def jaccard_pairs_corpus(t: Tables) -> DataFrame:
  ELSE list_append(kept, o.doc_id) END FROM walk JOIN o ON o.i = walk.i + 1) SELECT unnest(kept) AS doc_id FROM walk WHERE i = (SELECT max(i) FROM o)""")
 def greedy_neardup_kept(t: Tables) -> DataFrame:
     rows = t.documents.where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
-    return dedup.greedy_first(rows, "doc_id", _doc_pairs(t))
+    return dedup.greedy_first(rows, "doc_id", _doc_pairs(t.documents))
 
 
 @query(f"WITH {_GRAMS} SELECT doc_id FROM s WHERE doc_id NOT IN (SELECT b FROM pairs)")
 def rejected_also_block(t: Tables) -> DataFrame:
     rows = t.documents.where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
-    return dedup.drop_if_any_earlier(rows, "doc_id", _doc_pairs(t))
+    few, copies = dedup.copies_apart(t.documents, "doc_id", "text")
+    return dedup.drop_if_any_earlier(rows, "doc_id", _doc_pairs(few).select("b").union(copies))
 
 
 @query(f"""WITH {_GRAMS}, kept AS (SELECT doc_id FROM s WHERE doc_id NOT IN (SELECT b FROM pairs)) SELECT coalesce(nullif(trim(lang), ''), '—') AS lang, count(*) AS n
@@ -67,7 +68,7 @@ def flagship_dedup_counts(t: Tables) -> DataFrame:
     """Exact 4-gram similarity join of whole documents, keep-first dedup, counts per language."""
     from ..operators.reports import labelled
 
-    kept = dedup.greedy_first(t.documents.select("doc_id", "lang"), "doc_id", _doc_pairs(t))
+    kept = dedup.greedy_first(t.documents.select("doc_id", "lang"), "doc_id", _doc_pairs(t.documents))
     return kept.groupBy(labelled(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -64,3 +64,19 @@ def test_document_queries_cover_all_sources(spark):
     assert sorted(r["doc_id"] for r in dedup_queries.rejected_also_block(t).collect()) == clear
     got = {r["lang"]: r["n"] for r in dedup_queries.kept_by_language(t).collect()}
     assert got == {k: n for k, n in (("pl", sum(i % 2 for i in clear)), ("—", sum(1 - i % 2 for i in clear))) if n}
+
+
+def test_later_copies_are_in_no_pairs(spark, monkeypatch):
+    base = "ala ma kota a kot ma mleko i jest bardzo zadowolony z zycia"
+    texts = [base + " dzis", base, "dzis " + base, base.upper(), "", None, "...", "...", "krotki"] + ["Krotki", base, base + " dzis", "cos zupelnie innego niz wszystko inne"] * 30
+    t = SimpleNamespace(documents=spark.createDataFrame([(900 - 7 * i, x, "pl" if i % 2 else None) for i, x in enumerate(texts)], "doc_id bigint, text string, lang string"))
+    compared = []
+    pairs = similarity.jaccard_pairs
+    monkeypatch.setattr(similarity, "jaccard_pairs", lambda sets, *x, **y: compared.append(sets.count()) or pairs(sets, *x, **y))
+    rows = sorted((900 - 7 * i, grams(x), i % 2) for i, x in enumerate(texts))
+    like = lambda a, b: bool(a and b) and len(a & b) / len(a | b) > 0.35
+    clear = [x for i, x in enumerate(rows) if x[1] and not any(like(y[1], x[1]) for y in rows[:i])]
+    assert sorted(r["doc_id"] for r in dedup_queries.rejected_also_block(t).collect()) == [x[0] for x in clear]
+    got = {r["lang"]: r["n"] for r in dedup_queries.kept_by_language(t).collect()}
+    assert got == {k: n for k, n in (("pl", sum(x[2] for x in clear)), ("—", sum(1 - x[2] for x in clear))) if n}
+    assert max(compared) <= 5
