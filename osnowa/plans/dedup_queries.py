@@ -36,6 +36,11 @@ def _doc_pairs(docs: DataFrame) -> DataFrame:
     return similarity.jaccard_pairs(similarity.gram_sets(docs, "doc_id", text.word_ngrams(F.col("text"), 4)), 0.35)
 
 
+def _greedy_kept(t: Tables, rows: DataFrame) -> DataFrame:
+    few, copies = dedup.copies_apart(t.documents, "doc_id", "text")
+    return dedup.greedy_first(rows.join(copies, "doc_id", "left_anti"), "doc_id", _doc_pairs(few))
+
+
 @query(f"WITH {_GRAMS} SELECT a, b, shared, round(similarity, 9) AS similarity FROM pairs")
 def jaccard_pairs_corpus(t: Tables) -> DataFrame:
     return _doc_pairs(t.documents).withColumn("similarity", F.round("similarity", 9))
@@ -46,7 +51,7 @@ def jaccard_pairs_corpus(t: Tables) -> DataFrame:
  ELSE list_append(kept, o.doc_id) END FROM walk JOIN o ON o.i = walk.i + 1) SELECT unnest(kept) AS doc_id FROM walk WHERE i = (SELECT max(i) FROM o)""")
 def greedy_neardup_kept(t: Tables) -> DataFrame:
     rows = t.documents.where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
-    return dedup.greedy_first(rows, "doc_id", _doc_pairs(t.documents))
+    return _greedy_kept(t, rows)
 
 
 @query(f"WITH {_GRAMS} SELECT doc_id FROM s WHERE doc_id NOT IN (SELECT b FROM pairs)")

@@ -79,4 +79,9 @@ def test_later_copies_are_in_no_pairs(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in dedup_queries.rejected_also_block(t).collect()) == [x[0] for x in clear]
     got = {r["lang"]: r["n"] for r in dedup_queries.kept_by_language(t).collect()}
     assert got == {k: n for k, n in (("pl", sum(x[2] for x in clear)), ("—", sum(1 - x[2] for x in clear))) if n}
+    kept = []
+    for x in rows:
+        if not any(like(y[1], x[1]) for y in kept):
+            kept.append(x)
+    assert sorted(r["doc_id"] for r in dedup_queries.greedy_neardup_kept(t).collect()) == [x[0] for x in kept if x[1]]
     assert max(compared) <= 5
