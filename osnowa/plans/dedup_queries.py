@@ -73,7 +73,7 @@ def flagship_dedup_counts(t: Tables) -> DataFrame:
     """Exact 4-gram similarity join of whole documents, keep-first dedup, counts per language."""
     from ..operators.reports import labelled
 
-    kept = dedup.greedy_first(t.documents.select("doc_id", "lang"), "doc_id", _doc_pairs(t.documents))
+    kept = _greedy_kept(t, t.documents.select("doc_id", "lang"))
     return kept.groupBy(labelled(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -84,4 +84,6 @@ def test_later_copies_are_in_no_pairs(spark, monkeypatch):
         if not any(like(y[1], x[1]) for y in kept):
             kept.append(x)
     assert sorted(r["doc_id"] for r in dedup_queries.greedy_neardup_kept(t).collect()) == [x[0] for x in kept if x[1]]
+    got = {r["lang"]: r["n"] for r in dedup_queries.flagship_dedup_counts(t).collect()}
+    assert got == {"pl": sum(x[2] for x in kept), "—": sum(1 - x[2] for x in kept)}
     assert max(compared) <= 5
