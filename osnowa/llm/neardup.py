@@ -33,6 +33,8 @@ BLOCK = 1 << 15
 #: Bits of a bag's map, by the number of its words: up to LEVEL_WORDS[i] words LEVELS[i] bits, beyond all of them the last.
 LEVELS = [128, 256, 512, 2048]
 LEVEL_WORDS = [48, 80, 256]
+#: Rows and columns of a tile of long runs.
+TILE = (64, 1024)
 _SALTS = [np.uint64(0x51ED270B9C4D3A77), np.uint64(0xA24BAED4963EE407)]
 _SIG = "kind int, row bigint, n int, fp1 bigint, fp2 bigint, map binary, pre2 binary, pre3 binary, keys array<bigint>, meta array<bigint>"
 
@@ -210,6 +212,7 @@ def near_pairs(num: int, den: int):
     """Within the rows of one key, sorted by key: the pairs that pass all filters."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers = [np.empty(TILE[0] * TILE[1], dtype=kind) for kind in (np.uint64, np.uint8, np.uint8, np.uint16)]
         for g in sketch.rows_by_key(batches, "key"):
             meta = g["meta"].to_numpy()
             group = np.cumsum(np.concatenate(([0], np.diff(g["key"].to_numpy()) != 0)))
@@ -225,12 +228,11 @@ def near_pairs(num: int, den: int):
             me = np.arange(len(key))
             # sizes rise within a key. Where this is the first word in common, the smaller text's words from here on are all it
             # can still share: a text of more than rest * den / num words cannot follow
-            lim, top = end.copy(), rest * den // num
-            for i in np.flatnonzero(end - me > 64):
-                lim[i] = i + np.searchsorted(n[i : end[i]], top[i], side="right")
+            place = (group[order] << 25) | n
+            lim = np.minimum(np.searchsorted(place, (group[order] << 25) | np.minimum(rest * den // num, (1 << 25) - 1), side="right"), end)
             count = lim - me - 1
             # a pair passes if its maps differ in at most n_i + spare_j bits
-            spare = (n - 2 * least_common(n, num, den)).astype(np.int32)
+            spare = n - 2 * least_common(n, num, den)
             columns = [[np.ascontiguousarray(m[:, k]) for k in range(m.shape[1])] for m in folded]
             long = count > 96
             got = []
@@ -255,23 +257,30 @@ def near_pairs(num: int, den: int):
                 apart = np.bitwise_count(narrow[0][i] ^ narrow[0][j]) + np.bitwise_count(narrow[1][i] ^ narrow[1][j])
                 ok = apart <= spare[j] + n[i]
                 passed(i[ok], j[ok])
-            # long runs: tiles of rows against the slice that can follow any of them, the bound taken for the largest
+            # long runs: tiles of rows against the slice that can follow any of them, the bound taken for the largest.
+            # Four words are counted in a byte: only 256 wraps, which lets a pair through to passed() and loses none
             at = np.flatnonzero(long)
             while len(at):
                 i0 = at[0]
-                tile = at[: np.searchsorted(at, min(i0 + 64, end[i0]))]
+                tile = at[: np.searchsorted(at, min(i0 + TILE[0], end[i0]))]
                 tile = tile[: np.searchsorted(level[tile], level[i0], side="right")]
                 at = at[len(tile) :]
                 i1, last = tile[-1] + 1, lim[tile].max()
-                words_, bound = columns[level[i0]], spare + np.int32(n[i1 - 1])
-                for j0 in range(i0 + 1, last, 4096):
-                    s = slice(j0, min(j0 + 4096, last))
-                    apart = np.bitwise_count(words_[0][i0:i1, None] ^ words_[0][None, s])
-                    if level[i0]:
-                        apart = apart.astype(np.uint16)
-                    for w in words_[1:]:
-                        apart += np.bitwise_count(w[i0:i1, None] ^ w[None, s])
-                    i, j = np.nonzero(apart <= np.clip(bound[s], 0, np.iinfo(apart.dtype).max).astype(apart.dtype)[None, :])
+                words_ = columns[level[i0]]
+                for j0 in range(i0 + 1, last, TILE[1]):
+                    s = slice(j0, min(j0 + TILE[1], last))
+                    shape = (i1 - i0, s.stop - j0)
+                    x, bits, four, apart = (buffer[: shape[0] * shape[1]].reshape(shape) for buffer in buffers)
+                    for k, w in enumerate(words_):
+                        np.bitwise_xor(w[i0:i1, None], w[None, s], out=x)
+                        np.bitwise_count(x, out=bits if k % 4 else four)
+                        if k % 4:
+                            np.add(four, bits, out=four)
+                        if k % 4 == 3 and len(words_) > 4:
+                            np.add(apart if k > 3 else 0, four, out=apart)
+                    apart = apart if len(words_) > 4 else four
+                    bound = np.clip(spare[s] + n[i1 - 1], 0, np.iinfo(apart.dtype).max).astype(apart.dtype)
+                    i, j = np.divmod(np.flatnonzero(np.less_equal(apart, bound[None, :], out=bits.view(bool))), shape[1])
                     i, j = i + i0, j + j0
                     ok = (j > i) & (j < lim[i]) & long[i]
                     passed(i[ok], j[ok])

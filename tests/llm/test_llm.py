@@ -85,6 +85,30 @@ def test_further_orders_reject_unrelated_long_texts(spark):
     assert (0, 60) in left and len(left) < 0.05 * pairs.count()
 
 
+def test_long_runs_keep_all_pairs_without_a_search_for_each_row(spark, monkeypatch):
+    rng = random.Random(31)
+    words = ["w" + "".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(900)]
+    rows = []
+    for size in (30, 60, 120, 300):  # a map of every width
+        base = rng.sample(words, size)
+        for _ in range(180):
+            rate = 0.4 * rng.random()
+            rows.append(" ".join([rng.choice(words) if rng.random() < rate else w for w in base]))
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(rows)], "kind int, row bigint, text string")
+    freq = spark.sparkContext.broadcast(neardup.word_counts(df, 4, 21))
+    sig = neardup.signatures(df, freq, 4, 7, 10, 1 << 15).select("row", "map", F.arrays_zip("keys", "meta").alias("z")).select("row", "map", F.inline("z"))
+    posts = sig.withColumnRenamed("keys", "key").orderBy("key").toArrow().combine_chunks()
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *x, **y: calls.append(1) or search(*x, **y))
+    got = {(a, b) for out in neardup.near_pairs(7, 10)(iter(posts.to_batches())) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())}
+    bags = [bag(x) for x in rows]
+    size = [x.total() for x in bags]
+    alike = lambda i, j: 10 * min(size[i], size[j]) >= 7 * max(size[i], size[j])
+    want = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if alike(i, j) and (bags[i] & bags[j]).total() * 10 >= 7 * max(size[i], size[j])}
+    assert len(want) > 500 and want <= got
+    assert len(calls) < posts.num_rows / 20
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)]
